@@ -32,18 +32,25 @@ from blockprep.sources.storage import cut_lineage
 # joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
-# Sampled candidates are looked up by (context, cell of the drawn number):
-# an equi-join that also spreads a frequent context over this many keys.
-CELLS = 256
+# Sampled candidates are looked up by (context, cell of the drawn number), an
+# equi-join that also spreads a frequent context over several keys.  A context
+# has as many cells as candidates, within these bounds.
+LEAST_CELLS, MOST_CELLS = 16, 256
 
 
 @dataclass(frozen=True)
 class Candidates:
-    """What may follow each context: one pick (greedy), or shares cut into cells."""
+    """What may follow each context: one pick (greedy), or shares cut into cells.
+
+    ``spare_*`` is the pick for contexts that have none of their own.
+    """
 
     table: DataFrame
     contexts: DataFrame | None
     small: bool
+    spare_id: int
+    spare_prob: float
+    spare_cells: int
 
 
 def _materialised(df: DataFrame) -> tuple[DataFrame, bool]:
@@ -58,7 +65,11 @@ def greedy_picks(scores: DataFrame, suppressed: DataFrame) -> DataFrame:
 
 
 def share_cells(scores: DataFrame, suppressed: DataFrame, cfg: PrepConfig) -> DataFrame:
-    """(ctx, cell, token_id, prob, lo, hi): the kept shares laid out on [0, 1)."""
+    """(ctx, cells, cell, token_id, prob, lo, hi): the kept shares laid out on [0, 1).
+
+    A candidate has a row in every cell it reaches into, so the table has at
+    most ``candidates + cells`` rows per context.
+    """
     probs = softmax(scale(suppress(scores, suppressed), cfg.temperature), ["ctx"])
     laid = (
         nucleus(probs, ["ctx"], cfg.top_p)
@@ -66,10 +77,18 @@ def share_cells(scores: DataFrame, suppressed: DataFrame, cfg: PrepConfig) -> Da
         .withColumn("hi", _share_upto(["ctx"], "prob"))
         .where(F.col("lo") < F.col("hi"))
     )
-    first = F.floor(F.col("lo") * CELLS)
-    last = F.ceil(F.col("hi") * CELLS) - 1
-    return laid.select(
-        "ctx", F.explode(F.sequence(first, last)).alias("cell"), "token_id", "prob", "lo", "hi"
+    candidates = F.count(F.lit(1)).over(W.partitionBy("ctx"))
+    cells = F.least(F.lit(MOST_CELLS), F.greatest(F.lit(LEAST_CELLS), candidates))
+    first = F.floor(F.col("lo") * F.col("cells"))
+    last = F.ceil(F.col("hi") * F.col("cells")) - 1
+    return laid.withColumn("cells", cells.cast("int")).select(
+        "ctx",
+        "cells",
+        F.explode(F.sequence(first, last)).alias("cell"),
+        "token_id",
+        "prob",
+        "lo",
+        "hi",
     )
 
 
@@ -79,16 +98,15 @@ def prepare_candidates(scores: DataFrame, suppressed: DataFrame, cfg: PrepConfig
     ``scores`` holds rows for ``ANY_CONTEXT`` too; they serve contexts without
     candidates of their own.
     """
-    if cfg.temperature <= 0:
-        picks, small = _materialised(greedy_picks(scores, suppressed))
-        prepared = Candidates(picks, None, small)
-    else:
-        cells, small = _materialised(share_cells(scores, suppressed, cfg))
-        contexts = cut_lineage(cells.select("ctx").distinct())
-        prepared = Candidates(cells, contexts, small)
-    if prepared.table.where(F.col("ctx") == ANY_CONTEXT).isEmpty():
+    greedy = cfg.temperature <= 0
+    prepared = greedy_picks(scores, suppressed) if greedy else share_cells(scores, suppressed, cfg)
+    table, small = _materialised(prepared)
+    spare = table.where(F.col("ctx") == ANY_CONTEXT).first()
+    if spare is None:
         raise ValueError("no candidate is left for contexts without scores")
-    return prepared
+    contexts = None if greedy else cut_lineage(table.select("ctx", "cells").distinct())
+    cells = 0 if greedy else spare["cells"]
+    return Candidates(table, contexts, small, spare["token_id"], spare["prob"], cells)
 
 
 def _sized(df: DataFrame, small: bool) -> DataFrame:
@@ -99,27 +117,27 @@ def add_candidates(slots: DataFrame, candidates: Candidates, cfg: PrepConfig, st
     """Add ``candidate`` and ``prob`` for the context ``ctx`` of each slot."""
     if candidates.contexts is None:
         own = candidates.table.select("ctx", F.col("token_id").alias("candidate"), "prob")
-        spare = candidates.table.where(F.col("ctx") == ANY_CONTEXT).first()
         return (
             slots.join(_sized(own, candidates.small), "ctx", "left")
-            .withColumn("candidate", F.coalesce("candidate", F.lit(spare["token_id"])))
-            .withColumn("prob", F.coalesce("prob", F.lit(spare["prob"])))
+            .withColumn("candidate", F.coalesce("candidate", F.lit(candidates.spare_id)))
+            .withColumn("prob", F.coalesce("prob", F.lit(candidates.spare_prob)))
         )
-    known = candidates.contexts.select("ctx", F.col("ctx").alias("dist"))
+    known = candidates.contexts.select("ctx", F.col("ctx").alias("dist"), "cells")
     cells = candidates.table.select(
         F.col("ctx").alias("dist"), "cell", F.col("token_id").alias("candidate"), "prob", "lo", "hi"
     )
     drawn = (
         slots.join(_sized(known, candidates.small), "ctx", "left")
         .withColumn("dist", F.coalesce("dist", F.lit(ANY_CONTEXT)))
+        .withColumn("cells", F.coalesce("cells", F.lit(candidates.spare_cells)))
         .withColumn("u", uniform(cfg.seed, step, F.col("seq_id"), F.col("pos")))
-        .withColumn("cell", F.floor(F.col("u") * CELLS))
+        .withColumn("cell", F.floor(F.col("u") * F.col("cells")))
     )
     inside = (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))
     return (
         drawn.join(_sized(cells, candidates.small), ["dist", "cell"])
         .where(inside)
-        .drop("dist", "cell", "lo", "hi", "u")
+        .drop("dist", "cells", "cell", "lo", "hi", "u")
     )
 
 

@@ -88,6 +88,11 @@ def message_rows(df: DataFrame, key: str = "sample_id") -> DataFrame:
     )
 
 
+def sample_keys(messages: DataFrame) -> DataFrame:
+    """The sample ids of message rows: message 0 stands for its sample."""
+    return messages.where(F.col("ord") == 0).select("sample_id")
+
+
 def turn_rows(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """Turn rows as message rows: turns renumbered 0, 1, ... in each conversation."""
     counted = running_totals(turns, [key], "turn", {"_seen": F.lit(1)})

@@ -14,14 +14,17 @@ from blockprep.functions.hashing import hash_key
 from blockprep.operators.running import dense_order
 
 
-def assign_batches(samples: DataFrame, cfg: PrepConfig, epoch: int = 0) -> DataFrame:
+def assign_batches(
+    samples: DataFrame, cfg: PrepConfig, epoch: int = 0, population: DataFrame | None = None
+) -> DataFrame:
     """Shuffle all samples by seed and epoch; add (batch_id, slot).
 
     ``sample_id`` is unique; batches hold ``cfg.micro_batch`` samples, the
-    last one maybe fewer.
+    last one maybe fewer.  ``population`` may list the same sample ids from a
+    cheaper source than ``samples``, such as the table these were made from.
     """
     rank = hash_key(cfg.seed, epoch, F.col("sample_id"))
-    ordered = dense_order(samples, rank, "sample_id", "_index")
+    ordered = dense_order(samples, rank, "sample_id", "_index", population=population)
     return ordered.select(
         *samples.columns,
         F.floor(F.col("_index") / F.lit(cfg.micro_batch)).alias("batch_id"),

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from blockprep.functions.hashing import uniform
 
-# Running shares are compared after rounding to this many digits, so that the
-# outcome does not hang on the order in which a sum was taken.
+# Shares are compared after rounding to this many digits, so that the outcome
+# does not hang on the order in which a sum was taken (is 1/5 above 0.2?).
 SHARE_DIGITS = 12
 
 # The context that stands for "any": the overall distribution.
@@ -173,8 +173,9 @@ def select_confident(
 
     Needs pos, masked, prob.  A group is one sub-block of one sequence.
     """
-    order = W.partitionBy(*keys).orderBy(F.desc("masked"), F.desc("prob"), "pos")
+    share = F.round("prob", SHARE_DIGITS)
+    order = W.partitionBy(*keys).orderBy(F.desc("masked"), share.desc(), "pos")
     best = F.row_number().over(order) == 1
     return slots.withColumn(
-        "chosen", F.col("masked") & F.coalesce((F.col("prob") > threshold) | best, best)
+        "chosen", F.col("masked") & F.coalesce((share > threshold) | best, best)
     )

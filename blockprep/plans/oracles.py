@@ -212,18 +212,21 @@ FILLING = {
       FROM scored WINDOW w AS (PARTITION BY seq_id ORDER BY pos)""",
     "chosen": f"""
       SELECT seq_id, CAST(pos // {SUB} AS BIGINT) AS sub_block, pos, candidate,
-             prob > {STEP_THRESHOLD}
-               OR row_number() OVER (PARTITION BY seq_id, pos // {SUB} ORDER BY prob DESC, pos) = 1
+             round(prob, 12) > {STEP_THRESHOLD}
+               OR row_number() OVER (PARTITION BY seq_id, pos // {SUB}
+                                     ORDER BY round(prob, 12) DESC, pos) = 1
                AS chosen
       FROM shifted WHERE token_id = 0""",
     "filled": """
       SELECT s.seq_id, s.pos,
              CASE WHEN c.chosen THEN c.candidate ELSE s.token_id END AS token_id
       FROM slots s LEFT JOIN chosen c ON c.seq_id = s.seq_id AND c.pos = s.pos""",
+    "blocks": f"""
+      SELECT seq_id * {L // BLOCK} + pos // {BLOCK} AS seq_id, pos, token_id FROM filled""",
     "eos": """
       SELECT seq_id, eos_pos
       FROM (SELECT seq_id, min(pos) FILTER (WHERE token_id = 1) AS eos_pos,
-                   min(pos) FILTER (WHERE token_id = 0) AS mask_pos FROM filled GROUP BY seq_id)
+                   min(pos) FILTER (WHERE token_id = 0) AS mask_pos FROM blocks GROUP BY seq_id)
       WHERE eos_pos < coalesce(mask_pos, 1000000000)""",
 }
 
@@ -452,7 +455,7 @@ ORACLES: dict[str, str] = {
     ),
     "trim_at_eos": _with(
         FILLING,
-        """SELECT f.* FROM filled f LEFT JOIN eos USING (seq_id)
+        """SELECT f.* FROM blocks f LEFT JOIN eos USING (seq_id)
            WHERE eos_pos IS NULL OR pos <= eos_pos""",
     ),
     "response_only": _with(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from blockprep.config import PrepConfig
+from blockprep.operators.messages import sample_keys
 from blockprep.operators.packing import assign_batches, pack
 from blockprep.operators.scores import context_counts
 from blockprep.operators.tokens import tokenize
@@ -25,9 +26,15 @@ def freeze_vocab(messages: DataFrame, cfg: PrepConfig, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def batches(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig, epoch: int = 0) -> DataFrame:
+    """Tokenized samples in micro-batches; samples are counted before tokenizing."""
+    samples = tokenize(messages, vocab, cfg)
+    return assign_batches(samples, cfg, epoch, sample_keys(messages))
+
+
 def contexts(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig, epoch: int = 0) -> DataFrame:
     """Packed contexts (batch_id, input_ids) of one epoch."""
-    return pack(assign_batches(tokenize(messages, vocab, cfg), cfg, epoch), cfg)
+    return pack(batches(messages, vocab, cfg, epoch), cfg)
 
 
 def views(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig, epoch: int = 0) -> DataFrame:

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockprep.config import PrepConfig
-from blockprep.functions.arrays import pad_block, prefix_visible_upto, truncate
+from blockprep.functions.arrays import block_of, pad_block, prefix_visible_upto, truncate
 from blockprep.functions.text import norm_role, render_chat, split_tokens, strip
 from blockprep.operators import filling, history, messages, packing, scores, tokens, views, vocabulary
 from blockprep.plans import prepare
 from blockprep.sources.instructions import read_dataset, read_instructions, write_jsonl
-from blockprep.sources.storage import new_path
+from blockprep.sources.prepared import write_views
+from blockprep.sources.storage import new_path, spread
 from blockprep.streaming import ingest
 
-CFG = PrepConfig(context_length=256, micro_batch=2, vocab_size=4000)
+CFG = PrepConfig(context_length=512, micro_batch=2, vocab_size=4000)
 STEPS, ACCUMULATION = 1500, 4
 TOP_P, TEMPERATURE = 0.8, 0.7
 STEP_THRESHOLD = 0.2
@@ -62,7 +63,7 @@ def instruction_rows(spark: SparkSession, folder: str) -> DataFrame:
         turn(F.lit("gpt"), F.lit("human"), F.col("text"), null),
         turn(null, null, null, F.col("source")),
     )
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         F.col("doc_id").alias("sample_id"),
         F.when(shape == 0, lines).alias("messages"),
         F.when(shape == 1, turns).alias("conversations"),
@@ -86,7 +87,9 @@ def chat_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, folder: str) -> DataFrame:
-    return prepare.corpus_vocab(conversation_messages(spark, folder), CFG)
+    """Counting needs no order, so the turns are not numbered for it."""
+    turns = spread(table(spark, folder, "conversations"))
+    return prepare.corpus_vocab(turns.select("role", F.col("text").alias("content")), CFG)
 
 
 def ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +97,7 @@ def ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.assign_batches(ids(spark, folder), CFG)
+    return prepare.batches(conversation_messages(spark, folder), vocab(spark, folder), CFG)
 
 
 def packed(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,7 +180,7 @@ def pairs_to_messages(spark, folder):
             F.coalesce(F.get(lines, k * 2 + 1), F.lit("")).alias("assistant"),
         ),
     )
-    history_rows = table(spark, folder, "documents").select(
+    history_rows = spread(table(spark, folder, "documents")).select(
         F.col("doc_id").alias("sample_id"), pairs.alias("history"), "source"
     )
     return messages.message_rows(
@@ -211,7 +214,7 @@ def history_messages(spark, folder):
 
 
 def token_split(spark, folder):
-    split = table(spark, folder, "documents").select(
+    split = spread(table(spark, folder, "documents")).select(
         "doc_id", "text", split_tokens("text", CFG).alias("t")
     )
     return split.select(
@@ -406,24 +409,31 @@ def order_draw(spark, folder):
 # --- filling ----------------------------------------------------------------
 
 
-def view_slots(spark: SparkSession, folder: str) -> DataFrame:
+def stored_views(spark: SparkSession, folder: str) -> DataFrame:
+    """The views as a written table: counting and filling both read them."""
+    path = new_path(spark, "views")
+    write_views(masked_views(spark, folder), path, CFG)
+    return spark.read.parquet(path)
+
+
+def view_slots(stored: DataFrame) -> DataFrame:
     """The first view of each context as slots to fill."""
-    first = masked_views(spark, folder).where("view = 0")
-    return first.select(
+    return stored.where("view = 0").select(
         F.col("batch_id").alias("seq_id"), F.posexplode("input_ids").alias("pos", "token_id")
     )
 
 
-def scored_slots(spark: SparkSession, folder: str) -> DataFrame:
+def scored_slots(stored: DataFrame) -> DataFrame:
     """Per position, the pick and share computed from its own token."""
+    spark = stored.sparkSession
     picks = filling.greedy_picks(
-        scores.context_scores(pair_counts(spark, folder)),
+        scores.context_scores(scores.context_counts(views.training_pairs(stored))),
         vocabulary.suppressed_ids(vocabulary.special_tokens(spark), CFG),
     )
     known = F.broadcast(
         picks.select(F.col("ctx").alias("own"), F.col("token_id").alias("candidate"), "prob")
     )
-    slots = view_slots(spark, folder)
+    slots = view_slots(stored)
     return slots.join(known, slots["token_id"] == known["own"], "left").select(
         "seq_id",
         "pos",
@@ -433,12 +443,12 @@ def scored_slots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def shifted_slots(spark: SparkSession, folder: str) -> DataFrame:
-    return scores.shift_scores(scored_slots(spark, folder), ["candidate", "prob"])
+def shifted_slots(stored: DataFrame) -> DataFrame:
+    return scores.shift_scores(scored_slots(stored), ["candidate", "prob"])
 
 
-def chosen_slots(spark: SparkSession, folder: str) -> DataFrame:
-    slots = shifted_slots(spark, folder).withColumns(
+def chosen_slots(stored: DataFrame) -> DataFrame:
+    slots = shifted_slots(stored).withColumns(
         {
             "masked": F.col("token_id") == CFG.mask_id,
             "sub_block": F.floor(F.col("pos") / CFG.sub_block_size),
@@ -448,19 +458,28 @@ def chosen_slots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def filled_slots(spark: SparkSession, folder: str) -> DataFrame:
-    return chosen_slots(spark, folder).select(
+    return chosen_slots(stored_views(spark, folder)).select(
         "seq_id",
         "pos",
         F.when(F.col("chosen"), F.col("candidate")).otherwise(F.col("token_id")).alias("token_id"),
     )
 
 
+def filled_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The filled slots with every block as a sequence of its own."""
+    per_context = CFG.context_length // CFG.block_size
+    block = block_of("pos", CFG.block_size)
+    return filled_slots(spark, folder).select(
+        (F.col("seq_id") * per_context + block).alias("seq_id"), "pos", "token_id"
+    )
+
+
 def shift_scores(spark, folder):
-    return shifted_slots(spark, folder).select("seq_id", "pos", "candidate", nine())
+    return shifted_slots(stored_views(spark, folder)).select("seq_id", "pos", "candidate", nine())
 
 
 def select_confident(spark, folder):
-    return chosen_slots(spark, folder).where("masked").select("seq_id", "sub_block", "pos", "chosen")
+    return chosen_slots(stored_views(spark, folder)).where("masked").select("seq_id", "sub_block", "pos", "chosen")
 
 
 def fill_step(spark, folder):
@@ -469,13 +488,14 @@ def fill_step(spark, folder):
 
 def apply_fills(spark, folder):
     """The same step with the fills written back by a join."""
-    chosen = chosen_slots(spark, folder).where("chosen")
+    stored = stored_views(spark, folder)
+    chosen = chosen_slots(stored).where("chosen")
     fills = chosen.select("seq_id", "pos", F.col("candidate").alias("token_id"))
-    return filling.apply_fills(view_slots(spark, folder), fills)
+    return filling.apply_fills(view_slots(stored), fills)
 
 
 def complete_eos(spark, folder):
-    return filling.complete_eos(filled_slots(spark, folder), CFG)
+    return filling.complete_eos(filled_blocks(spark, folder), CFG)
 
 
 def has_mask(spark, folder):
@@ -488,7 +508,7 @@ def fill_leftovers(spark, folder):
 
 
 def trim_at_eos(spark, folder):
-    return filling.trim_at_eos(filled_slots(spark, folder), CFG)
+    return filling.trim_at_eos(filled_blocks(spark, folder), CFG)
 
 
 def response_only(spark, folder):
@@ -501,7 +521,7 @@ def response_only(spark, folder):
 
 
 def render_state(spark, folder):
-    shown = filling.render_state(view_slots(spark, folder), vocab(spark, folder), CFG)
+    shown = filling.render_state(view_slots(masked_views(spark, folder)), vocab(spark, folder), CFG)
     return filling.slot_score(shown, CFG).select("seq_id", "pos", "shown", "score")
 
 
@@ -518,7 +538,9 @@ def _fill(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
     return filling.fill(coded, table_of_scores, vocabulary.suppressed_ids(known, cfg), cfg)
 
 
-FILL_CFG = replace(CFG, block_size=8, sub_block_size=4, max_new_tokens=12, threshold=0.3)
+FILL_CFG = replace(
+    CFG, block_size=8, sub_block_size=4, max_new_tokens=12, threshold=0.3, vocab_size=32_000
+)
 
 
 def fill_final(spark, folder):

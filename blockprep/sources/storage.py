@@ -35,3 +35,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the reliable checkpoint folder and continue from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row text work enough tasks when a source comes in few pieces.
+
+    A table in many files already has its tasks and stays as it is; only one
+    with fewer partitions than the session has cores (one big row group, an
+    unsplittable archive) is dealt out once.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
