@@ -29,9 +29,11 @@ INVISIBLE = -65504.0
 # position and the one-step shift belongs to the loss.
 LABEL_SHIFT = "shift-in-loss"
 
-# A vocabulary is broadcast to every executor, so its size is capped.  Tokens
-# hold at most 33 characters (see functions.text), which bounds the bytes too.
+# A vocabulary is broadcast to every executor, so its size is capped: rows and
+# token length.  The split pattern makes no token longer than 33 characters.
 MAX_VOCAB_SIZE = 1_000_000
+MAX_TOKEN_LENGTH = 64
+VOCAB_SCHEMA = "token string, token_id int, is_special boolean"
 
 
 @dataclass(frozen=True)
@@ -61,15 +63,10 @@ class PrepConfig:
         for name in ("block_size", "sub_block_size", "context_length", "micro_batch"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
-        if not 0 < self.vocab_size <= MAX_VOCAB_SIZE:
-            raise ValueError(f"vocab_size must be in 1..{MAX_VOCAB_SIZE}")
+        if not 0 < self.vocab_size < MAX_VOCAB_SIZE - FIRST_CORPUS_ID:
+            raise ValueError(f"vocab_size must leave room below {MAX_VOCAB_SIZE}")
 
     @property
     def padding_id(self) -> int | None:
         """The pad id, which defaults to end-of-sequence."""
         return self.eos_id if self.pad_id is None else self.pad_id
-
-    @property
-    def vocab_rows(self) -> int:
-        """Upper bound on the rows of a vocabulary built under these settings."""
-        return self.vocab_size + FIRST_CORPUS_ID + 1

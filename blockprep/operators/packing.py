@@ -20,16 +20,19 @@ def assign_batches(
     """Shuffle all samples by seed and epoch; add (batch_id, slot).
 
     ``sample_id`` is unique; batches hold ``cfg.micro_batch`` samples, the
-    last one maybe fewer.  ``population`` may list the same sample ids from a
+    last one maybe fewer.  Only the ids are numbered, and joined back on
+    ``sample_id``, by which tokenized samples are already placed: the token
+    lists themselves do not move.  ``population`` may list the same ids from a
     cheaper source than ``samples``, such as the table these were made from.
     """
     rank = hash_key(cfg.seed, epoch, F.col("sample_id"))
-    ordered = dense_order(samples, rank, "sample_id", "_index", population=population)
-    return ordered.select(
-        *samples.columns,
+    ids = (samples if population is None else population).select("sample_id")
+    numbered = dense_order(ids, rank, "sample_id", "_index").select(
+        "sample_id",
         F.floor(F.col("_index") / F.lit(cfg.micro_batch)).alias("batch_id"),
         F.pmod("_index", F.lit(cfg.micro_batch)).cast("int").alias("slot"),
     )
+    return numbered if samples.columns == ["sample_id"] else samples.join(numbered, "sample_id")
 
 
 def pad_samples(batches: DataFrame, cfg: PrepConfig) -> DataFrame:

@@ -54,37 +54,27 @@ def running_totals(
 
 
 def dense_order(
-    df: DataFrame,
-    rank_hash: Column,
-    tie: str,
-    name: str,
-    within: Sequence[str] = (),
-    population: DataFrame | None = None,
+    df: DataFrame, rank_hash: Column, tie: str, name: str, within: Sequence[str] = ()
 ) -> DataFrame:
     """Number all rows 0, 1, ... in the order of (hash, tie), without one big sort.
 
     Rows are cut by the leading digits of the hash, which spreads any key set
     evenly; each bucket is numbered on its own and shifted by the rows in the
     buckets before it.  The bucket table has at most ``MAX_BUCKETS`` rows per
-    value of ``within``, whatever the input size.
-
-    The buckets are counted in a second pass.  Where ``df`` is costly to
-    compute, ``population`` may give the same key rows from a cheaper source.
+    value of ``within``, whatever the input size.  The input is read twice,
+    so it should be narrow and cheap: ids, not what hangs on them.
     """
     cut = [*within, "_bucket"]
-
-    def bucketed(rows: DataFrame) -> DataFrame:
-        hashed = rows.withColumn("_hash", rank_hash)
-        return hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
-
+    base = df.withColumn("_hash", rank_hash).withColumn(
+        "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)
+    )
     inside = W.partitionBy(*cut).orderBy("_hash", tie)
-    local = bucketed(df).withColumn("_local", F.row_number().over(inside) - 1)
+    local = base.withColumn("_local", F.row_number().over(inside) - 1)
 
     # A fixed-size table: the unpartitioned window sees MAX_BUCKETS rows at most.
     before = W.partitionBy(*(within or [F.lit(0)])).orderBy("_bucket")
     shifts = (
-        bucketed(df if population is None else population)
-        .groupBy(*cut)
+        base.groupBy(*cut)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(
             *cut,

@@ -22,8 +22,8 @@ ID_SPAN = 2**24
 def _lookup(tokens: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFrame:
     """Add token_id; tokens outside the vocabulary get the unknown id.
 
-    The vocabulary is broadcast: ``cfg`` bounds its rows and the split pattern
-    bounds the length of each token.
+    The vocabulary is broadcast: ``build_vocab`` caps its rows and the split
+    pattern the length of a token; ``read_vocab`` checks both for stored ones.
     """
     known = F.broadcast(vocab.select("token", "token_id"))
     return tokens.join(known, "token", "left").withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,11 +17,15 @@ from blockprep.config import (
 )
 from blockprep.functions.text import render_message, split_tokens
 
-VOCAB_SCHEMA = "token string, token_id int, is_special boolean"
-
 
 def special_tokens(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, i, True) for t, i in SPECIAL_TOKENS], VOCAB_SCHEMA)
+    rows = ", ".join(f"('{token}', {i}, true)" for token, i in SPECIAL_TOKENS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(token, token_id, is_special)")
+
+
+def _id_rows(spark: SparkSession, ids: Sequence[int]) -> DataFrame:
+    rows = ", ".join(f"({i})" for i in ids)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(token_id)")
 
 
 def count_tokens(messages: DataFrame, cfg: PrepConfig) -> DataFrame:
@@ -32,19 +38,39 @@ def count_tokens(messages: DataFrame, cfg: PrepConfig) -> DataFrame:
     )
 
 
+def _frequent(counts: DataFrame, size: int) -> DataFrame:
+    """At least the ``size`` most frequent tokens, and few others.
+
+    Counts fall into classes by their binary length and leading digits (some
+    2,000 classes; exact counts below 64).  Classes that lie behind ``size``
+    more frequent tokens are left out, so that the top-k after this merges
+    about ``size`` rows and not ``size`` rows from every partition.
+    """
+    digits = F.bin("n")
+    head = F.conv(F.substring(digits, 1, 6), 2, 10).cast("int")
+    classed = counts.withColumn("_class", F.length(digits) * 64 + head)
+    before = W.partitionBy(F.lit(0)).orderBy(F.desc("_class")).rowsBetween(W.unboundedPreceding, -1)
+    wanted = (
+        classed.groupBy("_class")
+        .agg(F.count(F.lit(1)).alias("_tokens"))
+        .withColumn("_before", F.coalesce(F.sum("_tokens").over(before), F.lit(0)))
+        .where(F.col("_before") < size)
+        .select("_class")
+    )
+    return classed.join(F.broadcast(wanted), "_class", "left_semi").drop("_class")
+
+
 def build_vocab(counts: DataFrame, cfg: PrepConfig) -> DataFrame:
     """The most frequent tokens with dense ids behind the reserved ones.
 
-    The cap comes first (a top-k, merged from per-partition top-k lists), so
-    the single-task numbering sees at most ``cfg.vocab_size`` short rows.
+    The cap comes first, so the single-task numbering sees at most
+    ``cfg.vocab_size`` short rows.
     """
     reserved = [token for token, _ in SPECIAL_TOKENS] + [cfg.mask_token]
-    top = (
-        counts.where(~F.col("token").isin(reserved))
-        .orderBy(F.desc("n"), "token")
-        .limit(cfg.vocab_size)
-    )
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token"))
+    corpus = counts.where(~F.col("token").isin(reserved))
+    order = [F.desc("n"), F.col("token")]
+    top = _frequent(corpus, cfg.vocab_size).orderBy(*order).limit(cfg.vocab_size)
+    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order))
     numbered = top.select(
         "token",
         (rank + (FIRST_CORPUS_ID - 1)).cast("int").alias("token_id"),
@@ -76,10 +102,10 @@ def suppressed_ids(vocab: DataFrame, cfg: PrepConfig) -> DataFrame:
     spark = vocab.sparkSession
     marks = vocab.where(F.col("token").isin(TURN_START, TURN_END)).select("token_id")
     named = [i for i in (cfg.padding_id, cfg.bos_id) if i is not None]
-    others = marks.unionByName(spark.createDataFrame([(i,) for i in named], "token_id int"))
+    others = marks.unionByName(_id_rows(spark, named)) if named else marks
     if cfg.eos_id is not None:
         others = others.where(F.col("token_id") != cfg.eos_id)
-    mask = spark.createDataFrame([(cfg.mask_id,)], "token_id int")
+    mask = _id_rows(spark, [cfg.mask_id])
     return others.where(F.col("token_id") >= 0).unionByName(mask).distinct()
 
 

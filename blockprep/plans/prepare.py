@@ -11,7 +11,7 @@ from blockprep.operators.scores import context_counts
 from blockprep.operators.tokens import tokenize
 from blockprep.operators.views import complementary_views, training_pairs
 from blockprep.operators.vocabulary import build_vocab, count_tokens
-from blockprep.sources.prepared import write_views
+from blockprep.sources.prepared import read_vocab, write_views
 
 
 def corpus_vocab(messages: DataFrame, cfg: PrepConfig) -> DataFrame:
@@ -21,25 +21,47 @@ def corpus_vocab(messages: DataFrame, cfg: PrepConfig) -> DataFrame:
 
 def freeze_vocab(messages: DataFrame, cfg: PrepConfig, path: str) -> DataFrame:
     """Write the vocabulary once and read it back, so that later steps share one version."""
-    spark = messages.sparkSession
     corpus_vocab(messages, cfg).coalesce(1).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def batches(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig, epoch: int = 0) -> DataFrame:
-    """Tokenized samples in micro-batches; samples are counted before tokenizing."""
-    samples = tokenize(messages, vocab, cfg)
-    return assign_batches(samples, cfg, epoch, sample_keys(messages))
-
-
-def contexts(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig, epoch: int = 0) -> DataFrame:
+    return read_vocab(messages.sparkSession, path)
+
+
+def batches(
+    messages: DataFrame,
+    vocab: DataFrame,
+    cfg: PrepConfig,
+    epoch: int = 0,
+    population: DataFrame | None = None,
+) -> DataFrame:
+    """Tokenized samples in micro-batches.
+
+    ``population`` lists the sample ids; by default they are read off the
+    messages, before tokenizing.
+    """
+    known = sample_keys(messages) if population is None else population
+    return assign_batches(tokenize(messages, vocab, cfg), cfg, epoch, known)
+
+
+def contexts(
+    messages: DataFrame,
+    vocab: DataFrame,
+    cfg: PrepConfig,
+    epoch: int = 0,
+    population: DataFrame | None = None,
+) -> DataFrame:
     """Packed contexts (batch_id, input_ids) of one epoch."""
-    return pack(batches(messages, vocab, cfg, epoch), cfg)
+    return pack(batches(messages, vocab, cfg, epoch, population), cfg)
 
 
-def views(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig, epoch: int = 0) -> DataFrame:
+def views(
+    messages: DataFrame,
+    vocab: DataFrame,
+    cfg: PrepConfig,
+    epoch: int = 0,
+    population: DataFrame | None = None,
+) -> DataFrame:
     """Complementary masked views with labels of one epoch."""
-    return complementary_views(contexts(messages, vocab, cfg, epoch), cfg, epoch)
+    packed = contexts(messages, vocab, cfg, epoch, population)
+    return complementary_views(packed, cfg, epoch)
 
 
 def pair_counts(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFrame:

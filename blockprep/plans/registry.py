@@ -41,6 +41,13 @@ def conversation_messages(spark: SparkSession, folder: str) -> DataFrame:
     return messages.turn_rows(table(spark, folder, "conversations"))
 
 
+def turn_vocab(turns: DataFrame) -> DataFrame:
+    """Counting needs no order, so the turns are not numbered for it."""
+    return prepare.corpus_vocab(
+        spread(turns).select("role", F.col("text").alias("content")), CFG
+    )
+
+
 def instruction_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as instruction rows, a third in each of the three shapes."""
     shape = F.pmod("doc_id", F.lit(3))
@@ -87,17 +94,20 @@ def chat_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, folder: str) -> DataFrame:
-    """Counting needs no order, so the turns are not numbered for it."""
-    turns = spread(table(spark, folder, "conversations"))
-    return prepare.corpus_vocab(turns.select("role", F.col("text").alias("content")), CFG)
+    return turn_vocab(table(spark, folder, "conversations"))
 
 
 def ids(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.tokenize(conversation_messages(spark, folder), vocab(spark, folder), CFG)
+    turns = table(spark, folder, "conversations")
+    return tokens.tokenize(messages.turn_rows(turns), turn_vocab(turns), CFG)
 
 
 def batches(spark: SparkSession, folder: str) -> DataFrame:
-    return prepare.batches(conversation_messages(spark, folder), vocab(spark, folder), CFG)
+    turns = table(spark, folder, "conversations")
+    population = turns.select(F.col("conv_id").alias("sample_id")).distinct()
+    return prepare.batches(
+        messages.turn_rows(turns), turn_vocab(turns), CFG, population=population
+    )
 
 
 def packed(spark: SparkSession, folder: str) -> DataFrame:

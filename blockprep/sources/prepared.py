@@ -6,9 +6,10 @@ import warnings
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockprep.config import LABEL_SHIFT, PrepConfig
+from blockprep.config import LABEL_SHIFT, MAX_TOKEN_LENGTH, MAX_VOCAB_SIZE, VOCAB_SCHEMA, PrepConfig
 
 MANIFEST_SCHEMA = T.StructType(
     [
@@ -52,6 +53,20 @@ def check_manifest(spark: SparkSession, path: str, cfg: PrepConfig) -> bool:
     return False
 
 
+def read_vocab(spark: SparkSession, path: str) -> DataFrame:
+    """A stored vocabulary, checked to be small enough to broadcast."""
+    vocab = spark.read.schema(VOCAB_SCHEMA).parquet(path)
+    size = vocab.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(F.length("token")), F.lit(0)).alias("longest")
+    ).first()
+    if size["rows"] > MAX_VOCAB_SIZE or size["longest"] > MAX_TOKEN_LENGTH:
+        raise ValueError(
+            f"{path} has {size['rows']} tokens of up to {size['longest']} characters; "
+            f"at most {MAX_VOCAB_SIZE} of {MAX_TOKEN_LENGTH} can be broadcast"
+        )
+    return vocab
+
+
 def write_views(views: DataFrame, path: str, cfg: PrepConfig, mode: str = "overwrite") -> None:
     """Store views as parquet, one folder per epoch when they carry one."""
     writer = views.write.mode(mode)

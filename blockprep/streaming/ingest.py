@@ -16,7 +16,7 @@ from blockprep.operators.tokens import tokenize
 from blockprep.operators.packing import pack
 from blockprep.operators.views import complementary_views
 from blockprep.sources.instructions import INSTRUCTION_SCHEMA
-from blockprep.sources.prepared import write_manifest
+from blockprep.sources.prepared import read_vocab, write_manifest
 
 
 def stream_instructions(
@@ -61,7 +61,7 @@ def ingest_views(
     write_manifest(rows.sparkSession, path, cfg)
 
     def write(batch: DataFrame, trigger: int) -> None:
-        vocab = batch.sparkSession.read.parquet(vocab_path)
+        vocab = read_vocab(batch.sparkSession, vocab_path)
         views = sample_views(message_rows(to_messages(batch)), vocab, cfg)
         views.write.mode("overwrite").parquet(f"{path}/trigger={trigger}")
 
