@@ -2,6 +2,7 @@
 
 from blockprep.config import PrepConfig
 from blockprep.operators.filling import fill
-from blockprep.plans.prepare import contexts, prepare, views
+from blockprep.plans.answer import answers
+from blockprep.plans.prepare import contexts, fit_scores, prepare, views
 
-__all__ = ["PrepConfig", "contexts", "fill", "prepare", "views"]
+__all__ = ["PrepConfig", "answers", "contexts", "fill", "fit_scores", "prepare", "views"]

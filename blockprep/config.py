@@ -40,6 +40,7 @@ VOCAB_SCHEMA = "token string, token_id int, is_special boolean"
 class PrepConfig:
     """Scalar settings; one instance is passed to every operator that needs one."""
 
+    # The defaults up to ``context_length``.
     base_name: str = "corpus"
     mask_token: str = MASK_TOKEN
     block_size: int = 32

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockprep.config import IGNORE_LABEL, PrepConfig
-from blockprep.functions.arrays import visible_upto
 from blockprep.functions.hashing import coin_array
 
 
@@ -103,11 +102,13 @@ def attach_visibility(views: DataFrame, cfg: PrepConfig) -> DataFrame:
     """Add ``visible_upto``: for each query position, the first key it does not see.
 
     The bound follows from the position alone, so no pairs are built and
-    nothing is joined.
+    nothing is joined: the border of each block, once per position in it.
     """
-    return views.withColumn(
-        "visible_upto",
-        F.transform(
-            "input_ids", lambda _t, q: visible_upto(q, F.size("input_ids"), cfg.block_size)
-        ),
+    length, block = F.size("input_ids"), F.lit(cfg.block_size)
+    whole = F.floor(length / block).cast("int") * block
+    borders = F.concat(
+        F.when(whole > 0, F.sequence(block, whole, block)).otherwise(F.array().cast("array<int>")),
+        F.when(whole < length, F.array(length)).otherwise(F.array().cast("array<int>")),
     )
+    per_position = F.flatten(F.transform(borders, lambda b: F.array_repeat(b, cfg.block_size)))
+    return views.withColumn("visible_upto", F.slice(per_position, F.lit(1), length))

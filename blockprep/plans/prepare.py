@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from blockprep.config import PrepConfig
 from blockprep.operators.messages import sample_keys
 from blockprep.operators.packing import assign_batches, pack
-from blockprep.operators.scores import context_counts
+from blockprep.operators.scores import context_counts, context_scores, overall_scores
 from blockprep.operators.tokens import tokenize
 from blockprep.operators.views import complementary_views, training_pairs
 from blockprep.operators.vocabulary import build_vocab, count_tokens
 from blockprep.sources.prepared import read_vocab, write_views
+from blockprep.sources.storage import cut_lineage
 
 
 def corpus_vocab(messages: DataFrame, cfg: PrepConfig) -> DataFrame:
@@ -69,6 +70,16 @@ def pair_counts(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataF
     return context_counts(training_pairs(views(messages, vocab, cfg)))
 
 
+def fit_scores(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFrame:
+    """Score table for filling: shares by context, and over all contexts.
+
+    The counts are cut off from their lineage, since both parts and the loop
+    that uses them start from there.
+    """
+    counts = cut_lineage(pair_counts(messages, vocab, cfg))
+    return context_scores(counts).unionByName(overall_scores(counts))
+
+
 def prepare(messages: DataFrame, cfg: PrepConfig, path: str, epoch: int = 0) -> None:
     """Build and store vocabulary and views under ``path``, with the stamp."""
     vocab = freeze_vocab(messages, cfg, f"{path}/vocab")

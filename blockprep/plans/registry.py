@@ -14,6 +14,7 @@ from blockprep.functions.arrays import block_of, pad_block, prefix_visible_upto,
 from blockprep.functions.text import norm_role, render_chat, split_tokens, strip
 from blockprep.operators import filling, history, messages, packing, scores, tokens, views, vocabulary
 from blockprep.plans import prepare
+from blockprep.plans.answer import answers
 from blockprep.sources.instructions import read_dataset, read_instructions, write_jsonl
 from blockprep.sources.prepared import write_views
 from blockprep.sources.storage import new_path, spread
@@ -183,12 +184,12 @@ def non_blank(spark, folder):
 def pairs_to_messages(spark, folder):
     """Lines of a document as (user, assistant) pairs, its source as the new text."""
     lines = F.split("text", "\n", -1)
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 2).cast("int")),
-        lambda k: F.struct(
-            F.get(lines, k * 2).alias("user"),
-            F.coalesce(F.get(lines, k * 2 + 1), F.lit("")).alias("assistant"),
-        ),
+    asked = F.filter(lines, lambda _x, i: F.pmod(i, F.lit(2)) == 0)
+    told = F.filter(lines, lambda _x, i: F.pmod(i, F.lit(2)) == 1)
+    pairs = F.zip_with(
+        asked,
+        told,
+        lambda u, a: F.struct(u.alias("user"), F.coalesce(a, F.lit("")).alias("assistant")),
     )
     history_rows = spread(table(spark, folder, "documents")).select(
         F.col("doc_id").alias("sample_id"), pairs.alias("history"), "source"
@@ -279,9 +280,7 @@ def pad_block_query(spark, folder):
 
 
 def prompt_ids(spark, folder):
-    prompts = messages.prompt_messages(
-        table(spark, folder, "benchmark").withColumnRenamed("item_id", "sample_id"), "text", ["sample_id"]
-    )
+    prompts = benchmark_prompts(spark, folder)
     return long_ids(tokens.prompt_ids(prompts, vocab(spark, folder), CFG), "sample_id")
 
 
@@ -535,17 +534,28 @@ def render_state(spark, folder):
     return filling.slot_score(shown, CFG).select("seq_id", "pos", "shown", "score")
 
 
-def _fill(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
-    """Answers to the benchmark texts, filled from the context counts of the conversations."""
+def benchmark_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "benchmark").withColumnRenamed("item_id", "sample_id")
+    return messages.prompt_messages(rows, "text", ["sample_id"])
+
+
+def fitted(spark: SparkSession, folder: str, cfg: PrepConfig) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary and score table (context counts) of the conversations."""
     rows = conversation_messages(spark, folder)
     known = prepare.freeze_vocab(rows, cfg, new_path(spark, "vocab"))
-    prompts = messages.prompt_messages(
-        table(spark, folder, "benchmark").withColumnRenamed("item_id", "sample_id"), "text", ["sample_id"]
+    return known, prepare.fit_scores(rows, known, cfg)
+
+
+def _fill(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
+    """Answers to the benchmark texts, filled from the context counts of the conversations."""
+    known, table_of_scores = fitted(spark, folder, cfg)
+    coded = tokens.prompt_ids(benchmark_prompts(spark, folder), known, cfg)
+    return filling.fill(
+        coded.withColumnRenamed("sample_id", "seq_id"),
+        table_of_scores,
+        vocabulary.suppressed_ids(known, cfg),
+        cfg,
     )
-    coded = tokens.prompt_ids(prompts, known, cfg).withColumnRenamed("sample_id", "seq_id")
-    counts = prepare.pair_counts(rows, known, cfg)
-    table_of_scores = scores.context_scores(counts).unionByName(scores.overall_scores(counts))
-    return filling.fill(coded, table_of_scores, vocabulary.suppressed_ids(known, cfg), cfg)
 
 
 FILL_CFG = replace(
@@ -561,6 +571,13 @@ def fill_sampled(spark, folder):
     return _fill(spark, folder, replace(FILL_CFG, temperature=1.0))
 
 
+def answer_texts(spark, folder):
+    """The same as texts."""
+    cfg = replace(FILL_CFG, temperature=1.0)
+    known, table_of_scores = fitted(spark, folder, cfg)
+    return answers(benchmark_prompts(spark, folder), known, table_of_scores, cfg)
+
+
 # --- files and streams ------------------------------------------------------
 
 
@@ -666,6 +683,7 @@ QUERIES: dict[str, Query] = {
     "render_state": render_state,
     "fill_final": fill_final,
     "fill_sampled": fill_sampled,
+    "answer_texts": answer_texts,
     "instructions_round_trip": instructions_round_trip,
     "select_split": select_split,
     "stream_ingest": stream_ingest,

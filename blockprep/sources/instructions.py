@@ -64,10 +64,7 @@ def read_dataset(
     spark: SparkSession, folder: str, split: str, keys: Sequence[T.StructField] = ()
 ) -> DataFrame:
     """One split of a dataset mirrored as JSON Lines under ``split=<name>`` folders."""
-    everything = read_instructions(
-        spark, folder, keys=[*keys, T.StructField("split", T.StringType())]
-    )
-    return select_split(everything, split)
+    return select_split(read_instructions(spark, folder, keys=keys), split)
 
 
 def select_split(df: DataFrame, split: str) -> DataFrame:
