@@ -100,7 +100,7 @@ def turn_rows(turns: DataFrame, key: str = "conv_id") -> DataFrame:
         F.col(key).alias("sample_id"),
         (F.col("_seen") - 1).alias("ord"),
         "role",
-        F.col("text").alias("content"),
+        F.coalesce("text", F.lit("")).alias("content"),
     )
 
 

@@ -47,11 +47,10 @@ def complementary_views(contexts: DataFrame, cfg: PrepConfig, epoch: int = 0) ->
 
 def view_positions(views: DataFrame, keys: Sequence[str] = ("batch_id", "view")) -> DataFrame:
     """Long form: (batch_id, view, pos, input_id, label)."""
-    zipped = F.zip_with(
-        "input_ids", "labels", lambda t, y: F.struct(t.alias("input_id"), y.alias("label"))
-    )
-    return views.select(*keys, F.posexplode(zipped).alias("pos", "p")).select(
-        *keys, "pos", "p.input_id", "p.label"
+    return (
+        views.select(*keys, F.col("input_ids").alias("input_id"), F.col("labels").alias("label"))
+        .select(*keys, F.posexplode(F.arrays_zip("input_id", "label")).alias("pos", "p"))
+        .select(*keys, "pos", "p.input_id", "p.label")
     )
 
 
@@ -63,21 +62,18 @@ def flatten_views(stacked: DataFrame, keys: Sequence[str], column: str) -> DataF
 def training_pairs(views: DataFrame) -> DataFrame:
     """(batch_id, view, pos, ctx, label): the input before each labelled position.
 
-    Position 0 has nothing before it and so no pair.  Pairs are formed inside
-    the arrays; only labelled positions become rows.
+    Position 0 has nothing before it and so no pair.  Both arrays are lined up
+    first, so that no exploded row carries a whole array along.
     """
     before = F.concat(
         F.array(F.lit(None).cast("int")),
         F.slice("input_ids", F.lit(1), F.greatest(F.size("input_ids") - 1, F.lit(0))),
     )
-    numbered = F.zip_with(
-        F.transform("labels", lambda y, i: F.struct(i.alias("pos"), y.alias("label"))),
-        before,
-        lambda a, b: F.struct(a["pos"].alias("pos"), b.alias("ctx"), a["label"].alias("label")),
-    )
-    labelled = F.filter(numbered, lambda p: (p["pos"] >= 1) & (p["label"] != IGNORE_LABEL))
-    return views.select("batch_id", "view", F.explode(labelled).alias("p")).select(
-        "batch_id", "view", "p.pos", "p.ctx", "p.label"
+    return (
+        views.select("batch_id", "view", before.alias("ctx"), F.col("labels").alias("label"))
+        .select("batch_id", "view", F.posexplode(F.arrays_zip("ctx", "label")).alias("pos", "p"))
+        .where((F.col("pos") >= 1) & (F.col("p.label") != IGNORE_LABEL))
+        .select("batch_id", "view", "pos", "p.ctx", "p.label")
     )
 
 
