@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockprep.functions.text import strip
-from blockprep.operators.running import running_totals
+from blockprep.operators.running import running_counts_with_reset
 
 # The two commands of a chat, compared in lower case.
 CLEAR_COMMAND = "clear"
@@ -25,30 +25,30 @@ def history_messages(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     text = strip(F.coalesce("text", F.lit("")))
     is_user = F.col("role") == "user"
     command = F.lower(text)
+    is_clear = is_user & (command == CLEAR_COMMAND)
     marked = turns.select(
         key,
         "turn",
         "role",
         text.alias("content"),
-        (is_user & (command == CLEAR_COMMAND)).alias("is_clear"),
+        is_clear.alias("is_clear"),
         (is_user & (command == EXIT_COMMAND)).alias("is_exit"),
+        (~is_clear & ~(is_user & (text == ""))).alias("is_message"),
     )
-    counted = running_totals(
+    counted = running_counts_with_reset(
         marked,
         [key],
         "turn",
-        {"epoch": F.col("is_clear").cast("int"), "_exits": F.col("is_exit").cast("int")},
+        {"epoch": F.col("is_clear").cast("int"), "exits": F.col("is_exit").cast("int")},
+        "messages",
+        F.col("is_message"),
+        F.col("is_clear"),
     )
-    blank_prompt = (F.col("role") == "user") & (F.col("content") == "")
-    kept = counted.where((F.col("_exits") == 0) & ~F.col("is_clear") & ~blank_prompt).select(
-        key, "epoch", "turn", "role", "content"
-    )
-    numbered = running_totals(kept, [key, "epoch"], "turn", {"_seen": F.lit(1)})
-    return numbered.select(
+    return counted.where((F.col("exits") == 0) & F.col("is_message")).select(
         key,
         "epoch",
         "turn",
-        (F.col("_seen") - 1).alias("ord"),
+        (F.col("messages") - 1).alias("ord"),
         "role",
         "content",
         (F.col("role") == "user").alias("is_prompt"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,18 @@ BUCKET_DIGITS = 4
 MAX_BUCKETS = 16**BUCKET_DIGITS
 
 
+def _stretched(df: DataFrame, order: str, stretch: int) -> DataFrame:
+    return df.withColumn("_stretch", F.floor(F.col(order) / F.lit(stretch)))
+
+
+def _inside(cut: Sequence[str], order: str) -> WindowSpec:
+    return W.partitionBy(*cut).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def _before(keys: Sequence[str]) -> WindowSpec:
+    return W.partitionBy(*keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -32,16 +44,14 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums, one column per entry of ``totals``.
 
-    ``order`` is an integer that is unique within a key (a turn number).
+    ``order`` is a counter that is unique within a key (a turn number): the
+    table of stretch totals has one row per 65,536 values of it.
     """
     names = list(totals)
+    base = _stretched(df, order, stretch)
     cut = [*keys, "_stretch"]
-    base = df.withColumn("_stretch", F.floor(F.col(order) / F.lit(stretch)))
-
-    inside = W.partitionBy(*cut).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = base.select("*", *[F.sum(totals[n]).over(inside).alias(n) for n in names])
-
-    before = W.partitionBy(*keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    local = base.select("*", *[F.sum(totals[n]).over(_inside(cut, order)).alias(n) for n in names])
+    before = _before(keys)
     carried = (
         base.groupBy(*cut)
         .agg(*[F.sum(totals[n]).alias(n) for n in names])
@@ -53,6 +63,54 @@ def running_totals(
     )
 
 
+def running_counts_with_reset(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    totals: Mapping[str, Column],
+    name: str,
+    counted: Column,
+    reset: Column,
+    stretch: int = STRETCH,
+) -> DataFrame:
+    """Running sums as above, plus ``name``: counted rows since the last reset row.
+
+    Reset rows are not counted themselves.  All columns come out of one pass:
+    inside a stretch the count at the last reset is subtracted; in front of
+    the first reset the rows since a reset in an earlier stretch are added.
+    """
+    names = list(totals)
+    cut = [*keys, "_stretch"]
+    inside = _inside(cut, order)
+    local = (
+        _stretched(df, order, stretch)
+        .select(
+            "*",
+            F.sum(counted.cast("int")).over(inside).alias("_count"),
+            *[F.sum(totals[n]).over(inside).alias(n) for n in names],
+        )
+        .withColumn("_at_reset", F.max(F.when(reset, F.col("_count"))).over(inside))
+    )
+    before = _before(keys)
+    # Running sums never fall, so their maximum is the total of the stretch.
+    ends = local.groupBy(*cut).agg(*[F.max(c).alias(c) for c in ("_count", "_at_reset", *names)])
+    carried = (
+        ends.withColumn("_ahead", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+        .withColumn("_reset_at", F.max(F.col("_ahead") + F.col("_at_reset")).over(before))
+        .select(
+            *cut,
+            (F.col("_ahead") - F.coalesce("_reset_at", F.lit(0))).alias("_open"),
+            *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in names],
+        )
+    )
+    since = F.coalesce(F.col("_count") - F.col("_at_reset"), F.col("_count") + F.col("_open"))
+    return local.join(carried, cut).select(
+        *df.columns,
+        *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in names],
+        since.alias(name),
+    )
+
+
 def dense_order(
     df: DataFrame, rank_hash: Column, tie: str, name: str, within: Sequence[str] = ()
 ) -> DataFrame:

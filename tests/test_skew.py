@@ -32,7 +32,8 @@ def turns(spark):
 
 @pytest.fixture(autouse=True)
 def short_stretches(monkeypatch):
-    monkeypatch.setattr(running.running_totals, "__defaults__", (256,))
+    for function in (running.running_totals, running.running_counts_with_reset):
+        monkeypatch.setattr(function, "__defaults__", (256,))
 
 
 def test_ids_of_a_hot_conversation(turns):
@@ -63,7 +64,9 @@ def test_fold_keeps_every_message(turns):
     assert sum(len(p.messages) for p in pieces) == len(rows)
 
 
-def test_history_of_a_hot_conversation(turns):
+@pytest.mark.parametrize("width", [1, 40, 256, 10**9])
+def test_history_of_a_hot_conversation(turns, monkeypatch, width):
+    monkeypatch.setattr(running.running_counts_with_reset, "__defaults__", (width,))
     rows, df = turns
     expected = []
     epoch, held, current = 0, 0, None
