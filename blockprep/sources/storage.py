@@ -41,8 +41,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Give per-row text work enough tasks when a source comes in few pieces.
 
     A table in many files already has its tasks and stays as it is; only one
-    that would leave most cores idle (one big row group, an unsplittable
-    archive) is dealt out once.
+    that would leave cores idle (one big row group, an unsplittable archive)
+    is dealt out once.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
