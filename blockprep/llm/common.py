@@ -139,7 +139,7 @@ def with_columns(
 
     ``make`` is called once per task and gives a function from a piece to the new
     columns.  A column that already has a new column's name is replaced; those in
-    ``without`` are left out of the result.
+    ``without`` are read, but left out of the result.
     """
     gone = {name.lower() for name, _ in fields} | {name.lower() for name in without}
     kept = [field for field in df.schema.fields if field.name.lower() not in gone]
@@ -148,7 +148,7 @@ def with_columns(
     for name, kind in fields:
         schema = schema.add(name, T.DataType.fromDDL(kind))
     titles = [field.name for field in schema.fields]
-    used = df.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*names, text])])
+    used = df.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*names, text, *without])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockprep.llm import bpe, decontaminate, sharding
+from blockprep.llm import bpe, decontaminate, lm, minhash, sharding
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -30,6 +30,10 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     marked = decontaminate.mark_contamination(docs, _table(spark, folder, "benchmark"))
@@ -54,10 +58,16 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_documents(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_minhash": op2_minhash,
     "op6_decontamination": op6_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {}
