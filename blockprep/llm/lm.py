@@ -41,7 +41,7 @@ from blockprep.llm.common import (
 )
 
 #: Bytes of text in a block, and about as many of hashes in a bucket.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Weight of what was seen after a word, for frequent words; the rest goes to the root.
 SHARE = 0.1
 
