@@ -222,7 +222,12 @@ class Cache(dict):
         return ids
 
 
-def _ranks(lines: bytes) -> tuple[Ranks, Cache]:
+def ranks_key(lines: bytes) -> str:
+    return hashlib.sha256(lines).hexdigest()
+
+
+def load(lines: bytes) -> tuple[Ranks, Cache]:
+    """A rank file ready for use, with an empty cache."""
     ranks = Ranks(lines)
     return ranks, Cache(ranks)
 
@@ -253,7 +258,7 @@ def encode_piece(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, cac
 
 def _shared(spark: SparkSession, path: str) -> Shared:
     lines = read_ranks(path)
-    return Shared(spark, lines, hashlib.sha256(lines).hexdigest())
+    return Shared(spark, lines, ranks_key(lines))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -266,7 +271,7 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
     classes = df.sparkSession.sparkContext.broadcast(code_classes().tobytes())
 
     def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
-        cache, table = built(ranks, _ranks)[1], np.frombuffer(classes.value, np.uint8)
+        cache, table = built(ranks, load)[1], np.frombuffer(classes.value, np.uint8)
 
         def work(piece: pa.RecordBatch) -> list[pa.Array]:
             data, offsets = utf8(piece.column(text))
@@ -288,7 +293,7 @@ def decode(
     fields = [(into, "binary")] + ([(ends, "array<long>")] if ends else [])
 
     def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
-        ranks = built(shared, _ranks)[0]
+        ranks = built(shared, load)[0]
         known = len(ranks.length)
 
         def work(piece: pa.RecordBatch) -> list[pa.Array]:

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockprep.llm import bpe, decontaminate, linededup, lm, minhash, sharding, toxicity
+from blockprep.llm import (
+    bpe,
+    decontaminate,
+    linededup,
+    lm,
+    minhash,
+    pages,
+    sharding,
+    token_counts,
+    topk,
+    toxicity,
+)
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -34,6 +45,21 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.section_rows(token_counts.count_tokens(docs, BPE_RANKS))
+
+
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    extracted = pages.extract_text(_table(spark, folder, "pages"))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     marked = decontaminate.mark_contamination(docs, _table(spark, folder, "benchmark"))
@@ -79,6 +105,9 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
+    "op3_topk": op3_topk,
+    "op4_token_counts": op4_token_counts,
+    "op5_html_text": op5_html_text,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
