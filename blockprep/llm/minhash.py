@@ -5,8 +5,9 @@ is its least hash, and empty bins copy the bin that a fixed sequence of draws fi
 among the filled ones (optimal densification).  Bands of bins are buckets.  In a bucket only
 star-shaped candidates are made: its first documents against the others, never all pairs.
 Candidates are confirmed on the full sets, and links give components.  A bucket whose
-documents are not yet one component goes into the next round with its next documents as
-centres, until every two documents of a bucket are compared or known to be in one component.
+documents are not yet one component goes on: its documents get new, exact buckets from their
+rarest shingles, and rounds with more centres follow until every two documents of a bucket
+are compared or known to be in one component.
 
 Documents with equal sets are one class from the start; only the class with its least id
 takes part.
@@ -47,7 +48,9 @@ BINS, BAND = 128, 4
 BANDS = BINS // BAND
 _BIN_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 #: Centres of a bucket in the first and in later rounds.
-CENTRES = (1, 8, 64)
+CENTRES = (1, 16, 256, 4096)
+#: So many ids at most are broadcast to pick out the texts of candidates.
+BROADCAST_IDS = 1_000_000
 
 _LETTERS, _VALUES = letters_in(SPACE_BYTES), byte_values(LOWER)
 _CHAIN = np.uint64(0x8CB92BA72F3D8DD7)
@@ -129,6 +132,8 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough, in hundredths."""
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)  # texts that are no candidate's then stay where they are
     texts = docs.join(ids, "id", "left_semi").dropDuplicates(["id"])
     both = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
     both = both.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
@@ -161,20 +166,32 @@ def near_duplicates(
     classes = (
         signed.where("set_id IS NOT NULL AND id IS NOT NULL")
         .groupBy("set_id")
-        .agg(F.min("id").alias("class_id"), F.min_by("buckets", "id").alias("buckets"))
+        .agg(
+            F.min("id").alias("class_id"),
+            F.min_by("buckets", "id").alias("buckets"),
+            F.first("n_shingles").alias("n"),
+        )
+    )
+    inside = classes.select(
+        F.explode(F.array_distinct("buckets")).alias("bucket"), F.col("class_id").alias("v"), "n"
     )
-    inside = classes.select(F.explode(F.array_distinct("buckets")).alias("bucket"), F.col("class_id").alias("v"))
     shared = inside.groupBy("bucket").agg(F.min("v").alias("least"), F.max("v").alias("most"))
     shared = shared.where("least < most").select("bucket")
-    left = cut_lineage(inside.join(shared, "bucket").distinct().withColumn("label", F.col("v")))
+    # Of a band's bucket nothing is known about the members from there on.
+    left = inside.join(shared, "bucket").select("bucket", "v", "n", F.col("n").alias("rest"), F.col("v").alias("label"))
+    left = cut_lineage(left)
     roots = None
-    for number in range(1 << 30):
-        if left.isEmpty():
-            break
-        pairs = cut_lineage(_candidates(left, CENTRES[min(number, len(CENTRES) - 1)]))
+    number = 0
+    while not left.isEmpty():
+        centres = CENTRES[min(number, len(CENTRES) - 1)]
+        hub = _centres(left, centres)
+        pairs = cut_lineage(_candidates(left, hub, threshold))
         links = confirmed(pairs, docs, threshold)
         roots = stars(links if roots is None else roots.unionByName(links))
-        left = _unsettled(left, roots, CENTRES[min(number, len(CENTRES) - 1)])
+        left = _unsettled(left, roots, hub)
+        if not number and not left.isEmpty():
+            left = cut_lineage(_mixed(_rare_shingles(left, docs, threshold)))
+        number += 1
     member = signed.select("id", "n_shingles", "set_id").join(classes.select("set_id", "class_id"), "set_id", "left")
     if roots is None:
         member = member.withColumn("root", F.lit(None).cast("long"))
@@ -189,28 +206,85 @@ def near_duplicates(
     )
 
 
-def _numbered(left: DataFrame, centres: int) -> DataFrame:
-    """The first ``centres`` documents of each bucket."""
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("v"))
-    return left.withColumn("place", place).where(F.col("place") <= centres).drop("place")
+def _centres(left: DataFrame, centres: int) -> DataFrame:
+    """Some documents of each bucket: the least, later those outside its largest component first."""
+    if centres == 1:
+        return left.groupBy("bucket").agg(F.min(F.struct("v", "label", "n", "rest")).alias("c")).select("bucket", "c.*")
+    sizes = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"))
+    known = left.join(largest.select("bucket", F.col("most.label").alias("main")), "bucket")
+    order = Window.partitionBy("bucket").orderBy(F.col("label") == F.col("main"), "v")
+    return known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres).drop("place", "main")
 
 
-def _candidates(left: DataFrame, centres: int) -> DataFrame:
-    """Each bucket's centres against its other documents of another component."""
-    if centres == 1:
-        hub = left.groupBy("bucket").agg(F.min(F.struct("v", "label")).alias("c"))
-        hub = hub.select("bucket", F.col("c.v").alias("u"), F.col("c.label").alias("other"))
-    else:
-        hub = _numbered(left, centres).select("bucket", F.col("v").alias("u"), F.col("label").alias("other"))
-    return left.join(hub, "bucket").where("u < v AND label <> other").select("u", "v").distinct()
+def _candidates(left: DataFrame, hub: DataFrame, threshold: int) -> DataFrame:
+    """Each bucket's centres against its other documents of another component.
+
+    No candidates are sets whose sizes alone rule out the similarity, or whose members from
+    the bucket's shingle on (``rest``, in an order that is the same for all sets) are too few.
+    """
+    hub = hub.select(
+        "bucket",
+        F.col("v").alias("u"),
+        F.col("label").alias("other"),
+        F.col("n").alias("size"),
+        F.col("rest").alias("remainder"),
+    )
+    near = F.least("n", "size") * 100 >= F.greatest("n", "size") * threshold
+    enough = F.least("rest", "remainder") * (100 + threshold) >= (F.col("n") + F.col("size")) * threshold
+    both = left.join(hub, "bucket").where("u <> v AND label <> other").where(near & enough)
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _unsettled(left: DataFrame, roots: DataFrame, centres: int) -> DataFrame:
+def _unsettled(left: DataFrame, roots: DataFrame, hub: DataFrame) -> DataFrame:
     """The documents that are still to be compared: not centres yet, in buckets of several components."""
     labels = roots.select(F.col("u").alias("v"), F.col("v").alias("root"))
-    fresh = left.select("bucket", "v").join(labels, "v", "left")
-    fresh = fresh.select("bucket", "v", F.coalesce("root", "v").alias("label"))
-    done = _numbered(left, centres).select("bucket", "v")
-    rest = fresh.join(done, ["bucket", "v"], "left_anti")
-    mixed = rest.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    return cut_lineage(rest.join(mixed.where("least < most").select("bucket"), "bucket"))
+    fresh = left.select("bucket", "v", "n", "rest").join(labels, "v", "left")
+    fresh = fresh.select("bucket", "v", "n", "rest", F.coalesce("root", "v").alias("label"))
+    rest = fresh.join(hub.select("bucket", "v"), ["bucket", "v"], "left_anti")
+    return cut_lineage(_mixed(rest))
+
+
+def _mixed(left: DataFrame) -> DataFrame:
+    """Only buckets that hold documents of several components."""
+    labels = left.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    return left.join(labels.where("least < most").select("bucket"), "bucket")
+
+
+def _rare_shingles(left: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Buckets anew for documents that bands have brought together, but stars have not linked.
+
+    Such documents are often alike without being similar enough, as when many share a long
+    passage; their bands would make them candidates again and again.  Of two sets that are
+    similar enough, each has one of the other's rarest shingles among its own rarest ones, if
+    it takes so many that the rest is too few.  So those shingles are the buckets, and what
+    many documents share is none.
+    """
+    known = left.select("v", "n", "label").distinct()
+    if known.count() <= BROADCAST_IDS:
+        known = F.broadcast(known)
+    texts = docs.join(known, F.col("id") == F.col("v")).dropDuplicates(["v"]).select("v", "n", "label", "text")
+
+    def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
+        def work(piece: pa.RecordBatch) -> list[pa.Array]:
+            sets = shingle_sets(*utf8(piece.column("text")))
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            hashes = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))]
+
+        return work
+
+    rows = with_columns(texts, "text", [("all", "array<long>")], make, without=("text",))
+    rows = rows.select("v", "n", "label", F.explode("all").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("v")
+    ranked = rows.join(shared, "bucket").select(
+        "*",
+        F.row_number().over(own.orderBy("df", "bucket")).alias("place"),
+        F.count(F.lit(1)).over(own).alias("in_others"),
+    )
+    # Shingles that no other document has come first, and need no bucket.
+    enough = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    chosen = ranked.where(F.col("place") + F.col("n") - F.col("in_others") <= enough)
+    rest = F.col("in_others") - F.col("place") + 1
+    return chosen.select("bucket", "v", "n", rest.alias("rest"), "label")
