@@ -33,6 +33,8 @@ LABEL_SHIFT = "shift-in-loss"
 # token length.  The split pattern makes no token longer than 33 characters.
 MAX_VOCAB_SIZE = 1_000_000
 MAX_TOKEN_LENGTH = 64
+# The name of a byte's row in a vocabulary: longer than any token, so that no text has it.
+BYTE_NAME = "<|one byte of a token that has no id: %s|>"
 VOCAB_SCHEMA = "token string, token_id int, is_special boolean"
 
 
@@ -59,13 +61,25 @@ class PrepConfig:
     unknown_id: int = 2
     pad_id: int | None = None
     bos_id: int | None = None
+    #: Tokens outside the vocabulary become the ids of their bytes, so that none is lost.
+    byte_fallback: bool = True
 
     def __post_init__(self) -> None:
         for name in ("block_size", "sub_block_size", "context_length", "micro_batch"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
-        if not 0 < self.vocab_size < MAX_VOCAB_SIZE - FIRST_CORPUS_ID:
+        if not 0 < self.vocab_size < MAX_VOCAB_SIZE - FIRST_CORPUS_ID - 256:
             raise ValueError(f"vocab_size must leave room below {MAX_VOCAB_SIZE}")
+        if not 0 < self.top_p <= 1 or not 0 <= self.threshold <= 1 or self.max_new_tokens < 1:
+            raise ValueError("top_p is in (0, 1], threshold in [0, 1], max_new_tokens at least 1")
+        marks = [i for i in (self.mask_id, self.eos_id, self.unknown_id) if i is not None]
+        if len(set(marks)) < len(marks) or min(marks) < 0:
+            raise ValueError("mask, end and unknown ids must differ and not be below 0")
+
+    @property
+    def byte_base(self) -> int:
+        """The id of byte 0: byte ids follow the places of a whole vocabulary."""
+        return FIRST_CORPUS_ID + self.vocab_size
 
     @property
     def padding_id(self) -> int | None:

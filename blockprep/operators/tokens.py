@@ -15,23 +15,34 @@ from blockprep.functions.text import render_chat, render_message, split_tokens
 # A rendered message is at least this many tokens: both marks and two breaks.
 LEAST_MESSAGE_TOKENS = 4
 
-# Token ids are below this number.
+# Ids below this number travel in one long with their place.
 ID_SPAN = 2**24
 
+# One character written in hex, byte by byte with a blank behind each.
+_WHOLE = "([0-7]. |(?:C[2-9A-F]|D.) [89AB]. |E. [89AB]. [89AB]. |F[0-4] [89AB]. [89AB]. [89AB]. )"
+
+
+def _byte_ids(token: Column, cfg: PrepConfig) -> Column:
+    """The ids of a token's UTF-8 bytes."""
+    digits = F.hex(F.encode(token, "UTF-8"))
+    places = F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))
+    return F.transform(
+        places, lambda p: F.conv(F.substr(digits, p, F.lit(2)), 16, 10).cast("int") + cfg.byte_base
+    )
+
 
 def _lookup(tokens: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFrame:
-    """Add token_id; tokens outside the vocabulary get the unknown id.
+    """Add token_id, NULL outside the vocabulary, and for such tokens byte_ids.
 
-    The vocabulary is broadcast: ``build_vocab`` caps its rows and the split
-    pattern the length of a token; ``read_vocab`` checks both for stored ones.
+    Without byte fallback they have the unknown id.  The vocabulary is broadcast:
+    ``build_vocab`` caps its rows and the split pattern the length of a token;
+    ``read_vocab`` checks both for stored ones.
     """
     known = F.broadcast(vocab.select("token", "token_id"))
-    return tokens.join(known, "token", "left").withColumn(
-        "token_id",
-        F.when(F.col("token").isNull(), None).otherwise(
-            F.coalesce("token_id", F.lit(cfg.unknown_id))
-        ),
-    )
+    joined = tokens.join(known, "token", "left")
+    outside = F.col("token").isNotNull() & F.col("token_id").isNull()
+    others = _byte_ids(F.col("token"), cfg) if cfg.byte_fallback else F.array(F.lit(cfg.unknown_id))
+    return joined.withColumn("byte_ids", F.when(outside, others))
 
 
 def _regroup(tokens: DataFrame, key: str, place: Column, length: int) -> DataFrame:
@@ -39,15 +50,28 @@ def _regroup(tokens: DataFrame, key: str, place: Column, length: int) -> DataFra
 
     Rows of a message sit in one partition, so the map-side step already folds
     them.  Place and id travel in one long, a fifth of what a struct of them
-    takes in the shuffle, and sort as such.
+    takes in the shuffle, and sort as such; only bytes and very large ids go in
+    structs of their own.
     """
-    entry = place.cast("long") * ID_SPAN + F.col("token_id")
-    entries = tokens.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    place, small = place.cast("long"), F.col("token_id") < ID_SPAN
+    entry = F.when(small, place * ID_SPAN + F.col("token_id"))
+    other = F.coalesce("byte_ids", F.when(~small, F.array("token_id")))
+    entries = tokens.groupBy(key).agg(
+        F.sort_array(F.collect_list(entry)).alias("e"),
+        F.collect_list(F.when(other.isNotNull(), F.struct(place.alias("p"), other.alias("ids")))).alias("o"),
+    )
+
+    def id_of(e: Column) -> Column:
+        return e.bitwiseAND(F.lit(ID_SPAN - 1)).cast("int")
+
+    plain = F.transform(F.slice("e", 1, length), id_of)
+    single = F.transform(
+        "e", lambda e: F.struct(F.shiftright(e, 24).alias("p"), F.array(id_of(e)).alias("ids"))
+    )
+    mixed = F.transform(F.array_sort(F.concat(single, F.col("o"))), lambda s: s["ids"])
     return entries.select(
         key,
-        F.transform(
-            F.slice("e", 1, length), lambda e: e.bitwiseAND(F.lit(ID_SPAN - 1)).cast("int")
-        ).alias("input_ids"),
+        F.when(F.size("o") == 0, plain).otherwise(F.slice(F.flatten(mixed), 1, length)).alias("input_ids"),
     )
 
 
@@ -122,16 +146,33 @@ def tokenize_with(
 def detokenize(
     sequences: DataFrame, vocab: DataFrame, cfg: PrepConfig, keys: Sequence[str], ids: str = "input_ids"
 ) -> DataFrame:
-    """Id lists to text; special tokens and slots still masked are left out."""
+    """Id lists to text; special tokens and slots still masked are left out.
+
+    Byte ids are put together to characters; bytes that make no whole one (the
+    list was cut within it) are left out.
+    """
     slots = sequences.select(*keys, F.posexplode_outer(ids).alias("pos", "token_id"))
     names = F.broadcast(vocab.select("token_id", "token", "is_special"))
+    byte = F.col("token_id") - cfg.byte_base
+    is_byte = byte.between(0, 255) if cfg.byte_fallback else F.lit(False)
+    part = F.when(is_byte, F.concat(F.lpad(F.hex(byte), 2, "0"), F.lit(" "))).otherwise(F.col("token"))
     shown = F.when(
-        ~F.coalesce("is_special", F.lit(False)) & (F.col("token_id") != cfg.mask_id),
-        F.struct("pos", "token"),
+        ~F.coalesce("is_special", F.lit(False)) & (F.col("token_id") != cfg.mask_id) & part.isNotNull(),
+        F.struct("pos", part.alias("part"), is_byte.alias("byte")),
     )
-    return (
+    grouped = (
         slots.join(names, "token_id", "left")
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(shown)).alias("e"))
-        .select(*keys, F.array_join(F.transform("e", lambda e: e["token"]), "").alias("text"))
     )
+    plain = F.array_join(F.transform("e", lambda e: e["part"]), "")
+    coded = F.transform(
+        "e",
+        lambda e: F.when(e["byte"], e["part"]).otherwise(
+            F.regexp_replace(F.hex(F.encode(e["part"], "UTF-8")), "(..)", "$1 ")
+        ),
+    )
+    whole = F.array_join(F.regexp_extract_all(F.array_join(coded, ""), F.lit(_WHOLE), F.lit(1)), "")
+    decoded = F.unhex(F.replace(whole, F.lit(" "), F.lit(""))).cast("string")
+    text = F.when(F.exists("e", lambda e: e["byte"]), decoded).otherwise(plain)
+    return grouped.select(*keys, text.alias("text"))

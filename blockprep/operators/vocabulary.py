@@ -3,24 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockprep.config import (
+    BYTE_NAME,
+    EOS_TOKEN,
     FIRST_CORPUS_ID,
+    MASK_TOKEN,
     SPECIAL_TOKENS,
     TURN_END,
     TURN_START,
+    UNKNOWN_TOKEN,
+    VOCAB_SCHEMA,
     PrepConfig,
 )
 from blockprep.functions.text import render_message, split_tokens
 
 
-def special_tokens(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{token}', {i}, true)" for token, i in SPECIAL_TOKENS)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(token, token_id, is_special)")
+def special_rows(cfg: PrepConfig) -> list[tuple[str, int]]:
+    """The marks with their ids, as the settings have them."""
+    own = {MASK_TOKEN: cfg.mask_id, EOS_TOKEN: cfg.eos_id, UNKNOWN_TOKEN: cfg.unknown_id}
+    rows = [(cfg.mask_token if t == MASK_TOKEN else t, own.get(t, i)) for t, i in SPECIAL_TOKENS]
+    return [(token, i) for token, i in rows if i is not None]
+
+
+def special_tokens(spark: SparkSession, cfg: PrepConfig = PrepConfig()) -> DataFrame:
+    return spark.createDataFrame([(t, i, True) for t, i in special_rows(cfg)], VOCAB_SCHEMA)
+
+
+def byte_tokens(spark: SparkSession, cfg: PrepConfig) -> DataFrame:
+    """A row for each byte, behind the places of the corpus tokens."""
+    name = F.format_string(BYTE_NAME, F.lpad(F.hex("id"), 2, "0"))
+    return spark.range(256).select(
+        name.alias("token"),
+        (F.col("id") + cfg.byte_base).cast("int").alias("token_id"),
+        F.lit(False).alias("is_special"),
+    )
 
 
 def _id_rows(spark: SparkSession, ids: Sequence[int]) -> DataFrame:
@@ -66,7 +88,7 @@ def build_vocab(counts: DataFrame, cfg: PrepConfig) -> DataFrame:
     The cap comes first, so the single-task numbering sees at most
     ``cfg.vocab_size`` short rows.
     """
-    reserved = [token for token, _ in SPECIAL_TOKENS] + [cfg.mask_token]
+    reserved = [token for token, _ in special_rows(cfg)]
     corpus = counts.where(~F.col("token").isin(reserved))
     order = [F.desc("n"), F.col("token")]
     top = _frequent(corpus, cfg.vocab_size).orderBy(*order).limit(cfg.vocab_size)
@@ -76,7 +98,31 @@ def build_vocab(counts: DataFrame, cfg: PrepConfig) -> DataFrame:
         (rank + (FIRST_CORPUS_ID - 1)).cast("int").alias("token_id"),
         F.lit(False).alias("is_special"),
     )
-    return numbered.unionByName(special_tokens(counts.sparkSession))
+    vocab = numbered.unionByName(special_tokens(counts.sparkSession, cfg))
+    return vocab.unionByName(byte_tokens(counts.sparkSession, cfg)) if cfg.byte_fallback else vocab
+
+
+def bind_vocab(vocab: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, PrepConfig]:
+    """A supplied vocabulary with its mask token, and settings with the ids it really has.
+
+    The mask is added behind the highest id unless it is there.  End and unknown ids follow
+    the rows of that name; without an unknown row or byte rows, tokens outside the
+    vocabulary would have no id, which is an error.
+    """
+    vocab = ensure_token(vocab, cfg.mask_token)
+    wanted = [cfg.mask_token, EOS_TOKEN, UNKNOWN_TOKEN, BYTE_NAME % "00"]
+    found = dict(vocab.where(F.col("token").isin(wanted)).select("token", "token_id").collect())
+    bytes_at = found.get(BYTE_NAME % "00")
+    if bytes_at is None and UNKNOWN_TOKEN not in found:
+        raise ValueError("the vocabulary has neither an unknown token nor byte rows")
+    return vocab, replace(
+        cfg,
+        mask_id=found[cfg.mask_token],
+        eos_id=found.get(EOS_TOKEN),
+        unknown_id=found.get(UNKNOWN_TOKEN, max(found.values()) + 256),
+        byte_fallback=bytes_at is not None,
+        **({} if bytes_at is None else {"vocab_size": bytes_at - FIRST_CORPUS_ID}),
+    )
 
 
 def ensure_token(vocab: DataFrame, token: str) -> DataFrame:

@@ -21,6 +21,7 @@ from blockprep.plans.registry import (
 
 L, BLOCK, SUB, SEED = CFG.context_length, CFG.block_size, CFG.sub_block_size, CFG.seed
 PATTERN = token_pattern(CFG)
+BYTES = 5 + CFG.vocab_size
 RESERVED = ", ".join(f"'{t}'" for t, _ in SPECIAL_TOKENS)
 RESERVED_ROWS = ", ".join(f"('{t}', {i}, true)" for t, i in SPECIAL_TOKENS)
 
@@ -40,7 +41,23 @@ def _vocab(counts: str) -> str:
       FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rn
             FROM {counts} WHERE token NOT IN ({RESERVED}))
       WHERE rn <= {CFG.vocab_size}
-      UNION ALL SELECT * FROM (VALUES {RESERVED_ROWS}) AS s(token, token_id, is_special)"""
+      UNION ALL SELECT * FROM (VALUES {RESERVED_ROWS}) AS s(token, token_id, is_special)
+      UNION ALL SELECT '<|one byte of a token that has no id: ' || printf('%02X', b) || '|>',
+                       CAST({BYTES} + b AS INTEGER), false FROM range(256) AS r(b)"""
+
+
+def _coded(tokens: str) -> str:
+    """Each token's id, or the ids of its bytes where it has none."""
+    return f"""
+      SELECT sample_id, i, CASE WHEN token_id IS NOT NULL THEN [token_id] ELSE list_transform(range(strlen(token)),
+               lambda k: CAST({BYTES} + ('0x' || substr(hex(encode(token)), CAST(2 * k + 1 AS BIGINT), 2))::BIGINT AS INTEGER)) END AS own
+      FROM {tokens} LEFT JOIN (SELECT token, token_id FROM vocab) USING (token)"""
+
+
+def _numbered(coded: str) -> str:
+    return f"""
+      SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY i, j) - 1 AS pos, token_id
+      FROM (SELECT sample_id, i, unnest(own) AS token_id, generate_subscripts(own, 1) AS j FROM {coded})"""
 
 
 # --- instruction rows ---------------------------------------------------------
@@ -74,9 +91,10 @@ TOKENS = {
       FROM (SELECT sample_id, regexp_extract_all(text, '{PATTERN}', 1) AS t FROM rendered)""",
     "counts": "SELECT token, count(*) AS n FROM toks GROUP BY token",
     "vocab": _vocab("counts"),
-    "cut": f"""
-      SELECT sample_id, i AS pos, coalesce(token_id, 2) AS token_id
-      FROM toks LEFT JOIN vocab USING (token) WHERE i < {L}""",
+    "early": f"SELECT * FROM toks WHERE i < {L}",
+    "coded": _coded("early"),
+    "numbered": _numbered("coded"),
+    "cut": f"SELECT sample_id, pos, token_id FROM numbered WHERE pos < {L}",
     "ids": """
       SELECT sample_id, CAST(pos AS INTEGER) AS pos, CAST(token_id AS INTEGER) AS token_id FROM cut
       UNION ALL
@@ -365,17 +383,21 @@ ORACLES: dict[str, str] = {
                        {_rendered("'user'", 'text')} || '<|im_start|>assistant' || chr(10),
                        '{PATTERN}', 1) AS t FROM benchmark""",
             "asked_tokens": """
-              SELECT sample_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos,
-                     unnest(t) AS token FROM asked""",
+              SELECT sample_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS token FROM asked""",
+            "asked_coded": _coded("asked_tokens"),
+            "asked_numbered": _numbered("asked_coded"),
         },
-        """SELECT sample_id, pos, CAST(coalesce(token_id, 2) AS INTEGER) AS token_id
-           FROM asked_tokens LEFT JOIN vocab USING (token)""",
+        "SELECT sample_id, CAST(pos AS INTEGER) AS pos, token_id FROM asked_numbered",
     ),
     "detokenize": _with(
         PACKED,
-        """SELECT batch_id, coalesce(string_agg(token, '' ORDER BY pos) FILTER (WHERE NOT is_special), '')
-                  AS text
-           FROM packed JOIN vocab USING (token_id) GROUP BY batch_id""",
+        f"""SELECT batch_id, decode(unhex(replace(array_to_string(regexp_extract_all(
+                    coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE NOT is_special), ''),
+                    '([0-7]. |(?:C[2-9A-F]|D.) [89AB]. |E. [89AB]. [89AB]. |F[0-4] [89AB]. [89AB]. [89AB]. )'
+                  ), ''), ' ', ''))) AS text
+           FROM (SELECT *, CASE WHEN token_id >= {BYTES} THEN printf('%02X ', token_id - {BYTES})
+                                ELSE regexp_replace(hex(encode(token)), '(..)', '\\1 ', 'g') END AS h
+                 FROM packed JOIN vocab USING (token_id)) GROUP BY batch_id""",
     ),
     "assign_batches": _with(DOCUMENT_BATCHES, "SELECT * FROM batches"),
     "step_plan": STEP_PLAN,

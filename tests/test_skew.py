@@ -11,6 +11,7 @@ from blockprep.operators import running
 from blockprep.operators.history import history_prompts
 from blockprep.operators.messages import fold_turns, sample_keys, turn_rows
 from blockprep.operators.tokens import token_ids
+from tests.test_tokens import coded
 from blockprep.plans.prepare import batches, corpus_vocab
 
 CFG = PrepConfig(block_size=4, context_length=64, vocab_size=100, micro_batch=2)
@@ -45,7 +46,7 @@ def test_ids_of_a_hot_conversation(turns):
     for conv, _, role, text in rows:
         texts[conv] = texts.get(conv, "") + f"<|im_start|>{role}\n{text}<|im_end|>\n"
     expected = {
-        c: [known.get(t, 2) for t in PATTERN.findall(text)][: CFG.context_length]
+        c: coded(PATTERN.findall(text), known, CFG)[: CFG.context_length]
         for c, text in texts.items()
     }
     got = {r.sample_id: r.input_ids for r in token_ids(messages, vocab, CFG).collect()}

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,7 @@ from blockprep.functions.text import split_tokens, token_pattern
 from blockprep.operators.messages import message_rows
 from blockprep.operators.tokens import detokenize, prompt_ids, token_ids, tokenize, tokenize_with
 from blockprep.operators.vocabulary import (
+    bind_vocab,
     build_vocab,
     count_tokens,
     ensure_token,
@@ -62,6 +64,45 @@ def samples(spark):
     return rows, spark.createDataFrame(rows, "sample_id long, messages array<struct<role:string,content:string>>")
 
 
+def coded(tokens, ids, cfg):
+    """Ids of tokens; those of their bytes where they have none."""
+    parts = [[ids[t]] if t in ids else [cfg.byte_base + b for b in t.encode()] for t in tokens]
+    return [i for part in parts for i in part]
+
+
+def test_nothing_is_lost_outside_the_vocabulary(spark):
+    cfg = PrepConfig(context_length=4096, vocab_size=3)
+    text = "alpha beta gamma naïve 中文 👍 |<MASK>| 12"
+    rows = spark.createDataFrame([(1, [("user", text)])], "sample_id long, messages array<struct<role:string,content:string>>")
+    messages = message_rows(rows)
+    vocab = build_vocab(count_tokens(messages, cfg), cfg)
+    back = detokenize(token_ids(messages, vocab, cfg), vocab, cfg, ["sample_id"]).first().text
+    assert back == f"user\n{text.replace('|<MASK>|', '')}\n"
+    cut = PrepConfig(context_length=9, vocab_size=3)
+    [row] = detokenize(tokenize(messages, vocab, cut), vocab, cut, ["sample_id"]).collect()
+    assert f"user\n{text}".startswith(row.text) and row.text
+
+
+def test_large_ids_survive(spark):
+    big = 2**24 + 5
+    vocab = spark.createDataFrame([("a", big, False), ("<unk>", 2, True)], "token string, token_id int, is_special boolean")
+    vocab, cfg = bind_vocab(vocab, PrepConfig(context_length=64))
+    assert (cfg.mask_id, cfg.eos_id, cfg.unknown_id, cfg.byte_fallback) == (big + 1, None, 2, False)
+    rows = spark.createDataFrame([(1, [("a", "b")])], "sample_id long, messages array<struct<role:string,content:string>>")
+    ids = token_ids(message_rows(rows), vocab, cfg).first().input_ids
+    assert set(ids) == {big, 2} and ids.count(big) == 1
+    with pytest.raises(ValueError):
+        bind_vocab(vocab.where("token = 'a'"), PrepConfig())
+
+
+def test_own_mask_token(spark):
+    cfg = PrepConfig(context_length=64, mask_token="[MASK]", mask_id=7)
+    rows = spark.createDataFrame([(1, [("user", "x [MASK] y")])], "sample_id long, messages array<struct<role:string,content:string>>")
+    messages = message_rows(rows)
+    vocab = build_vocab(count_tokens(messages, cfg), cfg)
+    assert 7 in token_ids(messages, vocab, cfg).first().input_ids
+
+
 def test_token_ids_against_whole_texts(spark):
     rows, df = samples(spark)
     messages = message_rows(df)
@@ -70,7 +111,7 @@ def test_token_ids_against_whole_texts(spark):
     assert len(set(ids.values())) == len(ids)
     expected = {}
     for key, turns in rows:
-        cut = [ids.get(t, 2) for t in PATTERN.findall(render(turns))][: CFG.context_length]
+        cut = coded(PATTERN.findall(render(turns)), ids, CFG)[: CFG.context_length]
         expected[key] = cut if cut and cut[-1] == 1 else [*cut, 1]
     for parts in (1, 7):
         got = tokenize(messages.repartition(parts), vocab, CFG).collect()
@@ -79,7 +120,7 @@ def test_token_ids_against_whole_texts(spark):
     prompts = {r.sample_id: r.input_ids for r in prompt_ids(df, vocab, CFG).collect()}
     for key, turns in rows:
         text = render(turns) + "<|im_start|>assistant\n"
-        assert prompts[key] == [ids.get(t, 2) for t in PATTERN.findall(text)]
+        assert prompts[key] == coded(PATTERN.findall(text), ids, CFG)
 
 
 def test_vocabulary_order_and_cap(spark):
@@ -87,7 +128,8 @@ def test_vocabulary_order_and_cap(spark):
         [("b", 3), ("a", 3), ("c", 9), ("d", 1), ("|<MASK>|", 99)], "token string, n long"
     )
     vocab = build_vocab(counts, PrepConfig(vocab_size=3))
-    corpus = vocab.where("not is_special").orderBy("token_id").collect()
+    corpus = vocab.where("not is_special AND token_id < 8").orderBy("token_id").collect()
+    assert vocab.where("token_id BETWEEN 8 AND 263").count() == 256
     assert [(r.token, r.token_id) for r in corpus] == [("c", 5), ("a", 6), ("b", 7)]
 
 
