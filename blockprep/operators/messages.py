@@ -26,14 +26,15 @@ def _with_all_columns(df: DataFrame) -> DataFrame:
 
 
 def _is_rejected() -> Column:
-    """Rows that have no message form: no role, no turn, or no JSON at all.
+    """Rows that have no message form: no role, no turn, or no JSON object.
 
     A record that is flagged only because one field has another type (say a
     text where a list is expected) still parses and is not rejected.
     """
     bad_message = F.exists("messages", lambda m: m.isNull() | m["role"].isNull())
     bad_turn = F.exists("conversations", lambda t: t.isNull())
-    bad_record = F.col("_corrupt_record").isNotNull() & F.try_parse_json("_corrupt_record").isNull()
+    kind = F.schema_of_variant(F.try_parse_json("_corrupt_record"))
+    bad_record = F.col("_corrupt_record").isNotNull() & ~F.coalesce(kind.startswith("OBJECT"), F.lit(False))
     return F.coalesce(
         bad_record | F.when(F.col("messages").isNotNull(), bad_message).otherwise(F.coalesce(bad_turn, F.lit(False))),
         F.lit(False),
@@ -93,9 +94,31 @@ def sample_keys(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("ord") == 0).select("sample_id")
 
 
+def with_sample_ids(df: DataFrame, name: str = "sample_id") -> DataFrame:
+    """Rows without an id get one: a hash of their content, and a number among equal rows.
+
+    Reading the same rows again, in any order or split, gives the same ids; equal rows are
+    numbered from 0, in stretches, so that many copies of a row are no single task's.
+    """
+    content = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    keyed = df.withColumn("_content", content).withColumn("_place", F.monotonically_increasing_id())
+    counted = running_totals(keyed, ["_content"], "_place", {"_seen": F.lit(1)})
+    return counted.withColumn(
+        name, F.concat_ws("-", "_content", (F.col("_seen") - 1).cast("string"))
+    ).select(name, *df.columns)
+
+
+def rejected_turns(turns: DataFrame) -> DataFrame:
+    """Turns without a role, which have no message form."""
+    return turns.where(F.col("role").isNull())
+
+
 def turn_rows(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Turn rows as message rows: turns renumbered 0, 1, ... in each conversation."""
-    counted = running_totals(turns, [key], "turn", {"_seen": F.lit(1)})
+    """Turn rows as message rows: turns renumbered 0, 1, ... in each conversation.
+
+    Turns without a role are left out; ``rejected_turns`` has them.
+    """
+    counted = running_totals(turns.where(F.col("role").isNotNull()), [key], "turn", {"_seen": F.lit(1)})
     return counted.select(
         F.col(key).alias("sample_id"),
         (F.col("_seen") - 1).alias("ord"),

@@ -494,6 +494,19 @@ ORACLES: dict[str, str] = {
            FROM slots JOIN vocab USING (token_id)""",
     ),
     "instructions_round_trip": _with(INSTRUCTIONS, "SELECT sample_id, ord, role, content FROM msgs"),
+    "rows_without_ids": _with(
+        INSTRUCTIONS,
+        """SELECT md5(r.text) AS digest, row_number() OVER (
+                    PARTITION BY doc_id % 3, d.text, lang, source ORDER BY doc_id) - 1 AS copy,
+                  CAST(32 AS INTEGER) AS id_chars
+           FROM rendered r JOIN documents d ON d.doc_id = r.sample_id""",
+    ),
+    "rejected_lines": """
+        SELECT CASE doc_id % 5 WHEN 0 THEN '123' WHEN 1 THEN '"txt"' WHEN 2 THEN '[1]' WHEN 3 THEN '{broken'
+                    ELSE 'taken' END AS line, count(*) AS n
+        FROM documents GROUP BY ALL""",
+    "lossless_ids": """
+        SELECT doc_id AS sample_id, md5('user' || chr(10) || text || chr(10)) AS digest FROM documents""",
     "select_split": _with(
         INSTRUCTIONS,
         "SELECT sample_id, md5(text) AS digest FROM rendered WHERE sample_id % 5 <> 0",

@@ -588,6 +588,44 @@ def instructions_round_trip(spark, folder):
     return messages.message_rows(messages.to_messages(back))
 
 
+def rows_without_ids(spark, folder):
+    """Instruction files as most come: no id column; ids are made from the content."""
+    path = new_path(spark, "rows")
+    write_jsonl(instruction_rows(spark, folder).drop("sample_id"), path)
+    rows = messages.with_sample_ids(read_instructions(spark, path))
+    return messages.to_messages(rows).select(
+        F.md5(render_chat("messages")).alias("digest"),
+        F.substring_index("sample_id", "-", -1).cast("long").alias("copy"),
+        F.length(F.substring_index("sample_id", "-", 1)).alias("id_chars"),
+    )
+
+
+def rejected_lines(spark, folder):
+    """Lines that are JSON but no objects, or no JSON, between good ones."""
+    path, doc = new_path(spark, "lines"), table(spark, folder, "documents")
+    kind = F.pmod("doc_id", F.lit(5))
+    good = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("lang").alias("answer")))
+    line = F.when(kind == 0, "123").when(kind == 1, '"txt"').when(kind == 2, "[1]").when(kind == 3, "{broken")
+    doc.select(F.coalesce(line, good).alias("value")).write.text(path)
+    rows = read_instructions(spark, path)
+    refused = messages.rejected_rows(rows).groupBy(F.col("_corrupt_record").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    taken = messages.to_messages(rows, keys=[]).agg(F.count(F.lit(1)).alias("n"))
+    return refused.unionByName(taken.select(F.lit("taken").alias("line"), "n"))
+
+
+def lossless_ids(spark, folder):
+    """Documents to ids and back with a vocabulary that lacks most of their tokens."""
+    cfg = replace(CFG, vocab_size=300, context_length=2**20)
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
+    counted = docs.select(F.explode(split_tokens("text", cfg)).alias("token")).groupBy("token")
+    known = vocabulary.build_vocab(counted.agg(F.count(F.lit(1)).alias("n")), cfg)
+    rows = docs.select(
+        F.col("doc_id").alias("sample_id"), F.lit(0).alias("ord"), F.lit("user").alias("role"), F.col("text").alias("content")
+    )
+    back = tokens.detokenize(tokens.token_ids(rows, known, cfg), known, cfg, ["sample_id"])
+    return back.select("sample_id", F.md5("text").alias("digest"))
+
+
 def select_split(spark, folder):
     path = new_path(spark, "dataset")
     split = F.when(F.pmod("sample_id", F.lit(5)) == 0, "test").otherwise("train")
@@ -686,6 +724,9 @@ QUERIES: dict[str, Query] = {
     "answer_texts": answer_texts,
     "instructions_round_trip": instructions_round_trip,
     "select_split": select_split,
+    "rows_without_ids": rows_without_ids,
+    "rejected_lines": rejected_lines,
+    "lossless_ids": lossless_ids,
     "stream_ingest": stream_ingest,
     "stream_views": stream_views,
 }

@@ -92,11 +92,15 @@ def load_instructions(
     split: str = "train",
     data_files: str | Sequence[str] | None = None,
     keys: Sequence[T.StructField] = (),
+    multiline: bool = False,
 ) -> DataFrame:
-    """Rows from files, or from the split of a mirrored dataset; files win."""
+    """Rows from files, or from the split of a mirrored dataset; files win.
+
+    ``multiline`` reads files that hold one JSON value over many lines.
+    """
     kind, source = resolve_source(dataset, data_files)
     if kind == "files":
-        return read_instructions(spark, source, keys=keys)
+        return read_instructions(spark, source, multiline, keys)
     return read_dataset(spark, source, split, keys=keys)
 
 

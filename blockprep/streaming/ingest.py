@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from blockprep.config import PrepConfig
 from blockprep.functions.text import render_chat
-from blockprep.operators.messages import message_rows, to_messages
+from blockprep.operators.messages import message_rows, rejected_rows, to_messages
 from blockprep.operators.tokens import tokenize
 from blockprep.operators.packing import pack
 from blockprep.operators.views import complementary_views
@@ -46,15 +46,32 @@ def ingest_rendered(rows: DataFrame, keys: Sequence[str], path: str, checkpoint:
     )
 
 
+def ingest_rejects(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the new rows that have no message form as JSON Lines; run it beside the others."""
+    return (
+        rejected_rows(rows)
+        .writeStream.format("json")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def ingest_views(
-    rows: DataFrame, vocab_path: str, cfg: PrepConfig, path: str, checkpoint: str
+    rows: DataFrame,
+    vocab_path: str,
+    cfg: PrepConfig,
+    path: str,
+    checkpoint: str,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Tokenize, pack and mask new rows against a stored, frozen vocabulary.
 
     Every sample is its own context, keyed by its id: the result does not
     depend on which trigger a sample arrived in, and equals the batch result.
     Each trigger owns one output folder and overwrites it, so a replayed
-    trigger leaves no duplicates.
+    trigger leaves no duplicates.  Rows without a message form go to ``rejects``.
     """
     if cfg.micro_batch != 1:
         raise ValueError("incremental views pack one sample per context")
@@ -64,6 +81,8 @@ def ingest_views(
         vocab = read_vocab(batch.sparkSession, vocab_path)
         views = sample_views(message_rows(to_messages(batch)), vocab, cfg)
         views.write.mode("overwrite").parquet(f"{path}/trigger={trigger}")
+        if rejects is not None:
+            rejected_rows(batch).write.mode("overwrite").json(f"{rejects}/trigger={trigger}")
 
     return (
         rows.writeStream.foreachBatch(write)
