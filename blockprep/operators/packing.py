@@ -83,7 +83,7 @@ def step_plan(
     """Which sample is read in which optimizer step: (step, micro, epoch, slot, sample_id).
 
     Epochs follow each other, each in its own order, until ``max_steps *
-    accumulation`` micro-batches are used.
+    accumulation`` micro-batches are used.  The first of ``keys`` names a sample.
     """
     wanted = max_steps * accumulation
     total = samples.count()
@@ -95,8 +95,8 @@ def step_plan(
     repeated = samples.select(*keys).withColumn(
         "epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
     )
-    rank = hash_key(cfg.seed, F.col("epoch"), F.col("sample_id"))
-    ordered = dense_order(repeated, rank, "sample_id", "_index", within=["epoch"])
+    rank = hash_key(cfg.seed, F.col("epoch"), F.col(keys[0]))
+    ordered = dense_order(repeated, rank, keys[0], "_index", within=["epoch"])
     micro = F.col("epoch") * F.lit(per_epoch) + F.floor(F.col("_index") / F.lit(cfg.micro_batch))
     return ordered.withColumn("micro", micro.cast("long")).where(F.col("micro") < wanted).select(
         F.floor(F.col("micro") / F.lit(accumulation)).alias("step"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockprep.config import IGNORE_LABEL, PrepConfig
@@ -45,6 +45,19 @@ def complementary_views(contexts: DataFrame, cfg: PrepConfig, epoch: int = 0) ->
     )
 
 
+def stacked_labels(cfg: PrepConfig) -> Column:
+    """Of a row with coins, the labels of both views as [views][sequence]."""
+
+    def labels(wanted: int) -> Column:
+        return F.zip_with(
+            "input_ids",
+            "coins",
+            lambda t, c: F.when((t != cfg.mask_id) & (c == wanted), t).otherwise(F.lit(IGNORE_LABEL)),
+        )
+
+    return F.array(labels(1), labels(0))
+
+
 def view_positions(views: DataFrame, keys: Sequence[str] = ("batch_id", "view")) -> DataFrame:
     """Long form: (batch_id, view, pos, input_id, label)."""
     return (

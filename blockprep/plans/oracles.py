@@ -218,7 +218,7 @@ ORDERS = {
 
 FILLING = {
     **SCORES,
-    "slots": "SELECT batch_id AS seq_id, pos, input_id AS token_id FROM views WHERE view = 0",
+    "slots": "SELECT batch_id * 2 + view AS seq_id, pos, input_id AS token_id FROM views",
     "scored": """
       SELECT seq_id, pos, s.token_id, coalesce(b.token_id, 2) AS candidate, coalesce(p.prob, 0) AS prob
       FROM slots s LEFT JOIN best b ON b.ctx = s.token_id

@@ -319,12 +319,8 @@ def complementary_views(spark, folder):
 
 
 def flatten_views(spark, folder):
-    stacked = (
-        masked_views(spark, folder)
-        .groupBy("batch_id")
-        .agg(F.array_sort(F.collect_list(F.struct("view", "labels"))).alias("v"))
-        .select("batch_id", F.transform("v", lambda v: v["labels"]).alias("labels"))
-    )
+    contexts = views.mask_coins(packed(spark, folder), CFG)
+    stacked = contexts.select("batch_id", views.stacked_labels(CFG).alias("labels"))
     flat = views.flatten_views(stacked, ["batch_id"], "labels")
     return flat.select("batch_id", "view", F.posexplode("labels").alias("pos", "label"))
 
@@ -426,9 +422,9 @@ def stored_views(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def view_slots(stored: DataFrame) -> DataFrame:
-    """The first view of each context as slots to fill."""
-    return stored.where("view = 0").select(
-        F.col("batch_id").alias("seq_id"), F.posexplode("input_ids").alias("pos", "token_id")
+    """Both views of each context as slots to fill; each view is a sequence."""
+    return stored.select(
+        (F.col("batch_id") * 2 + F.col("view")).alias("seq_id"), F.posexplode("input_ids").alias("pos", "token_id")
     )
 
 
