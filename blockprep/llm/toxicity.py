@@ -34,6 +34,7 @@ from blockprep.llm.common import (
     hash_spans,
     letters_in,
     mix,
+    pieces,
     spans,
     utf8,
     with_columns,
@@ -81,6 +82,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 class Bags:
     """Words of sentences of rows: distinct words by feature numbers, and where they stand."""
 
+    keys: np.ndarray  # hashes of the distinct words
     features: np.ndarray  # distinct words x features
     word: np.ndarray  # sentence by sentence, its words
     sentence: np.ndarray  # where each sentence begins in them
@@ -92,7 +94,8 @@ class Bags:
         starts, ends, rows = spans(data, offsets, _LETTERS)
         if not len(starts):
             none = np.empty(0, np.int64)
-            return Bags(np.empty((0, 1 + len(BEGINNINGS)), np.int32), none, none, none, (none, none))
+            table = np.empty((0, 1 + len(BEGINNINGS)), np.int32)
+            return Bags(np.empty(0, np.uint64), table, none, none, none, (none, none))
         data = fold(data)
         word, known = pd.factorize(hash_spans(data, starts, ends, _VALUES))
         first = np.empty(word.max() + 1, np.int64)
@@ -108,7 +111,27 @@ class Bags:
         pairs = np.sort((np.cumsum(new) - 1) * len(known) + word)
         sentence, word = np.divmod(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])], len(known))
         sentence = np.searchsorted(sentence, np.arange(len(begin)))
-        return Bags(table, word, sentence, owner[begin], (starts[begin], ends[last]))
+        return Bags(known, table, word.astype(np.int32), sentence, owner[begin], (starts[begin], ends[last]))
+
+    @staticmethod
+    def of_rows(texts: pa.ChunkedArray) -> Bags:
+        """Those of many rows, read in pieces so that only words and sentences are held; no spans."""
+        parts, first, rows = [], [], 0
+        for piece in pieces(pa.table([texts], ["text"]).to_batches(), "text"):
+            parts.append(Bags.of(*utf8(piece.column("text"))))
+            first.append(rows)
+            rows += piece.num_rows
+        if not parts:
+            return Bags.of(np.empty(0, np.uint8), np.zeros(1, np.int64))
+        number, known = pd.factorize(np.concatenate([p.keys for p in parts]))
+        table = np.empty((len(known), 1 + len(BEGINNINGS)), np.int32)
+        table[number] = np.concatenate([p.features for p in parts])
+        edges = np.cumsum([0] + [len(p.keys) for p in parts])
+        word = [number[e : e + len(p.keys)][p.word].astype(np.int32) for e, p in zip(edges, parts)]
+        starts = np.cumsum([0] + [len(p.word) for p in parts])
+        sentence = np.concatenate([p.sentence + s for s, p in zip(starts, parts)])
+        row = np.concatenate([p.row + f for f, p in zip(first, parts)])
+        return Bags(known, table, np.concatenate(word), sentence, row, (sentence, sentence))
 
 
 @dataclass
@@ -129,15 +152,20 @@ def noisy_or(logits: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return -np.bincount(row, np.logaddexp(0, logits), rows)
 
 
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    numbers.sort()
+    return numbers[np.concatenate([[True], numbers[1:] != numbers[:-1]])]
+
+
 def evidence(bags: Bags, labels: np.ndarray) -> np.ndarray:
     """Features that enough toxic documents have, and toxic ones far more often than others."""
-    owner = np.repeat(bags.row, np.diff(np.concatenate([bags.sentence, [len(bags.word)]])))
+    owner = np.repeat(bags.row.astype(np.int32), np.diff(np.concatenate([bags.sentence, [len(bags.word)]])))
     toxic, clean = np.zeros(WEIGHTS), np.zeros(WEIGHTS)
-    pairs = pd.unique(owner * np.int64(len(bags.features)) + bags.word)
-    owner, word = np.divmod(pairs, len(bags.features))
+    pairs = _distinct(owner * np.int64(len(bags.features)) + bags.word)
+    owner, word = (x.astype(np.int32) for x in np.divmod(pairs, len(bags.features)))
+    del pairs
     for column in bags.features.T:
-        seen = pd.unique(owner * np.int64(WEIGHTS) + column[word])
-        row, feature = np.divmod(seen, WEIGHTS)
+        row, feature = np.divmod(_distinct(owner * np.int64(WEIGHTS) + column[word]), WEIGHTS)
         toxic += np.bincount(feature, labels[row] > 0, WEIGHTS)
         clean += np.bincount(feature, labels[row] <= 0, WEIGHTS)
     rate = (toxic + 0.5) / (np.sum(labels > 0) + 1)
@@ -193,7 +221,8 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, _TRAIN).sort_by([("y", "ascending"), ("text", "ascending")])
-        model = train(Bags.of(*utf8(table.column("text"))), table.column("y").to_numpy())
+        labels = table.column("y").to_numpy()
+        model = train(Bags.of_rows(table.column("text")), labels)
         weights = model.weights.astype("<f4").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([weights]), pa.array([model.bias])], ["weights", "bias"])
 
