@@ -70,8 +70,8 @@ class PrepConfig:
                 raise ValueError(f"{name} must be at least 1")
         if not 0 < self.vocab_size < MAX_VOCAB_SIZE - FIRST_CORPUS_ID - 256:
             raise ValueError(f"vocab_size must leave room below {MAX_VOCAB_SIZE}")
-        if not 0 < self.top_p <= 1 or not 0 <= self.threshold <= 1 or self.max_new_tokens < 1:
-            raise ValueError("top_p is in (0, 1], threshold in [0, 1], max_new_tokens at least 1")
+        if not 0 < self.top_p <= 1 or self.threshold < 0 or self.max_new_tokens < 0:
+            raise ValueError("top_p is in (0, 1]; threshold and max_new_tokens are not below 0")
         marks = [i for i in (self.mask_id, self.eos_id, self.unknown_id) if i is not None]
         if len(set(marks)) < len(marks) or min(marks) < 0:
             raise ValueError("mask, end and unknown ids must differ and not be below 0")
