@@ -6,6 +6,7 @@ where its rows start, so that splitting and hashing are array work over many row
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -197,3 +198,13 @@ def built(shared: Shared, build: Callable[[object], object]) -> object:
         _built.clear()
         _built[shared.key] = build(shared.value)
     return _built[shared.key]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver collects garbage, which may be long after a loop has gone
+    through many rounds, each with files of its own.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockprep.llm.common import release
 from blockprep.sources.storage import cut_lineage
 
 
@@ -34,6 +35,8 @@ def stars(edges: DataFrame) -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
+        del both, least, large, smallest, small
+        release(edges.sparkSession)
         after = _summary(edges)
         if after == before:
             break

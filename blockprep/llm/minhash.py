@@ -35,6 +35,7 @@ from blockprep.llm.common import (
     hash_spans,
     letters_in,
     mix,
+    release,
     spans,
     utf8,
     with_columns,
@@ -191,6 +192,8 @@ def near_duplicates(
         left = _unsettled(left, roots, hub)
         if not number and not left.isEmpty():
             left = cut_lineage(_mixed(_rare_shingles(left, docs, threshold)))
+        del hub, pairs, links
+        release(docs.sparkSession)
         number += 1
     member = signed.select("id", "n_shingles", "set_id").join(classes.select("set_id", "class_id"), "set_id", "left")
     if roots is None:
