@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from blockprep.llm.common import Shared, built, utf8, with_columns
 
 #: Slices whose ids a task remembers; then it starts to gather anew.
-CACHE_SLICES = 800_000
+CACHE_SLICES = 150_000
 #: A rank file is sent to every task, so it may not be larger.
 MAX_RANK_BYTES = 64 << 20
 #: Slices longer than this are merged with a heap.
