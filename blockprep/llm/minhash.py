@@ -102,11 +102,11 @@ def bin_values(sets: list[np.ndarray]) -> np.ndarray:
     return values
 
 
-def band_hashes(values: np.ndarray) -> np.ndarray:
-    """A bucket number for each row and band."""
-    bands = values.reshape(len(values), BANDS, BAND)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2])
-    for k in range(BAND):
+def band_hashes(values: np.ndarray, band: int = BAND) -> np.ndarray:
+    """A bucket number for each row and band of so many bins."""
+    bands = values.reshape(len(values), BINS // band, band)
+    out = np.broadcast_to(np.arange(1, BINS // band + 1, dtype=np.uint64), bands.shape[:2])
+    for k in range(band):
         out = mix(out * _CHAIN + bands[:, :, k])
     return out.view(np.int64)
 

@@ -138,3 +138,40 @@ def test_templates_of_a_host_go_and_copied_articles_stay(spark):
     assert all(by_id[i] == f"story {i}" for i in range(8)) and all(by_id[100 + i] == "copied story" for i in range(20))
     assert by_id[200] == "read our other stories\nelsewhere" and by_id[201] == "" and by_id[None] == ""
     assert pages.extract_text(empty(table)).count() == 0
+
+
+def extracted(spark, rows):
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return dict(pages.extract_text(table).select("page_id", "text").collect())
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+
+
+def test_inline_links_are_no_templates(spark):
+    """A link in many paragraphs of one page, and of many pages, stays in its sentences."""
+    told = lambda k: f"<p>{prose(k, 30)} <a>Smith</a> and <span>Jones</span> went.</p>"
+    rows = [(i, "http://a.example/", "<body><div>" + "".join(told(10 * i + k) for k in range(6)) + "</div></body>") for i in range(7)]
+    got = extracted(spark, rows)
+    assert all(text.count("Smith and Jones went.") == 6 for text in got.values())
+
+
+def test_near_copies_are_one_page_and_articles_stay_whole(spark):
+    story, table, box = prose(1, 200), "<table><tr><td>unchanged figures</td></tr></table>", "<div>from our sponsors</div>"
+    near = "<body><div><p>{}</p></div><div>aside {}</div></body>"
+    edited = "<body><div><p>{} edit {}</p>{}</div></body>"
+    article = "<body>{}<article><p>{}</p>{}</article></body>"
+    rows = [(i, "http://a.example/", near.format(story, i)) for i in range(8)]
+    rows += [(10 + i, "http://b.example/", edited.format(story, i, table)) for i in range(8)]
+    rows += [(20 + i, "http://c.example/", article.format(box, prose(50 + i, 40), table + box)) for i in range(8)]
+    rows += [(100 + i, "http://d.example/", f"<body>{box}<div>{prose(100 + i, 40)}</div></body>") for i in range(30)]
+    rows += [(200 + i, "http://d.example/", f"<body>{box}<div>{story}</div><p>{prose(200 + i, 300)}</p></body>") for i in range(6)]
+    got = extracted(spark, rows)
+    for i in range(8):
+        assert got[i] == f"{story}\naside {i}"
+        assert got[10 + i] == f"{story} edit {i}\nunchanged figures"
+        assert got[20 + i] == f"{prose(50 + i, 40)}\nunchanged figures\nfrom our sponsors"
+    assert all(got[100 + i] == prose(100 + i, 40) for i in range(30))
+    assert all(got[200 + i] == f"{story}\n{prose(200 + i, 300)}" for i in range(6))
