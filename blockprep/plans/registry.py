@@ -610,8 +610,8 @@ def rejected_lines(spark, folder):
 
 
 def lossless_ids(spark, folder):
-    """Documents to ids and back with a vocabulary that lacks most of their tokens."""
-    cfg = replace(CFG, vocab_size=300, context_length=2**20)
+    """Documents to ids and back, whole, with a vocabulary that lacks most of their tokens."""
+    cfg = replace(CFG, vocab_size=300, context_length=2**31 - 1)
     docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
     counted = docs.select(F.explode(split_tokens("text", cfg)).alias("token")).groupBy("token")
     known = vocabulary.build_vocab(counted.agg(F.count(F.lit(1)).alias("n")), cfg)

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -19,6 +20,7 @@ from blockprep.operators.vocabulary import (
     special_tokens,
     suppressed_ids,
 )
+from blockprep.plans.registry import QUERIES
 
 CFG = PrepConfig(block_size=4, context_length=16, vocab_size=50)
 PATTERN = regex.compile(token_pattern(CFG))
@@ -176,3 +178,12 @@ def test_detokenize(spark):
     df = spark.createDataFrame([(1, [3, 5, 0, 6, 1]), (2, []), (3, [0, 1])], "k int, input_ids array<int>")
     got = {r.k: r.text for r in detokenize(df, vocab, CFG, ["k"]).collect()}
     assert got == {1: "a b", 2: "", 3: ""}
+
+
+def test_lossless_ids_keeps_documents_beyond_a_million_ids(spark, tmp_path):
+    """Most words have no id of their own, so that ids are about as many as bytes."""
+    texts = {1: " ".join(f"{i * 7919 % 999983:x}é" for i in range(200_000)), 2: "short one"}
+    assert len(texts[1].encode()) > 2**20
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(QUERIES["lossless_ids"](spark, str(tmp_path)).collect())
+    assert got == {k: hashlib.md5(f"user\n{t}\n".encode()).hexdigest() for k, t in texts.items()}
