@@ -14,8 +14,9 @@ takes part.
 
 NULL and empty texts, and texts without words, have an empty set and are linked with
 nothing.  A text of fewer than five words is one shingle.  Documents without an id are
-linked with nothing and have no component.  Rows equal in id are one document.  An empty
-table gives no rows.
+linked with nothing and have no component.  Rows equal in id and text are one document; where
+rows share an id but not the text, each text is a document of its own.  An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -162,8 +163,21 @@ def near_duplicates(
 
     ``threshold`` is the least similarity in hundredths.
     """
+    return marked_texts(docs, threshold, doc_id, text).drop("text_hash")
+
+
+def marked_texts(
+    docs: DataFrame, threshold: int = 75, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``text_hash``, which tells texts of one id apart."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.withColumn("hash", F.xxhash64("text"))
     signed = cut_lineage(signatures(docs))
+    texts = signed.where("id IS NOT NULL").groupBy("id").agg(F.min("hash").alias("a"), F.max("hash").alias("b"))
+    several = not texts.where("a < b").isEmpty()
+    if several:  # an id does not tell a text
+        key = F.when(F.col("id").isNotNull(), F.struct("id", "hash"))
+        docs, signed = docs.withColumn("id", key), signed.withColumn("id", key)
     classes = (
         signed.where("set_id IS NOT NULL AND id IS NOT NULL")
         .groupBy("set_id")
@@ -195,16 +209,17 @@ def near_duplicates(
         del hub, pairs, links
         release(docs.sparkSession)
         number += 1
-    member = signed.select("id", "n_shingles", "set_id").join(classes.select("set_id", "class_id"), "set_id", "left")
+    member = signed.select("id", "hash", "n_shingles", "set_id").join(classes.select("set_id", "class_id"), "set_id", "left")
     if roots is None:
-        member = member.withColumn("root", F.lit(None).cast("long"))
+        member = member.withColumn("root", F.lit(None).cast(signed.schema["id"].dataType))
     else:
         member = member.join(roots.select(F.col("u").alias("class_id"), F.col("v").alias("root")), "class_id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "class_id", "id"))
     return member.select(
-        F.col("id").alias(doc_id),
+        (F.col("id.id") if several else F.col("id")).alias(doc_id),
+        F.col("hash").alias("text_hash"),
         "n_shingles",
-        component.alias("component_id"),
+        (component["id"] if several else component).alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
 

@@ -39,10 +39,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; of rows that share an id, one."""
-    named = docs.where("doc_id IS NOT NULL")
-    found = minhash.near_duplicates(named).where("kept").select("doc_id").distinct()
-    kept = named.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group; of rows that share id and text, one."""
+    named = docs.where("doc_id IS NOT NULL").withColumn("_text_hash", F.xxhash64("text"))
+    key = ["doc_id", "_text_hash"]
+    found = minhash.marked_texts(named).where("kept").withColumnRenamed("text_hash", "_text_hash").select(*key).distinct()
+    kept = named.join(found, key, "left_semi").dropDuplicates(key).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from blockprep.llm import components, minhash, pages, topk
 from tests.llm.odd import empty, odd_documents
 
@@ -71,6 +72,18 @@ def test_classes_around_the_threshold(spark):
     check_classes(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    """Each text of an id is compared and kept for itself; only linked and repeated rows go."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b), (5, b), (7, b + " more"), (7, c), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    links = [(1, 36, 1, True), (5, 37, 1, False), (5, 36, 5, True), (5, 36, 5, True), (7, 37, 5, False), (7, 36, 7, True)]
+    assert got == sorted([*links, (8, 0, 8, True), (8, 0, 8, True)])
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in left) == [(1, a), (5, b), (7, c), (8, ""), (8, "")]
+
+
 def test_stars_of_chains_and_rings(spark):
     links = [(i, i + 1) for i in range(1, 9)] + [(20, 30), (30, 25), (25, 20), (40, 40)]
     got = {tuple(r) for r in components.stars(spark.createDataFrame(links, "u long, v long")).collect()}
