@@ -153,6 +153,13 @@ def test_templates_of_a_host_go_and_copied_articles_stay(spark):
     assert pages.extract_text(empty(table)).count() == 0
 
 
+def test_all_articles_of_a_page_and_main_before_a_teaser():
+    parts = "<main><article><p>part one</article><div>between</div><article><p>the second part</article></main>"
+    assert pages.main_text(parts, set()) == "part one\nthe second part"
+    story = f"<main><div>{prose(3, 60)}</div></main>"
+    assert pages.main_text(f"{story}<article>teaser</article>", set()) == prose(3, 60)
+
+
 def extracted(spark, rows):
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     return dict(pages.extract_text(table).select("page_id", "text").collect())
