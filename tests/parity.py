@@ -30,9 +30,22 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     return sorted(frame.itertuples(index=False, name=None), key=repr)
 
 
+def nullable(frame: pd.DataFrame) -> pd.DataFrame:
+    """Whole numbers with gaps come as floats from one side and as nullable integers from the other."""
+    whole = {
+        c: "Int64"
+        for c in frame.columns
+        if str(frame[c].dtype) in ("Int32", "Int64")
+        or (frame[c].dtype == "float64" and frame[c].isna().any() and (frame[c].dropna() % 1 == 0).all())
+    }
+    frame = frame.astype(whole)
+    return frame.astype({c: object for c in whole}).where(frame.notna(), None)
+
+
 def differences(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None:
     if sorted(spark_frame.columns) != sorted(sql_frame.columns):
         return f"columns {sorted(spark_frame.columns)} / {sorted(sql_frame.columns)}"
+    spark_frame, sql_frame = nullable(spark_frame), nullable(sql_frame)
     for name in spark_frame.columns:
         if spark_frame[name].dtype != sql_frame[name].dtype:
             return f"type of {name}: {spark_frame[name].dtype} / {sql_frame[name].dtype}"
