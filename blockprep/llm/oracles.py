@@ -118,9 +118,105 @@ SELECT doc_id,
 FROM texts LEFT JOIN gone USING (doc_id)
 """
 
+OP11 = r"""
+WITH parts AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages
+), split AS (
+    SELECT page_id, after, regexp_extract(coalesce(after, ''), '^[^/?#]*') AS h FROM parts
+), asked AS (
+    SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(coalesce(after, ''), length(h) + 1), '^[^?#]*') AS path, substr(coalesce(after, ''), length(h) + 1) AS rest
+    FROM split
+), rules(h, p, verdict) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+        ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), patterns(pattern, regex, verdict) AS (
+    VALUES ('||ads-track.', '^([^/?#]*\.)?ads-track\.', 'block'), ('||ads.', '^([^/?#]*\.)?ads\.', 'block'),
+        ('||tracker.', '^([^/?#]*\.)?tracker\.', 'block'), ('/login^', '/login([^A-Za-z0-9_.%-]|$)', 'block'),
+        ('/search?', '/search\?', 'block'), ('^sessionid=', '[^A-Za-z0-9_.%-]sessionid=', 'block'),
+        ('||m.*/print/', '^([^/?#]*\.)?m\..*/print/', 'block'),
+        ('||blog.*/de/*.html|', '^([^/?#]*\.)?blog\..*/de/.*\.html$', 'block'), ('.exe|', '\.exe$', 'block'),
+        ('.zip|', '\.zip$', 'block'), ('/de/*#top|', '/de/.*#top$', 'allow')
+), site AS (
+    SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+    FROM asked JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+), other AS (
+    SELECT page_id, arg_max(pattern, (length(pattern), verdict, pattern)) AS pattern,
+        arg_max(verdict, (length(pattern), verdict, pattern)) AS verdict
+    FROM asked JOIN patterns ON regexp_matches(host || rest, regex, 's') GROUP BY page_id
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN pattern END AS pattern,
+    coalesce(site.verdict, other.verdict, 'allow') AS verdict
+FROM asked LEFT JOIN site USING (page_id) LEFT JOIN other USING (page_id)
+"""
+
+OP12 = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n) ORDER BY n) AS t
+    FROM (SELECT unnest(range(256)) AS n)
+), runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL
+), hexed AS (
+    SELECT run, n, hex(encode(doc_id || ':' || run)) AS x FROM runs
+), summed AS (
+    SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+    FROM hexed, crc_table
+), known AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n
+    FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), gaps AS (
+    SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS z FROM (SELECT *, unnest(range(length(word))) AS i FROM known)
+), pairs AS (
+    SELECT x.word, y.word AS near, y.n AS near_n FROM gaps x JOIN gaps y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+    UNION SELECT x.word, y.word, y.n FROM gaps x JOIN known y ON y.word = x.a || x.z
+    UNION SELECT y.word, x.word, x.n FROM gaps x JOIN known y ON y.word = x.a || x.z
+), best AS (
+    SELECT word, count(*) AS n_near, max(near_n) AS near_n FROM pairs GROUP BY word
+), forms AS (
+    SELECT known.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n,
+        CASE WHEN near_n >= 2 * n THEN (SELECT min(near) FROM pairs p WHERE p.word = known.word AND p.near_n = best.near_n) END AS form
+    FROM known LEFT JOIN best USING (word)
+), walk AS (
+    SELECT word, word AS root FROM known
+    UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root WHERE form IS NOT NULL
+), ends AS (
+    SELECT walk.word, root FROM walk JOIN forms ON forms.word = root WHERE form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
+OP13 = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+        CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank",
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY "rank" <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op2_minhash": OP2,
     "op3_topk": OP3,
     "op6_decontamination": OP6,
     "op9_line_dedup": OP9,
+    "op11_url_filter": OP11,
+    "op12_spelling": OP12,
+    "op13_hard_negatives": OP13,
 }

@@ -14,11 +14,14 @@ from blockprep.llm import (
     linededup,
     lm,
     minhash,
+    negatives,
     pages,
     sharding,
+    spelling,
     token_counts,
     topk,
     toxicity,
+    urls,
 )
 from blockprep.llm.oracles import ORACLES
 
@@ -103,6 +106,51 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_documents(_table(spark, folder, "documents"))
 
 
+#: Site rules of the URL query, and pattern rules for pages that none of them fits.
+SITE_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+URL_PATTERNS = [
+    ("||ads-track.", "block"),
+    ("||ads.", "block"),
+    ("||tracker.", "block"),
+    ("/login^", "block"),
+    ("/search?", "block"),
+    ("^sessionid=", "block"),
+    ("||m.*/print/", "block"),
+    ("||blog.*/de/*.html|", "block"),
+    (".exe|", "block"),
+    (".zip|", "block"),
+    ("/de/*#top|", "allow"),
+]
+
+
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = urls.filter_urls(
+        _table(spark, folder, "pages"),
+        urls.rule_table(spark, SITE_RULES),
+        urls.rule_table(spark, URL_PATTERNS),
+        spread_by="page_id",
+    )
+    return judged.select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    words = spelling.count_words(spelling.with_slips(spelling.runs(docs), 97))
+    return spelling.spelling_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    slipped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", slipped), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
@@ -114,6 +162,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_url_filter": op11_url_filter,
+    "op12_spelling": op12_spelling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,7 @@ def test_every_operator_is_registered():
 
     names = __spark_entry__.queries()
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_stages_take_effect(spark, tmp_path):
