@@ -1,12 +1,14 @@
 """Round-by-round filling of masked slots, for all sequences at once.
 
 Slots are rows (seq_id, pos, token_id); ``pos`` counts from the first new
-token.  A slot is scored by the token in front of it (the one-step shift), so
-candidates are a table keyed by context, prepared once before the loop.
+token.  A slot is scored at the position in front of it (the one-step shift),
+from the tokens visible there, so candidates are a table keyed by context,
+prepared once before the loop.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,48 +16,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockprep.config import PrepConfig
+from blockprep.functions.arrays import prefix_visible_upto
 from blockprep.functions.hashing import uniform
-from blockprep.operators.scores import (
-    ANY_CONTEXT,
-    _share_before,
-    _share_upto,
-    argmax,
-    nucleus,
-    scale,
-    select_confident,
-    softmax,
-    suppress,
-)
+from blockprep.operators.backoff import Automaton, Backoff
+from blockprep.operators.packed import FromModel, FromTable, Proposer, block_slots, fill_block
+from blockprep.operators.scores import argmax, select_confident, softmax, suppress
 from blockprep.sources.storage import cut_lineage
 
-# A candidate table is broadcast up to this many rows (four numbers each) and
+# A candidate table is broadcast up to this many rows (some 60 bytes each) and
 # joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
-# Sampled candidates are looked up by (context, cell of the drawn number), an
-# equi-join that also spreads a frequent context over several keys.  A context
-# has as many cells as candidates, within these bounds.
-LEAST_CELLS, MOST_CELLS = 16, 256
-
 
 @dataclass(frozen=True)
 class Candidates:
-    """What may follow each context: one pick (greedy), or shares cut into cells.
+    """What may follow each context, prepared once: see ``Backoff.prepared``.
 
-    ``spare_*`` is the pick for contexts that have none of their own.
+    ``spare`` is the row of depth 0, for slots of which no context is known.
     """
 
     table: DataFrame
-    contexts: DataFrame | None
+    path: tuple[int, ...]
     small: bool
-    spare_id: int
-    spare_prob: float
-    spare_cells: int
-
-
-def _materialised(df: DataFrame) -> tuple[DataFrame, bool]:
-    table = cut_lineage(df)
-    return table, table.count() <= BROADCAST_ROWS
+    spare: dict
 
 
 def greedy_picks(scores: DataFrame, suppressed: DataFrame) -> DataFrame:
@@ -64,80 +47,80 @@ def greedy_picks(scores: DataFrame, suppressed: DataFrame) -> DataFrame:
     return argmax(probs, ["ctx"], by="logit", keep=["prob"]).select("ctx", "token_id", "prob")
 
 
-def share_cells(scores: DataFrame, suppressed: DataFrame, cfg: PrepConfig) -> DataFrame:
-    """(ctx, cells, cell, token_id, prob, lo, hi): the kept shares laid out on [0, 1).
-
-    A candidate has a row in every cell it reaches into, so the table has at
-    most ``candidates + cells`` rows per context.
-    """
-    probs = softmax(scale(suppress(scores, suppressed), cfg.temperature), ["ctx"])
-    laid = (
-        nucleus(probs, ["ctx"], cfg.top_p)
-        .withColumn("lo", _share_before(["ctx"], "prob"))
-        .withColumn("hi", _share_upto(["ctx"], "prob"))
-        .where(F.col("lo") < F.col("hi"))
-    )
-    candidates = F.count(F.lit(1)).over(W.partitionBy("ctx"))
-    cells = F.least(F.lit(MOST_CELLS), F.greatest(F.lit(LEAST_CELLS), candidates))
-    first = F.floor(F.col("lo") * F.col("cells"))
-    last = F.ceil(F.col("hi") * F.col("cells")) - 1
-    return laid.withColumn("cells", cells.cast("int")).select(
-        "ctx",
-        "cells",
-        F.explode(F.sequence(first, last)).alias("cell"),
-        "token_id",
-        "prob",
-        "lo",
-        "hi",
-    )
-
-
-def prepare_candidates(scores: DataFrame, suppressed: DataFrame, cfg: PrepConfig) -> Candidates:
+def prepare_candidates(
+    scorer: Backoff, suppressed: DataFrame, cfg: PrepConfig, spare: tuple[int, float] | None = None
+) -> Candidates:
     """Normalise the scores once; the loop only looks candidates up.
 
-    ``scores`` holds rows for ``ANY_CONTEXT`` too; they serve contexts without
-    candidates of their own.
+    ``spare`` is the token and share for slots of no known context; by default that is the
+    distribution of depth 0, which must then be there.
     """
-    greedy = cfg.temperature <= 0
-    prepared = greedy_picks(scores, suppressed) if greedy else share_cells(scores, suppressed, cfg)
-    table, small = _materialised(prepared)
-    spare = table.where(F.col("ctx") == ANY_CONTEXT).first()
+    table = cut_lineage(scorer.prepared(suppressed, cfg))
     if spare is None:
-        raise ValueError("no candidate is left for contexts without scores")
-    contexts = None if greedy else cut_lineage(table.select("ctx", "cells").distinct())
-    cells = 0 if greedy else spare["cells"]
-    return Candidates(table, contexts, small, spare["token_id"], spare["prob"], cells)
+        first = table.where("depth = 0").orderBy("cell").select("size", "token_id", "prob").first()
+        if first is None:
+            raise ValueError("no candidate is left for contexts without scores")
+        found = first.asDict()
+    else:
+        found = {"size": 1, "token_id": spare[0], "prob": spare[1]}
+    return Candidates(table, scorer.path, table.count() <= BROADCAST_ROWS, found)
 
 
 def _sized(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def add_candidates(slots: DataFrame, candidates: Candidates, cfg: PrepConfig, step: int) -> DataFrame:
-    """Add ``candidate`` and ``prob`` for the context ``ctx`` of each slot."""
-    if candidates.contexts is None:
-        own = candidates.table.select("ctx", F.col("token_id").alias("candidate"), "prob")
-        return (
-            slots.join(_sized(own, candidates.small), "ctx", "left")
-            .withColumn("candidate", F.coalesce("candidate", F.lit(candidates.spare_id)))
-            .withColumn("prob", F.coalesce("prob", F.lit(candidates.spare_prob)))
+def _neighbours(slots: DataFrame, path: tuple[int, ...], cfg: PrepConfig, block_start: int) -> DataFrame:
+    """Add ``c1`` .. : the context of each depth that a slot knows, else NULL."""
+    along = W.partitionBy("seq_id").orderBy("pos")
+    place, length = F.col("pos") - block_start, F.max("pos").over(W.partitionBy("seq_id")) + 1
+    sees = prefix_visible_upto(F.col("pos") - 1, length, length - block_start)
+    tokens, known, made = [], F.lit(True), {}
+    for i, distance in enumerate(path):
+        if distance < 0:
+            before = F.try_element_at("seen", (place + distance).cast("int"))
+            token = F.when(place + distance >= 0, F.lag("token_id", -distance).over(along)).otherwise(before)
+            token = F.coalesce(token, F.lit(cfg.mask_id))
+        else:
+            token = F.lead("token_id", distance).over(along)
+            known = known & (F.col("pos") + distance < sees)
+        tokens.append(token)
+        made[f"c{i + 1}"] = F.when(known, F.array(*tokens))
+    return slots.withColumns(made) if made else slots
+
+
+def add_candidates(
+    slots: DataFrame, candidates: Candidates, cfg: PrepConfig, step: int, block_start: int = 0
+) -> DataFrame:
+    """Add ``candidate`` and ``prob`` from the longest known context of each slot.
+
+    Needs (seq_id, pos, token_id, seen), ``seen`` being the tokens in front of the block.
+    """
+    own, depths = slots.columns, range(1, len(candidates.path) + 1)
+    asked = _neighbours(slots, candidates.path, cfg, block_start)
+    heads = candidates.table.where("cell = 0")
+    for d in depths:
+        there = heads.where(F.col("depth") == d).select(
+            F.col("ctx").alias(f"c{d}"), F.struct("size", "token_id", "prob").alias(f"h{d}")
         )
-    known = candidates.contexts.select("ctx", F.col("ctx").alias("dist"), "cells")
-    cells = candidates.table.select(
-        F.col("ctx").alias("dist"), "cell", F.col("token_id").alias("candidate"), "prob", "lo", "hi"
-    )
+        asked = asked.join(_sized(there, candidates.small), f"c{d}", "left")
+    spare = F.struct(*[F.lit(candidates.spare[c]).alias(c) for c in ("size", "token_id", "prob")])
+    head = F.coalesce(*[F.col(f"h{d}") for d in reversed(depths)], spare)
+    if cfg.temperature <= 0:
+        return asked.select(*own, head["token_id"].alias("candidate"), head["prob"].alias("prob"))
+    none = F.array().cast("array<int>")
+    state = F.coalesce(*[F.when(F.col(f"h{d}").isNotNull(), F.struct(F.lit(d).alias("depth"), F.col(f"c{d}").alias("ctx"))) for d in reversed(depths)], F.struct(F.lit(0).alias("depth"), none.alias("ctx")))
+    scaled = uniform(cfg.seed, step, F.col("seq_id"), F.col("pos")) * F.col("size")
     drawn = (
-        slots.join(_sized(known, candidates.small), "ctx", "left")
-        .withColumn("dist", F.coalesce("dist", F.lit(ANY_CONTEXT)))
-        .withColumn("cells", F.coalesce("cells", F.lit(candidates.spare_cells)))
-        .withColumn("u", uniform(cfg.seed, step, F.col("seq_id"), F.col("pos")))
-        .withColumn("cell", F.floor(F.col("u") * F.col("cells")))
+        asked.withColumns({"state": state, "size": head["size"]})
+        .select(*own, "state.depth", "state.ctx", F.floor(scaled).alias("cell"), (scaled - F.floor(scaled)).alias("side"))
     )
-    inside = (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))
-    return (
-        drawn.join(_sized(cells, candidates.small), ["dist", "cell"])
-        .where(inside)
-        .drop("dist", "cells", "cell", "lo", "hi", "u")
+    cells = candidates.table.select("depth", "ctx", F.col("cell").cast("long").alias("cell"), F.struct("token_id", "prob", "accept", "alias_id", "alias_prob").alias("a"))
+    own_side = F.col("side") < F.col("a.accept")
+    return drawn.join(_sized(cells, candidates.small), ["depth", "ctx", "cell"]).select(
+        *own,
+        F.when(own_side, F.col("a.token_id")).otherwise(F.col("a.alias_id")).alias("candidate"),
+        F.when(own_side, F.col("a.prob")).otherwise(F.col("a.alias_prob")).alias("prob"),
     )
 
 
@@ -161,18 +144,12 @@ def fill_step(
 ) -> DataFrame:
     """One step: shift, score, select, write back; all sequences, one sub-block (or all).
 
-    Needs (seq_id, pos, token_id, step, prev_id, finished).  Everything is
-    grouped by sequence, so on slots placed by ``seq_id`` and with a small
-    candidate table a step moves no row.
+    Needs (seq_id, pos, token_id, step, seen, finished).
     """
-    along = W.partitionBy("seq_id").orderBy("pos")
     own = slots.columns
-    scored = add_candidates(
-        slots.withColumn("ctx", F.coalesce(F.lag("token_id").over(along), "prev_id")),
-        candidates,
-        cfg,
-        step,
-    ).withColumn("sub_block", F.floor((F.col("pos") - block_start) / cfg.sub_block_size))
+    scored = add_candidates(slots, candidates, cfg, step, block_start).withColumn(
+        "sub_block", F.floor((F.col("pos") - block_start) / cfg.sub_block_size)
+    )
     open_slot = (F.col("token_id") == cfg.mask_id) & ~F.col("finished")
     if sub_block is not None:
         open_slot = open_slot & (F.col("sub_block") == sub_block)
@@ -226,85 +203,134 @@ def fill_leftovers(slots: DataFrame, cfg: PrepConfig) -> DataFrame:
 
 
 def append_block(heads: DataFrame, start: int, length: int, cfg: PrepConfig) -> DataFrame:
-    """A block of masked slots for every sequence of (seq_id, prev_id)."""
+    """A block of masked slots for every sequence of (seq_id, seen)."""
     return heads.select(
         "seq_id",
-        "prev_id",
+        "seen",
         F.explode(F.sequence(F.lit(start), F.lit(start + length - 1))).alias("pos"),
     ).select(
         "seq_id",
         "pos",
         F.lit(cfg.mask_id).cast("int").alias("token_id"),
         F.lit(None).cast("int").alias("step"),
-        "prev_id",
+        "seen",
         F.lit(False).alias("finished"),
     )
 
 
+def _logged(slots: DataFrame, log: str | None, first_step: int, sub_blocks: int) -> None:
+    """Write the slots that each pass of a block filled to the pass's folder."""
+    if log is None:
+        return
+    passed = F.floor((F.col("step") - first_step) / sub_blocks) * sub_blocks + first_step
+    known = slots.where("step IS NOT NULL").select("seq_id", "step", "pos", "token_id", passed.alias("from_step"))
+    known.write.mode("append").partitionBy("from_step").parquet(log)
+
+
 def _fill_block(
-    slots: DataFrame, candidates: Candidates, cfg: PrepConfig, start: int, length: int, step: int, log: str | None
+    slots: DataFrame, candidates: Candidates, cfg: PrepConfig, start: int, length: int, step: int
 ) -> tuple[DataFrame, int]:
-    """Passes over the sub-blocks until no open slot is left."""
+    """Passes over the sub-blocks until no open slot is left, with slots as rows."""
     sub_blocks = -(-length // cfg.sub_block_size)
     still_open = (F.col("token_id") == cfg.mask_id) & ~F.col("finished")
     for _ in range(4 * length):
-        first_step = step
         for sub_block in range(sub_blocks):
             slots = fill_step(slots, candidates, cfg, step, start, sub_block)
             step += 1
         slots = cut_lineage(_mark_finished(slots, cfg))
-        if log is not None:
-            filled = slots.where(F.col("step") >= first_step).select("seq_id", "step", "pos", "token_id")
-            filled.write.mode("overwrite").parquet(f"{log}/from_step={first_step}")
         if slots.where(still_open).isEmpty():
             return slots, step
     return _mark_finished(fill_leftovers(slots, cfg), cfg), step
 
 
-def fill(
-    prompts: DataFrame,
-    scores: DataFrame,
-    suppressed: DataFrame,
-    cfg: PrepConfig,
-    log: str | None = None,
-) -> DataFrame:
-    """Fill up to ``cfg.max_new_tokens`` slots behind each prompt (seq_id, input_ids).
-
-    Returns (seq_id, pos, token_id, step), trimmed behind the first complete
-    EOS; ``step`` says when a slot was filled, so every intermediate state can
-    be read off the result.  One pass over a block's sub-blocks is one Spark
-    job over all sequences, checkpointed; the number of jobs depends on the
-    settings only.  With ``log``, each pass also writes the slots it filled to
-    a folder of its own, which a reader may tail as a stream.
-    """
-    candidates = prepare_candidates(scores, suppressed, cfg)
-    last = F.try_element_at("input_ids", F.lit(-1))
-    heads = prompts.select(
-        "seq_id", F.coalesce(last, F.lit(cfg.mask_id)).alias("prev_id")
-    ).repartition("seq_id")
+def _fill_rows(heads: DataFrame, candidates: Candidates, cfg: PrepConfig, log: str | None) -> list[DataFrame]:
+    """All blocks with slots as rows: for candidate tables that no task can hold."""
     blocks: list[DataFrame] = []
-    done, step = 0, 0
+    done, step, heads = 0, 0, heads.repartition("seq_id")
     while done < cfg.max_new_tokens:
         length = min(cfg.block_size, cfg.max_new_tokens - done)
-        slots = append_block(heads, done, length, cfg)
-        slots, step = _fill_block(slots, candidates, cfg, done, length, step, log)
-        blocks.append(slots)
+        first_step = step
+        slots, step = _fill_block(append_block(heads, done, length, cfg), candidates, cfg, done, length, step)
+        _logged(slots, log, first_step, -(-length // cfg.sub_block_size))
+        blocks.append(slots.select("seq_id", "pos", "token_id", "step"))
         done += length
         heads = (
             slots.where(~F.col("finished"))
             .groupBy("seq_id")
-            .agg(F.max_by("token_id", "pos").alias("prev_id"))
+            .agg(F.first("seen").alias("seen"), F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("new"))
+            .select("seq_id", F.concat("seen", F.transform("new", lambda s: s["token_id"])).alias("seen"))
         )
         if done < cfg.max_new_tokens and heads.isEmpty():
             break
+    return blocks
+
+
+def _fill_packed(heads: DataFrame, proposer: Callable[[], Proposer], cfg: PrepConfig, log: str | None, keep: int | None) -> list[DataFrame]:
+    """All blocks with a sequence as one row: a block is a projection, written once."""
+    blocks: list[DataFrame] = []
+    done, step, state = 0, 0, heads
+    while done < cfg.max_new_tokens:
+        length = min(cfg.block_size, cfg.max_new_tokens - done)
+        sub_blocks = -(-length // cfg.sub_block_size)
+        filled = cut_lineage(fill_block(state, length, done, step, cfg, proposer, keep))
+        blocks.append(block_slots(filled, done))
+        _logged(blocks[-1], log, step, sub_blocks)
+        passes = filled.agg(F.max("passes").alias("n")).first()["n"]
+        if passes is None:
+            break
+        step += passes * sub_blocks
+        done += length
+        state = filled.where("eos IS NULL").select("seq_id", "seen")
+    return blocks
+
+
+def fill(
+    prompts: DataFrame,
+    scores: DataFrame | None,
+    suppressed: DataFrame,
+    cfg: PrepConfig,
+    log: str | None = None,
+    scorer: Backoff | Callable | None = None,
+) -> DataFrame:
+    """Fill up to ``cfg.max_new_tokens`` slots behind each prompt (seq_id, input_ids).
+
+    ``scorer`` says what a slot may hold: a ``Backoff`` table that looks at visible neighbours on
+    both sides, or a model (tokens, query, upto) -> (token ids, logits) that sees the sequence,
+    see ``FromModel``; without one, ``scores`` (ctx, token_id, logit) by the token in front.
+
+    Returns (seq_id, pos, token_id, step), trimmed behind the first complete EOS; ``step`` says
+    when a slot was filled, so every intermediate state can be read off the result.  A sequence
+    is one row with its block as an array, and a block of all sequences is one projection and
+    one checkpoint; the number of jobs depends on the settings only.  Candidate tables beyond
+    ``BROADCAST_ROWS`` are joined by shuffle instead, with slots as rows, to the same result.  With
+    ``log``, the slots that each pass filled are also written to a folder of the pass, block by
+    block, which a reader may tail as a stream.
+    """
+    spark = prompts.sparkSession
+    kind = prompts.schema["seq_id"].dataType.simpleString()
+    heads = prompts.select("seq_id", F.coalesce("input_ids", F.array()).cast("array<int>").alias("seen"))
+    blocks: list[DataFrame] = []
+    if scorer is None:
+        scorer = Backoff.of_scores(scores)
+    if isinstance(scorer, Backoff):
+        candidates = prepare_candidates(scorer, suppressed, cfg)
+        tail = F.least(F.lit(scorer.reach), F.size("seen"))
+        heads = heads.withColumn("seen", F.when(tail > 0, F.slice("seen", -tail, tail)).otherwise(F.array().cast("array<int>")))
+        if candidates.small:
+            automaton = Automaton(candidates.table.orderBy("depth", "ctx", "cell").toArrow(), scorer.path)
+            shared = spark.sparkContext.broadcast(FromTable(automaton, cfg))
+            blocks = _fill_packed(heads, lambda: shared.value, cfg, log, scorer.reach)
+        else:
+            blocks = _fill_rows(heads, candidates, cfg, log)
+    else:
+        model = FromModel(scorer, [r["token_id"] for r in suppressed.collect()], cfg)
+        blocks = _fill_packed(heads, lambda: model, cfg, log, None)
     if not blocks:
-        return prompts.sparkSession.createDataFrame(
-            [], f"seq_id {prompts.schema['seq_id'].dataType.simpleString()}, pos int, token_id int, step int"
-        )
+        return spark.createDataFrame([], f"seq_id {kind}, pos int, token_id int, step int")
     filled = blocks[0]
     for block in blocks[1:]:
         filled = filled.unionByName(block)
-    return trim_at_eos(filled.select("seq_id", "pos", "token_id", "step"), cfg)
+    return filled if not isinstance(scorer, Backoff) or candidates.small else trim_at_eos(filled, cfg)
 
 
 def trim_at_eos(slots: DataFrame, cfg: PrepConfig) -> DataFrame:

@@ -12,6 +12,7 @@ from blockprep.plans.registry import (
     ACCUMULATION,
     CFG,
     EXTRA_TOKEN,
+    FILL_CFG,
     FOLD_PIECE,
     STEP_THRESHOLD,
     STEPS,
@@ -31,7 +32,7 @@ def _rendered(role: str, content: str) -> str:
 
 
 def _with(parts: dict[str, str], final: str) -> str:
-    ctes = ",\n".join(f"{name} AS ({body})" for name, body in parts.items())
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({body})" for name, body in parts.items())
     return f"WITH {ctes}\n{final}"
 
 
@@ -114,6 +115,18 @@ CONVERSATIONS = {
 }
 
 
+ASKED = {
+    "asked": f"""
+      SELECT item_id AS sample_id, regexp_extract_all(
+               {_rendered("'user'", 'text')} || '<|im_start|>assistant' || chr(10),
+               '{PATTERN}', 1) AS t FROM benchmark""",
+    "asked_tokens": """
+      SELECT sample_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS token FROM asked""",
+    "asked_coded": _coded("asked_tokens"),
+    "asked_numbered": _numbered("asked_coded"),
+}
+
+
 def _batches(samples: str) -> str:
     return f"""
       SELECT sample_id, (rn - 1) // {CFG.micro_batch} AS batch_id,
@@ -240,7 +253,9 @@ FILLING = {
              CASE WHEN c.chosen THEN c.candidate ELSE s.token_id END AS token_id
       FROM slots s LEFT JOIN chosen c ON c.seq_id = s.seq_id AND c.pos = s.pos""",
     "blocks": f"""
-      SELECT seq_id * {L // BLOCK} + pos // {BLOCK} AS seq_id, pos, token_id FROM filled""",
+      SELECT seq_id * {L // BLOCK} + pos // {BLOCK} AS seq_id, pos,
+             CASE WHEN token_id = 0 AND seq_id % 2 = 0 THEN 1 ELSE token_id END AS token_id
+      FROM filled""",
     "eos": """
       SELECT seq_id, eos_pos
       FROM (SELECT seq_id, min(pos) FILTER (WHERE token_id = 1) AS eos_pos,
@@ -248,6 +263,123 @@ FILLING = {
       WHERE eos_pos < coalesce(mask_pos, 1000000000)""",
 }
 
+# --- alias tables: each cell is filled up by the first surplus that reaches its lack -----
+
+
+def _alias(source: str, key: str) -> dict[str, str]:
+    return {
+        "fills": f"""
+          SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY token_id) - 1 AS cell,
+                 count(*) OVER (PARTITION BY {key}) AS size,
+                 round(prob * count(*) OVER (PARTITION BY {key}), 12) AS fill FROM {source}""",
+        "light": f"""
+          SELECT *, round(coalesce(sum(1 - fill) OVER (PARTITION BY {key} ORDER BY token_id), 0), 12) AS upto FROM fills WHERE fill <= 1""",
+        "heavy": f"""
+          SELECT *, round(sum(fill - 1) OVER w, 12) AS upto, lead(token_id) OVER w AS next_id, lead(prob) OVER w AS next_prob
+          FROM fills WHERE fill > 1 WINDOW w AS (PARTITION BY {key} ORDER BY token_id)""",
+        "last_heavy": f"SELECT {key}, max(token_id) AS token_id, arg_max(prob, token_id) AS prob FROM heavy GROUP BY {key}",
+        "filled_up": f"""
+          SELECT l.{key}, l.size, l.cell, l.token_id, l.prob, l.fill AS accept,
+                 coalesce(h.token_id, z.token_id, l.token_id) AS alias_id, coalesce(h.prob, z.prob, l.prob) AS alias_prob
+          FROM (SELECT *, round(upto - (1 - fill), 12) AS lack FROM light) l
+          ASOF LEFT JOIN heavy h ON l.{key} = h.{key} AND l.lack <= h.upto
+          LEFT JOIN last_heavy z ON z.{key} = l.{key}""",
+        "given_up": f"""
+          SELECT h.{key}, h.size, h.cell, h.token_id, h.prob,
+                 CASE WHEN l.upto IS NULL OR next_id IS NULL THEN 1 ELSE round(1 - (l.upto - h.upto), 12) END AS accept,
+                 coalesce(next_id, h.token_id) AS alias_id, coalesce(next_prob, h.prob) AS alias_prob
+          FROM heavy h ASOF LEFT JOIN light l ON l.{key} = h.{key} AND h.upto < l.upto""",
+        "alias_cells": "SELECT * FROM filled_up UNION ALL SELECT * FROM given_up",
+    }
+
+
+# --- filling, with every pass written out ------------------------------------------
+
+SPAN, PART, NEW, LEAST = FILL_CFG.block_size, FILL_CFG.sub_block_size, FILL_CFG.max_new_tokens, FILL_CFG.threshold
+
+NEIGHBOURS = {
+    "around": f"""
+      SELECT batch_id, view, pos, label, lag(input_id) OVER w AS l1, lag(input_id, 2) OVER w AS l2,
+             CASE WHEN pos + 1 < ((pos - 1) // {BLOCK} + 1) * {BLOCK} THEN lead(input_id) OVER w END AS r1
+      FROM views WINDOW w AS (PARTITION BY batch_id, view ORDER BY pos)""",
+    "keyed": """
+      SELECT unnest([{'depth': 0, 'ctx': ''}, {'depth': 1, 'ctx': l1::VARCHAR}, {'depth': 2, 'ctx': l1 || ',' || l2},
+                     {'depth': 3, 'ctx': l1 || ',' || l2 || ',' || r1}]) AS c, label
+      FROM around WHERE pos >= 1 AND label <> -100""",
+    "backoff": "SELECT c.depth AS depth, c.ctx AS ctx, label, count(*) AS n FROM keyed WHERE c.ctx IS NOT NULL GROUP BY ALL",
+}
+
+
+def _steps(depth: int, sampled: bool) -> dict[str, str]:
+    """Candidates by the deepest known context, and one table per step of two blocks."""
+    parts = {
+        **NEIGHBOURS,
+        "scores": f"SELECT ctx, label AS token_id, ln(n::DOUBLE) AS logit FROM backoff WHERE label NOT IN (0, 3, 4) AND depth <= {depth}",
+        "probs": _softmax("scores", "ctx", "logit"),
+        "shares": _shares("probs", "ctx"),
+    }
+    if sampled:
+        parts["kept"] = f"SELECT ctx, token_id, prob / sum(prob) OVER (PARTITION BY ctx) AS prob FROM shares WHERE lo <= {FILL_CFG.top_p}"
+        parts.update(_alias("kept", "ctx"))
+        parts["states"] = "SELECT DISTINCT ctx, size FROM alias_cells"
+    else:
+        parts["states"] = """
+          SELECT ctx, token_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY prob DESC, token_id) AS rn FROM shares)
+          WHERE rn = 1"""
+    parts["s0"] = """
+      SELECT sample_id AS seq_id, -p AS pos, coalesce(max(token_id) FILTER (WHERE back = p), 0) AS token_id, NULL::INTEGER AS step
+      FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY pos DESC) AS back FROM asked_numbered)
+      CROSS JOIN (VALUES (1), (2)) q(p) GROUP BY ALL"""
+    now, base = 0, "0"
+    for start in range(0, NEW, SPAN):
+        end = min(start + SPAN, NEW)
+        subs = -(-(end - start) // PART)
+        complete = f"""SELECT seq_id FROM s{{}} WHERE pos >= 0 GROUP BY seq_id
+          HAVING min(pos) FILTER (WHERE token_id = 1) < coalesce(min(pos) FILTER (WHERE token_id = 0), 1000000000)"""
+        parts[f"s{now + 1}"] = f"""
+          SELECT * FROM s{now} UNION ALL SELECT seq_id, p, 0, NULL FROM (SELECT DISTINCT seq_id FROM s{now}), range({start}, {end}) r(p)
+          WHERE seq_id NOT IN ({complete.format(now)})"""
+        now += 1
+        for number in range(PART):
+            pass_from = now
+            for sub in range(subs):
+                low, high = start + sub * PART, min(start + (sub + 1) * PART, end)
+                step = f"(({base}) + {number * subs + sub})"
+                deep = ["''", "l1::VARCHAR", "l1 || ',' || l2", "l1 || ',' || l2 || ',' || r1"][: depth + 1]
+                joins = " ".join(f"LEFT JOIN states t{d} ON t{d}.ctx = {key}" for d, key in enumerate(deep))
+                best = lambda c: "coalesce(" + ", ".join(f"t{d}.{c}" for d in reversed(range(depth + 1))) + ")"
+                parts[f"a{now}"] = f"""
+                  SELECT *, lag(token_id) OVER w AS l1, lag(token_id, 2) OVER w AS l2,
+                         CASE WHEN pos > {start} AND pos + 1 < {end} THEN lead(token_id) OVER w END AS r1
+                  FROM s{now} WINDOW w AS (PARTITION BY seq_id ORDER BY pos)"""
+                masked = f"token_id = 0 AND pos >= {low} AND pos < {high} AND seq_id NOT IN ({complete.format(pass_from)})"
+                if sampled:
+                    u = f"(('0x' || substr(md5('{SEED}:' || {step} || ':' || seq_id || ':' || pos), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+                    parts[f"d{now}"] = f"""
+                      SELECT seq_id, pos, {best('ctx')} AS ctx, {u} * {best('size')} AS place
+                      FROM (SELECT * FROM a{now} WHERE {masked}) {joins}"""
+                    parts[f"c{now}"] = f"""
+                      SELECT seq_id, pos, CASE WHEN place - floor(place) < accept THEN token_id ELSE alias_id END AS candidate,
+                             round(CASE WHEN place - floor(place) < accept THEN prob ELSE alias_prob END, 12) AS prob
+                      FROM d{now} JOIN alias_cells c ON c.ctx = d{now}.ctx AND c.cell = floor(place)::BIGINT"""
+                else:
+                    parts[f"c{now}"] = f"""
+                      SELECT seq_id, pos, {best('token_id')} AS candidate, round({best('prob')}, 12) AS prob
+                      FROM (SELECT seq_id, pos, l1, l2, r1 FROM a{now} WHERE {masked}) {joins}"""
+                parts[f"s{now + 1}"] = f"""
+                  SELECT s.seq_id, s.pos, coalesce(candidate, token_id) AS token_id, CASE WHEN candidate IS NULL THEN step ELSE {step} END AS step
+                  FROM s{now} s LEFT JOIN (SELECT * FROM c{now}
+                    QUALIFY prob > {LEAST} OR row_number() OVER (PARTITION BY seq_id ORDER BY prob DESC, pos) = 1) USING (seq_id, pos)"""
+                now += 1
+        base = f"({base}) + (SELECT coalesce((max(step) - ({base})) // {subs} + 1, 0) * {subs} FROM s{now} WHERE pos >= {start})"
+    parts["done"] = f"""
+      SELECT seq_id, CAST(pos AS INTEGER) AS pos, CAST(token_id AS INTEGER) AS token_id, CAST(step AS INTEGER) AS step
+      FROM s{now} LEFT JOIN (SELECT seq_id, min(pos) FILTER (WHERE token_id = 1) AS e, min(pos) FILTER (WHERE token_id = 0) AS m
+                             FROM s{now} WHERE pos >= 0 GROUP BY seq_id) USING (seq_id)
+      WHERE pos >= 0 AND (e IS NULL OR e > coalesce(m, 1000000000) OR pos <= e)"""
+    return parts
+
+
 # --- chat history -------------------------------------------------------------
 
 HISTORY = {
@@ -314,6 +446,24 @@ STREAM_VIEWS = {
 
 _DIGEST_IDS = "md5(string_agg(token_id::VARCHAR, ' ' ORDER BY pos))"
 
+
+
+def _texts(source: str, key: str, name: str = "text") -> str:
+    """Ids (token_id by pos) to text: tokens and runs of bytes, whole characters only."""
+    return f"""
+      SELECT {key}, decode(unhex(replace(array_to_string(regexp_extract_all(
+               coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE NOT is_special), ''),
+               '([0-7]. |(?:C[2-9A-F]|D.) [89AB]. |E. [89AB]. [89AB]. |F[0-4] [89AB]. [89AB]. [89AB]. )'
+             ), ''), ' ', ''))) AS {name}
+      FROM (SELECT *, CASE WHEN token_id >= {BYTES} THEN printf('%02X ', token_id - {BYTES})
+                           ELSE regexp_replace(hex(encode(token)), '(..)', '\\1 ', 'g') END AS h
+            FROM {source} JOIN vocab USING (token_id)) GROUP BY {key}"""
+
+
+def _fill(depth: int, sampled: bool) -> dict[str, str]:
+    return {**PACKED, **ASKED, **_steps(depth, sampled)}
+
+
 ORACLES: dict[str, str] = {
     "to_messages": _with(INSTRUCTIONS, "SELECT sample_id, ord, role, content FROM msgs"),
     "render_chat": _with(
@@ -376,29 +526,10 @@ ORACLES: dict[str, str] = {
                             FROM ids GROUP BY sample_id) USING (sample_id)""",
     ),
     "prompt_ids": _with(
-        {
-            **CONVERSATIONS,
-            "asked": f"""
-              SELECT item_id AS sample_id, regexp_extract_all(
-                       {_rendered("'user'", 'text')} || '<|im_start|>assistant' || chr(10),
-                       '{PATTERN}', 1) AS t FROM benchmark""",
-            "asked_tokens": """
-              SELECT sample_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS token FROM asked""",
-            "asked_coded": _coded("asked_tokens"),
-            "asked_numbered": _numbered("asked_coded"),
-        },
+        {**CONVERSATIONS, **ASKED},
         "SELECT sample_id, CAST(pos AS INTEGER) AS pos, token_id FROM asked_numbered",
     ),
-    "detokenize": _with(
-        PACKED,
-        f"""SELECT batch_id, decode(unhex(replace(array_to_string(regexp_extract_all(
-                    coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE NOT is_special), ''),
-                    '([0-7]. |(?:C[2-9A-F]|D.) [89AB]. |E. [89AB]. [89AB]. |F[0-4] [89AB]. [89AB]. [89AB]. )'
-                  ), ''), ' ', ''))) AS text
-           FROM (SELECT *, CASE WHEN token_id >= {BYTES} THEN printf('%02X ', token_id - {BYTES})
-                                ELSE regexp_replace(hex(encode(token)), '(..)', '\\1 ', 'g') END AS h
-                 FROM packed JOIN vocab USING (token_id)) GROUP BY batch_id""",
-    ),
+    "detokenize": _with(PACKED, _texts("packed", "batch_id")),
     "assign_batches": _with(DOCUMENT_BATCHES, "SELECT * FROM batches"),
     "step_plan": STEP_PLAN,
     "pack_offsets": _with(PACKED, "SELECT * FROM offsets"),
@@ -493,6 +624,24 @@ ORACLES: dict[str, str] = {
                   CASE WHEN token_id = 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS score
            FROM slots JOIN vocab USING (token_id)""",
     ),
+    "fill_final": _with(_fill(1, False), "SELECT * FROM done"),
+    "fill_sampled": _with(_fill(1, True), "SELECT * FROM done"),
+    "fill_sequence": _with(_fill(3, False), "SELECT * FROM done"),
+    "fill_sequence_sampled": _with(_fill(3, True), "SELECT * FROM done"),
+    "answer_texts": _with(
+        {**_fill(1, True), "texts": _texts("done", "seq_id", "raw")},
+        f"SELECT seq_id AS sample_id, regexp_replace(raw, '{STRIP_PATTERN}', '', 'g') AS answer FROM texts",
+    ),
+    "context_backoff": _with({**PACKED, **NEIGHBOURS}, "SELECT CAST(depth AS INTEGER) AS depth, ctx, label, n FROM backoff"),
+    "alias_tables": _with(
+        {**SCORES, **_alias("kept", "ctx")},
+        """SELECT ctx, size, CAST(cell AS INTEGER) AS cell, token_id, round(prob, 9) AS prob, round(accept, 9) AS accept,
+                  alias_id, round(alias_prob, 9) AS alias_prob FROM alias_cells""",
+    ),
+    "order_alias": _with(
+        {**ORDERS, **_alias("probs", "l_orderkey")},
+        """SELECT l_orderkey, size, CAST(cell AS INTEGER) AS cell, token_id, round(accept, 9) AS accept, alias_id FROM alias_cells""",
+    ),
     "instructions_round_trip": _with(INSTRUCTIONS, "SELECT sample_id, ord, role, content FROM msgs"),
     "rows_without_ids": _with(
         INSTRUCTIONS,

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from blockprep.config import PrepConfig
 from blockprep.functions.arrays import block_of, pad_block, prefix_visible_upto, truncate
 from blockprep.functions.text import norm_role, render_chat, split_tokens, strip
-from blockprep.operators import filling, history, messages, packing, scores, tokens, views, vocabulary
+from blockprep.operators import alias, backoff, filling, history, messages, packing, scores, tokens, views, vocabulary
+from blockprep.operators.backoff import Backoff
 from blockprep.plans import prepare
 from blockprep.plans.answer import answers
 from blockprep.sources.instructions import read_dataset, read_instructions, write_jsonl
@@ -20,7 +21,7 @@ from blockprep.sources.prepared import write_views
 from blockprep.sources.storage import new_path, spread
 from blockprep.streaming import ingest
 
-CFG = PrepConfig(context_length=512, micro_batch=2, vocab_size=4000)
+CFG = PrepConfig(context_length=512, micro_batch=2, vocab_size=20_000)
 STEPS, ACCUMULATION = 1500, 4
 TOP_P, TEMPERATURE = 0.8, 0.7
 STEP_THRESHOLD = 0.2
@@ -462,19 +463,36 @@ def chosen_slots(stored: DataFrame) -> DataFrame:
     return scores.select_confident(slots, STEP_THRESHOLD)
 
 
-def filled_slots(spark: SparkSession, folder: str) -> DataFrame:
-    return chosen_slots(stored_views(spark, folder)).select(
-        "seq_id",
-        "pos",
-        F.when(F.col("chosen"), F.col("candidate")).otherwise(F.col("token_id")).alias("token_id"),
+def open_slots(stored: DataFrame) -> DataFrame:
+    """The views as a step takes them; the first slot of a context is scored by itself."""
+    first = F.element_at("input_ids", 1)
+    return stored.select(
+        (F.col("batch_id") * 2 + F.col("view")).alias("seq_id"),
+        F.array(first).alias("seen"),
+        F.lit(None).cast("int").alias("step"),
+        F.lit(False).alias("finished"),
+        F.posexplode("input_ids").alias("pos", "token_id"),
     )
 
 
+def stepped_slots(stored: DataFrame) -> DataFrame:
+    """One filling step on all sub-blocks of all views."""
+    counted = scores.context_scores(scores.context_counts(views.training_pairs(stored)))
+    special = vocabulary.suppressed_ids(vocabulary.special_tokens(stored.sparkSession), CFG)
+    candidates = filling.prepare_candidates(Backoff.of_scores(counted), special, CFG, spare=(CFG.unknown_id, 0.0))
+    return filling.fill_step(open_slots(stored), candidates, replace(CFG, threshold=STEP_THRESHOLD), 0, 0)
+
+
+def filled_slots(spark: SparkSession, folder: str) -> DataFrame:
+    return stepped_slots(stored_views(spark, folder)).select("seq_id", "pos", "token_id")
+
+
 def filled_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """The filled slots with every block as a sequence of its own."""
+    """The filled slots with every block as a sequence of its own; view 0 is closed by the guard."""
     per_context = CFG.context_length // CFG.block_size
     block = block_of("pos", CFG.block_size)
-    return filled_slots(spark, folder).select(
+    slots = filled_slots(spark, folder).withColumn("finished", F.pmod("seq_id", F.lit(2)) == 1)
+    return filling.fill_leftovers(slots, CFG).select(
         (F.col("seq_id") * per_context + block).alias("seq_id"), "pos", "token_id"
     )
 
@@ -542,21 +560,20 @@ def fitted(spark: SparkSession, folder: str, cfg: PrepConfig) -> tuple[DataFrame
     return known, prepare.fit_scores(rows, known, cfg)
 
 
-def _fill(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
-    """Answers to the benchmark texts, filled from the context counts of the conversations."""
-    known, table_of_scores = fitted(spark, folder, cfg)
-    coded = tokens.prompt_ids(benchmark_prompts(spark, folder), known, cfg)
-    return filling.fill(
-        coded.withColumnRenamed("sample_id", "seq_id"),
-        table_of_scores,
-        vocabulary.suppressed_ids(known, cfg),
-        cfg,
-    )
+FILL_CFG = replace(CFG, block_size=8, sub_block_size=4, max_new_tokens=12, threshold=0.3)
+SIDES = (-1, -2, 1)
 
 
-FILL_CFG = replace(
-    CFG, block_size=8, sub_block_size=4, max_new_tokens=12, threshold=0.3, vocab_size=32_000
-)
+def benchmark_heads(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
+    coded = tokens.prompt_ids(benchmark_prompts(spark, folder), known, CFG)
+    return coded.withColumnRenamed("sample_id", "seq_id")
+
+
+def _fill(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
+    """Answers to the benchmark texts, filled from the context counts of the conversations."""
+    known, table_of_scores = fitted(spark, folder, CFG)
+    heads = benchmark_heads(spark, folder, known)
+    return filling.fill(heads, table_of_scores, vocabulary.suppressed_ids(known, CFG), cfg)
 
 
 def fill_final(spark, folder):
@@ -567,10 +584,65 @@ def fill_sampled(spark, folder):
     return _fill(spark, folder, replace(FILL_CFG, temperature=1.0))
 
 
+def sequence_fit(spark: SparkSession, folder: str) -> tuple[DataFrame, Backoff]:
+    """Vocabulary and a backoff over two tokens in front and one behind."""
+    rows = conversation_messages(spark, folder)
+    known = prepare.freeze_vocab(rows, CFG, new_path(spark, "vocab"))
+    stored = new_path(spark, "views")
+    write_views(prepare.views(rows, known, CFG), stored, CFG)
+    return known, Backoff.fit(spark.read.parquet(stored), CFG, SIDES)
+
+
+def fill_sequence(spark, folder):
+    """The same with slots scored by what they see on both sides."""
+    known, scorer = sequence_fit(spark, folder)
+    special = vocabulary.suppressed_ids(known, CFG)
+    return filling.fill(benchmark_heads(spark, folder, known), None, special, FILL_CFG, scorer=scorer)
+
+
+def fill_sequence_sampled(spark, folder):
+    known, scorer = sequence_fit(spark, folder)
+    special = vocabulary.suppressed_ids(known, CFG)
+    cfg = replace(FILL_CFG, temperature=1.0)
+    return filling.fill(benchmark_heads(spark, folder, known), None, special, cfg, scorer=scorer)
+
+
+def copy_model(tokens_seen, _query, upto):
+    """A model of the caller's: what a text has said before, late words first."""
+    visible = tokens_seen[:upto]
+    places = dict(zip(visible.tolist(), range(len(visible))))
+    return list(places), [at / len(visible) for at in places.values()]
+
+
+def fill_by_model(spark, folder):
+    """Filling driven by a caller's model instead of a table."""
+    known = prepare.freeze_vocab(conversation_messages(spark, folder), CFG, new_path(spark, "vocab"))
+    special = vocabulary.suppressed_ids(known, CFG)
+    heads = benchmark_heads(spark, folder, known)
+    return filling.fill(heads, None, special, replace(FILL_CFG, threshold=0.003), scorer=copy_model)
+
+
+def context_backoff(spark, folder):
+    """Counts of the contexts of every depth, as text keys."""
+    counted = backoff.count_contexts(masked_views(spark, folder), CFG, SIDES)
+    return counted.select("depth", F.array_join(F.transform("ctx", lambda t: t.cast("string")), ",").alias("ctx"), "label", "n")
+
+
+def alias_tables(spark, folder):
+    kept = scores.nucleus(context_probs(spark, folder), ["ctx"], TOP_P)
+    made = alias.alias_tables(kept, ["ctx"])
+    return made.select("ctx", "size", "cell", "token_id", nine(), nine("accept"), "alias_id", nine("alias_prob"))
+
+
+def order_alias(spark, folder):
+    made = alias.alias_tables(order_probs(spark, folder), ["l_orderkey"])
+    return made.select("l_orderkey", "size", "cell", "token_id", nine("accept"), "alias_id")
+
+
 def answer_texts(spark, folder):
-    """The same as texts."""
+    """Sampled answers as texts."""
     cfg = replace(FILL_CFG, temperature=1.0)
-    known, table_of_scores = fitted(spark, folder, cfg)
+    known, table_of_scores = fitted(spark, folder, CFG)
     return answers(benchmark_prompts(spark, folder), known, table_of_scores, cfg)
 
 
@@ -717,6 +789,12 @@ QUERIES: dict[str, Query] = {
     "render_state": render_state,
     "fill_final": fill_final,
     "fill_sampled": fill_sampled,
+    "fill_sequence": fill_sequence,
+    "fill_sequence_sampled": fill_sequence_sampled,
+    "fill_by_model": fill_by_model,
+    "context_backoff": context_backoff,
+    "alias_tables": alias_tables,
+    "order_alias": order_alias,
     "answer_texts": answer_texts,
     "instructions_round_trip": instructions_round_trip,
     "select_split": select_split,

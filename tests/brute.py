@@ -31,13 +31,31 @@ def nucleus(probs, top_p):
     return {t: p / total for t, p in kept.items()}
 
 
+def alias_cells(probs):
+    """[(token, accept, alias)] in token order, made one after the other with a work list."""
+    tokens = sorted(probs)
+    fill = {t: round(probs[t] * len(tokens), 12) for t in tokens}
+    accept, alias = {t: min(w, 1.0) for t, w in fill.items()}, {t: t for t in tokens}
+    heavy = [t for t in tokens if fill[t] > 1]
+    left = fill[heavy[0]] if heavy else 1.0
+    for light in [t for t in tokens if fill[t] <= 1]:
+        if not heavy:
+            break
+        alias[light] = heavy[0]
+        left = round(left - (1 - fill[light]), 12)
+        while left < 1 and len(heavy) > 1:
+            accept[heavy[0]], alias[heavy[0]] = left, heavy[1]
+            left = round(fill[heavy[1]] - (1 - left), 12)
+            heavy.pop(0)
+    return [(t, accept[t], alias[t]) for t in tokens]
+
+
 def draw(probs, u):
-    used = 0.0
-    for token, p in by_share(probs):
-        used += p
-        if u < round(used, 12):
-            return token, p
-    raise AssertionError("shares do not reach 1")
+    cells = alias_cells(probs)
+    place = u * len(cells)
+    token, accept, alias = cells[int(place)]
+    token = token if place - int(place) < accept else alias
+    return token, probs[token]
 
 
 def candidate(table, ctx, cfg, u):
