@@ -29,10 +29,9 @@ INVISIBLE = -65504.0
 # position and the one-step shift belongs to the loss.
 LABEL_SHIFT = "shift-in-loss"
 
-# A vocabulary is broadcast to every executor, so its size is capped: rows and
-# token length.  The split pattern makes no token longer than 33 characters.
-MAX_VOCAB_SIZE = 1_000_000
-MAX_TOKEN_LENGTH = 64
+# A vocabulary of up to this many tokens is broadcast and numbered in one task; a
+# larger one is numbered by ranges and met by ``heavy_join``.
+BROADCAST_VOCAB = 1_000_000
 # The name of a byte's row in a vocabulary: longer than any token, so that no text has it.
 BYTE_NAME = "<|one byte of a token that has no id: %s|>"
 VOCAB_SCHEMA = "token string, token_id int, is_special boolean"
@@ -68,8 +67,8 @@ class PrepConfig:
         for name in ("block_size", "sub_block_size", "context_length", "micro_batch"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
-        if not 0 < self.vocab_size < MAX_VOCAB_SIZE - FIRST_CORPUS_ID - 256:
-            raise ValueError(f"vocab_size must leave room below {MAX_VOCAB_SIZE}")
+        if not 0 < self.vocab_size < 2**29:
+            raise ValueError("vocab_size must be above 0 and below 2^29, so that ids stay small whole numbers")
         if not 0 < self.top_p <= 1 or self.threshold < 0 or self.max_new_tokens < 0:
             raise ValueError("top_p is in (0, 1]; threshold and max_new_tokens are not below 0")
         marks = [i for i in (self.mask_id, self.eos_id, self.unknown_id) if i is not None]

@@ -7,12 +7,17 @@ after a lost executor.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Positions whose coins come out of one hash.
 WORD_BITS = 32
 
+# Rounds of a permutation, hex digits of a round's hash, and the most rows of its grid.
+ROUNDS, ROUND_DIGITS, MOST_ROWS = 6, 15, 4096
+
 
 def hash_key(*parts: Column | str | int) -> Column:
     """MD5, in hex, of the parts joined by colons; plain values are literals."""
@@ -51,3 +56,49 @@ def coin_array(length: int | Column, *parts: Column | str | int) -> Column:
         )
     )
     return F.slice(bits, F.lit(1), length)
+
+
+def grid_of(n: int) -> tuple[int, int]:
+    """Rows and columns of the grid that a permutation of ``n`` numbers works on: a * b >= n."""
+    rows = 1
+    while rows < MOST_ROWS and rows * rows < n:
+        rows *= 2
+    return rows, -(-n // rows)
+
+
+def permuted(number: Column, n: int, *parts: Column | str | int) -> Column:
+    """A seeded bijection of 0 .. n - 1, computed from the number alone.
+
+    The numbers lie in a grid of a rows and b columns.  In turn the column is moved on by a
+    hash of the row and the row by a hash of the column (a Feistel network), which can be undone
+    and so is a bijection of the grid.  The grid has fewer than a places beyond n; a number that
+    lands there goes on until it comes back, which takes no more rounds than there are such places.
+    """
+    a, b = grid_of(n)
+
+    def shift(round_: int, half: Column, size: int) -> Column:
+        digits = F.substring(hash_key(*parts, round_, half), 1, ROUND_DIGITS)
+        return F.conv(digits, 16, 10).cast("long") % size
+
+    def moved(round_: int) -> Callable[[Column], Column]:
+        if round_ % 2 == 0:
+            return lambda p: F.struct(p["r"], ((p["c"] + shift(round_, p["r"], b)) % b).alias("c"))
+        return lambda p: F.struct(((p["r"] + shift(round_, p["c"], a)) % a).alias("r"), p["c"])
+
+    def once(at: Column) -> Column:
+        # A transform of one element each, so that a round's value is computed once.
+        place = F.array(F.struct((at % a).alias("r"), F.floor(at / a).cast("long").alias("c")))
+        for round_ in range(ROUNDS):
+            place = F.transform(place, moved(round_))
+        return F.element_at(F.transform(place, lambda p: p["c"] * a + p["r"]), 1)
+
+    first = once(number.cast("long"))
+    spare = a * b - n
+    if not spare:
+        return first
+
+    def back(at: Column) -> Column:
+        tries = F.sequence(F.lit(1), F.lit(spare))
+        return F.when(at < n, at).otherwise(F.aggregate(tries, at, lambda x, _: F.when(x < n, x).otherwise(once(x))))
+
+    return F.element_at(F.transform(F.array(first), back), 1)

@@ -21,6 +21,7 @@ from blockprep.functions.hashing import uniform
 from blockprep.operators.backoff import Automaton, Backoff
 from blockprep.operators.packed import FromModel, FromTable, Proposer, block_slots, fill_block
 from blockprep.operators.scores import argmax, select_confident, softmax, suppress
+from blockprep.operators.tokens import named_join
 from blockprep.sources.storage import cut_lineage
 
 # A candidate table is broadcast up to this many rows (some 60 bytes each) and
@@ -377,13 +378,13 @@ def response_only(slots: DataFrame, prompt_lengths: DataFrame) -> DataFrame:
 
 def render_state(slots: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFrame:
     """Add ``shown``: the token text, ``[MASK]`` for open slots, nothing for special tokens."""
-    names = F.broadcast(vocab.select("token_id", "token", "is_special"))
+    names = vocab.select("token_id", "token", "is_special")
     shown = (
         F.when(F.col("token_id") == cfg.mask_id, "[MASK]")
         .when(F.col("is_special"), "")
         .otherwise(F.coalesce("token", F.lit("")))
     )
-    return slots.join(names, "token_id", "left").withColumn("shown", shown).drop("token", "is_special")
+    return named_join(slots, names, "token_id", cfg).withColumn("shown", shown).drop("token", "is_special")
 
 
 def slot_score(slots: DataFrame, cfg: PrepConfig) -> DataFrame:

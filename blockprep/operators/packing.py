@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blockprep.config import PrepConfig
 from blockprep.functions.arrays import fit_context, pad_block, truncate
-from blockprep.functions.hashing import hash_key
+from blockprep.functions.hashing import hash_key, permuted
 from blockprep.operators.running import dense_order
 
 
@@ -78,27 +78,37 @@ def pack(batches: DataFrame, cfg: PrepConfig) -> DataFrame:
 
 
 def step_plan(
-    samples: DataFrame, cfg: PrepConfig, max_steps: int, accumulation: int, keys: Sequence[str] = ("sample_id",)
+    samples: DataFrame,
+    cfg: PrepConfig,
+    max_steps: int,
+    accumulation: int,
+    keys: Sequence[str] = ("sample_id",),
+    index: str | None = None,
 ) -> DataFrame:
     """Which sample is read in which optimizer step: (step, micro, epoch, slot, sample_id).
 
     Epochs follow each other, each in its own order, until ``max_steps *
     accumulation`` micro-batches are used.  The first of ``keys`` names a sample.
+    Samples are numbered once (``index`` names dense numbers from 0 that they have
+    already); an epoch's order is a seeded bijection of the numbers, so that step,
+    micro-batch and slot are a projection, and what lies behind the last step is
+    left out before anything else happens to it.
     """
     wanted = max_steps * accumulation
     total = samples.count()
-    if total == 0 or wanted <= 0:
-        epochs, per_epoch = 1, 1
+    per_epoch = max(-(-total // cfg.micro_batch), 1)
+    epochs = max(-(-wanted // per_epoch), 1) if total and wanted > 0 else 1
+    if index is None:
+        named = hash_key(cfg.seed, "index", F.col(keys[0]))
+        numbered = dense_order(samples.select(*keys), named, keys[0], "_number")
     else:
-        per_epoch = -(-total // cfg.micro_batch)
-        epochs = -(-wanted // per_epoch)
-    repeated = samples.select(*keys).withColumn(
-        "epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
+        numbered = samples.select(*keys, F.col(index).alias("_number"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
+    placed = numbered.withColumn("epoch", every).withColumn(
+        "_index", permuted(F.col("_number"), max(total, 1), cfg.seed, F.col("epoch"))
     )
-    rank = hash_key(cfg.seed, F.col("epoch"), F.col(keys[0]))
-    ordered = dense_order(repeated, rank, keys[0], "_index", within=["epoch"])
     micro = F.col("epoch") * F.lit(per_epoch) + F.floor(F.col("_index") / F.lit(cfg.micro_batch))
-    return ordered.withColumn("micro", micro.cast("long")).where(F.col("micro") < wanted).select(
+    return placed.withColumn("micro", micro.cast("long")).where(F.col("micro") < wanted).select(
         F.floor(F.col("micro") / F.lit(accumulation)).alias("step"),
         "micro",
         "epoch",

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from blockprep.sources.storage import cut_lineage
+
 # Order values per stretch: one task holds at most this many rows of a key.
 STRETCH = 65_536
 
@@ -145,3 +147,19 @@ def dense_order(
     return local.join(side, cut).select(
         *df.columns, (F.col("_shift") + F.col("_local")).alias(name)
     )
+
+
+def sorted_numbers(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Number all rows 0, 1, ... in a given order, in as many tasks as the shuffle has partitions.
+
+    Rows are sorted by ranges and numbered inside each; a table of one row per range says how
+    many are in front of it.  The order must leave no ties.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.select("*", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit(2**33 - 1)).alias("_local"))
+    before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    shifts = shifts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
+    return placed.join(F.broadcast(shifts), "_part").select(*df.columns, (F.col("_shift") + F.col("_local")).alias(name))

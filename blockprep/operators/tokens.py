@@ -8,20 +8,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockprep.config import PrepConfig
+from blockprep.config import BROADCAST_VOCAB, PrepConfig
 from blockprep.functions.arrays import append_eos
 from blockprep.functions.text import render_chat, render_message, split_tokens
+from blockprep.operators.heavy import heavy_join
 
 # A rendered message is at least this many tokens: both marks and two breaks.
 LEAST_MESSAGE_TOKENS = 4
 
-# Ids below this number travel in one long with their place.
+# Ids and places below these numbers travel in one long.
 ID_SPAN = 2**24
+PLACE_SPAN = 2**38
 
 # One character written in hex, byte by byte with a blank behind each.
 _WHOLE = "([0-7]. |(?:C[2-9A-F]|D.) [89AB]. |E. [89AB]. [89AB]. |F[0-4] [89AB]. [89AB]. [89AB]. )"
 
 
+def named_join(df: DataFrame, vocab: DataFrame, key: str, cfg: PrepConfig) -> DataFrame:
+    """Left join with a vocabulary: broadcast up to ``BROADCAST_VOCAB`` tokens, else by frequency."""
+    if cfg.vocab_size <= BROADCAST_VOCAB:
+        return df.join(F.broadcast(vocab), key, "left")
+    return heavy_join(df, vocab, key)
+
+
 def _byte_ids(token: Column, cfg: PrepConfig) -> Column:
     """The ids of a token's UTF-8 bytes."""
     digits = F.hex(F.encode(token, "UTF-8"))
@@ -34,12 +43,9 @@ def _byte_ids(token: Column, cfg: PrepConfig) -> Column:
 def _lookup(tokens: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFrame:
     """Add token_id, NULL outside the vocabulary, and for such tokens byte_ids.
 
-    Without byte fallback they have the unknown id.  The vocabulary is broadcast:
-    ``build_vocab`` caps its rows and the split pattern the length of a token;
-    ``read_vocab`` checks both for stored ones.
+    Without byte fallback they have the unknown id.
     """
-    known = F.broadcast(vocab.select("token", "token_id"))
-    joined = tokens.join(known, "token", "left")
+    joined = named_join(tokens, vocab.select("token", "token_id"), "token", cfg)
     outside = F.col("token").isNotNull() & F.col("token_id").isNull()
     others = _byte_ids(F.col("token"), cfg) if cfg.byte_fallback else F.array(F.lit(cfg.unknown_id))
     return joined.withColumn("byte_ids", F.when(outside, others))
@@ -53,7 +59,8 @@ def _regroup(tokens: DataFrame, key: str, place: Column, length: int) -> DataFra
     takes in the shuffle, and sort as such; only bytes and very large ids go in
     structs of their own.
     """
-    place, small = place.cast("long"), F.col("token_id") < ID_SPAN
+    place = place.cast("long")
+    small = (F.col("token_id") < ID_SPAN) & (place < PLACE_SPAN)
     entry = F.when(small, place * ID_SPAN + F.col("token_id"))
     other = F.coalesce("byte_ids", F.when(~small, F.array("token_id")))
     entries = tokens.groupBy(key).agg(
@@ -94,7 +101,7 @@ def token_ids(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFra
             )
         ).alias("i", "token"),
     )
-    place = F.col("ord") * cfg.context_length + F.col("i")
+    place = F.col("ord").cast("long") * cfg.context_length + F.col("i")
     return _regroup(_lookup(pieces, vocab, cfg), "sample_id", place, cfg.context_length)
 
 
@@ -152,7 +159,7 @@ def detokenize(
     list was cut within it) are left out.
     """
     slots = sequences.select(*keys, F.posexplode_outer(ids).alias("pos", "token_id"))
-    names = F.broadcast(vocab.select("token_id", "token", "is_special"))
+    names = vocab.select("token_id", "token", "is_special")
     byte = F.col("token_id") - cfg.byte_base
     is_byte = byte.between(0, 255) if cfg.byte_fallback else F.lit(False)
     part = F.when(is_byte, F.concat(F.lpad(F.hex(byte), 2, "0"), F.lit(" "))).otherwise(F.col("token"))
@@ -161,7 +168,7 @@ def detokenize(
         F.struct("pos", part.alias("part"), is_byte.alias("byte")),
     )
     grouped = (
-        slots.join(names, "token_id", "left")
+        named_join(slots, names, "token_id", cfg)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(shown)).alias("e"))
     )

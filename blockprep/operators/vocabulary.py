@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockprep.config import (
+    BROADCAST_VOCAB,
     BYTE_NAME,
     EOS_TOKEN,
     FIRST_CORPUS_ID,
@@ -21,6 +22,7 @@ from blockprep.config import (
     VOCAB_SCHEMA,
     PrepConfig,
 )
+from blockprep.operators.running import sorted_numbers
 from blockprep.functions.text import render_message, split_tokens
 
 
@@ -85,17 +87,20 @@ def _frequent(counts: DataFrame, size: int) -> DataFrame:
 def build_vocab(counts: DataFrame, cfg: PrepConfig) -> DataFrame:
     """The most frequent tokens with dense ids behind the reserved ones.
 
-    The cap comes first, so the single-task numbering sees at most
-    ``cfg.vocab_size`` short rows.
+    Up to ``BROADCAST_VOCAB`` tokens are numbered in one task, which sees no more
+    than that many short rows; a larger vocabulary is numbered by ranges.
     """
     reserved = [token for token, _ in special_rows(cfg)]
-    corpus = counts.where(~F.col("token").isin(reserved))
+    corpus = _frequent(counts.where(~F.col("token").isin(reserved)), cfg.vocab_size)
     order = [F.desc("n"), F.col("token")]
-    top = _frequent(corpus, cfg.vocab_size).orderBy(*order).limit(cfg.vocab_size)
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order))
-    numbered = top.select(
+    if cfg.vocab_size <= BROADCAST_VOCAB:
+        top = corpus.orderBy(*order).limit(cfg.vocab_size)
+        ranked = top.withColumn("_rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    else:
+        ranked = sorted_numbers(corpus, order, "_rank").where(F.col("_rank") < cfg.vocab_size)
+    numbered = ranked.select(
         "token",
-        (rank + (FIRST_CORPUS_ID - 1)).cast("int").alias("token_id"),
+        (F.col("_rank") + FIRST_CORPUS_ID).cast("int").alias("token_id"),
         F.lit(False).alias("is_special"),
     )
     vocab = numbered.unionByName(special_tokens(counts.sparkSession, cfg))
@@ -106,22 +111,26 @@ def bind_vocab(vocab: DataFrame, cfg: PrepConfig) -> tuple[DataFrame, PrepConfig
     """A supplied vocabulary with its mask token, and settings with the ids it really has.
 
     The mask is added behind the highest id unless it is there.  End and unknown ids follow
-    the rows of that name; without an unknown row or byte rows, tokens outside the
-    vocabulary would have no id, which is an error.
+    the rows of that name.  Byte rows serve if all 256 are there with ids one after the other;
+    without them and without an unknown row, tokens outside the vocabulary would have no id,
+    which is an error.
     """
     vocab = ensure_token(vocab, cfg.mask_token)
-    wanted = [cfg.mask_token, EOS_TOKEN, UNKNOWN_TOKEN, BYTE_NAME % "00"]
+    byte_names = [BYTE_NAME % f"{b:02X}" for b in range(256)]
+    wanted = [cfg.mask_token, EOS_TOKEN, UNKNOWN_TOKEN, *byte_names]
     found = dict(vocab.where(F.col("token").isin(wanted)).select("token", "token_id").collect())
-    bytes_at = found.get(BYTE_NAME % "00")
+    bytes_at = found.get(byte_names[0])
+    if any(found.get(name) != (bytes_at or 0) + b for b, name in enumerate(byte_names)):
+        bytes_at = None
     if bytes_at is None and UNKNOWN_TOKEN not in found:
-        raise ValueError("the vocabulary has neither an unknown token nor byte rows")
+        raise ValueError("the vocabulary has neither an unknown token nor all byte rows")
     return vocab, replace(
         cfg,
         mask_id=found[cfg.mask_token],
         eos_id=found.get(EOS_TOKEN),
         unknown_id=found.get(UNKNOWN_TOKEN, max(found.values()) + 256),
         byte_fallback=bytes_at is not None,
-        **({} if bytes_at is None else {"vocab_size": bytes_at - FIRST_CORPUS_ID}),
+        vocab_size=max(vocab.count(), 1) if bytes_at is None else bytes_at - FIRST_CORPUS_ID,
     )
 
 

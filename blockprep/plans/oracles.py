@@ -6,6 +6,8 @@ whole text, orders come from one global window, and so on.
 
 from __future__ import annotations
 
+import re
+
 from blockprep.config import SPECIAL_TOKENS
 from blockprep.functions.text import STRIP_PATTERN, token_pattern
 from blockprep.plans.registry import (
@@ -14,6 +16,8 @@ from blockprep.plans.registry import (
     EXTRA_TOKEN,
     FILL_CFG,
     FOLD_PIECE,
+    PACK_GROUPS,
+    PACK_START,
     STEP_THRESHOLD,
     STEPS,
     TEMPERATURE,
@@ -127,18 +131,18 @@ ASKED = {
 }
 
 
-def _batches(samples: str) -> str:
+def _batches(samples: str, epoch: int = 0) -> str:
     return f"""
       SELECT sample_id, (rn - 1) // {CFG.micro_batch} AS batch_id,
              CAST((rn - 1) % {CFG.micro_batch} AS INTEGER) AS slot
       FROM (SELECT sample_id,
-                   row_number() OVER (ORDER BY md5('{SEED}:0:' || sample_id), sample_id) AS rn
+                   row_number() OVER (ORDER BY md5('{SEED}:{epoch}:' || sample_id), sample_id) AS rn
             FROM {samples})"""
 
 
-def _coin(key: str) -> str:
+def _coin(key: str, epoch: int = 0) -> str:
     return (
-        f"CAST((('0x' || substr(md5('{SEED}:0:' || {key} || ':' || (pos // 32)), 1, 8))::BIGINT"
+        f"CAST((('0x' || substr(md5('{SEED}:{epoch}:' || {key} || ':' || (pos // 32)), 1, 8))::BIGINT"
         " >> (pos % 32)) & 1 AS INTEGER)"
     )
 
@@ -419,22 +423,59 @@ FROM kept"""
 
 DOCUMENT_BATCHES = {"batches": _batches("(SELECT doc_id AS sample_id FROM documents)")}
 
+def _moved(number: int, half: str, size: str) -> str:
+    return f"('0x' || substr(md5('{SEED}:' || epoch || ':{number}:' || {half}), 1, 15))::BIGINT % {size}"
+
+
+def _rounds(source: str) -> str:
+    """One pass of six rounds over a grid of a rows and b columns, from (.., x) to (.., x)."""
+    out = f"(SELECT *, x % a AS r, x // a AS c FROM {source})"
+    for k in range(6):
+        row, column = ("r", f"(c + {_moved(k, 'r', 'b')}) % b") if k % 2 == 0 else (f"(r + {_moved(k, 'c', 'a')}) % a", "c")
+        out = f"(SELECT * REPLACE ({row} AS r, {column} AS c) FROM {out})"
+    return f"(SELECT epoch, per_epoch, sample_id, n, a, b, c * a + r AS x FROM {out})"
+
+
 STEP_PLAN = f"""
-WITH n AS (SELECT (count(*) + {CFG.micro_batch - 1}) // {CFG.micro_batch} AS per_epoch FROM documents),
+WITH RECURSIVE sizes AS (
+  SELECT count(*) AS n, (count(*) + {CFG.micro_batch - 1}) // {CFG.micro_batch} AS per_epoch,
+         least(4096, CAST(pow(2, ceil(log2(sqrt(count(*))))) AS BIGINT)) AS a FROM documents),
+grid AS (SELECT *, (n + a - 1) // a AS b FROM sizes),
 epochs AS (
-  SELECT unnest(generate_series(0, ({STEPS * ACCUMULATION} + per_epoch - 1) // per_epoch - 1)) AS epoch,
-         per_epoch FROM n),
-ordered AS (
-  SELECT epoch, per_epoch, doc_id AS sample_id,
-         row_number() OVER (PARTITION BY epoch
-                            ORDER BY md5('{SEED}:' || epoch || ':' || doc_id), doc_id) - 1 AS rn
+  SELECT unnest(generate_series(0, ({STEPS * ACCUMULATION} + per_epoch - 1) // per_epoch - 1)) AS epoch, grid.* FROM grid),
+numbered AS (
+  SELECT epoch, per_epoch, doc_id AS sample_id, n, a, b, row_number() OVER (PARTITION BY epoch ORDER BY md5('{SEED}:index:' || doc_id), doc_id) - 1 AS x
   FROM documents CROSS JOIN epochs),
+walk AS (
+  SELECT * FROM {_rounds('numbered')}
+  UNION ALL SELECT * FROM {_rounds('(SELECT * FROM walk WHERE x >= n)')}),
 placed AS (
-  SELECT *, epoch * per_epoch + rn // {CFG.micro_batch} AS micro FROM ordered)
+  SELECT epoch, sample_id, x, epoch * per_epoch + x // {CFG.micro_batch} AS micro FROM walk WHERE x < n)
 SELECT micro // {ACCUMULATION} AS step, micro, CAST(epoch AS INTEGER) AS epoch,
-       CAST(rn % {CFG.micro_batch} AS INTEGER) AS slot, sample_id
+       CAST(x % {CFG.micro_batch} AS INTEGER) AS slot, sample_id
 FROM placed WHERE micro < {STEPS * ACCUMULATION}"""
 
+# --- what files, hooks and settings change ------------------------------------
+
+BOTH_SOURCES = {
+    **INSTRUCTIONS,
+    "asked": f"SELECT item_id AS sample_id, {_rendered("'user'", 'text')} || {_rendered("'assistant'", "''")} AS text FROM benchmark",
+}
+
+
+def _views_of(epoch: int) -> dict[str, str]:
+    """The chain from batches on, for another epoch, under names of its own."""
+    n = f"{{}}_{epoch}"
+    swap = {k: n.format(k) for k in ("batches", "offsets", "packed", "coins", "views")}
+
+    def own(sql: str) -> str:
+        return re.sub(r"\b(batches|offsets|packed|coins|views)\b", lambda m: swap[m.group()], sql)
+
+    parts = {**PACKED, "batches": _batches("(SELECT DISTINCT conv_id AS sample_id FROM conversations)", epoch)}
+    parts["coins"] = f"SELECT batch_id, pos, token_id, {_coin('batch_id', epoch)} AS coin FROM packed"
+    return {swap[k]: own(parts[k]) for k in swap}
+
+
 STREAM_VIEWS = {
     **INSTRUCTION_TOKENS,
     "padded": f"""
@@ -642,6 +683,87 @@ ORACLES: dict[str, str] = {
         {**ORDERS, **_alias("probs", "l_orderkey")},
         """SELECT l_orderkey, size, CAST(cell AS INTEGER) AS cell, token_id, round(accept, 9) AS accept, alias_id FROM alias_cells""",
     ),
+    "files_win": _with(
+        BOTH_SOURCES,
+        """SELECT 'files' AS source, sample_id, md5(text) AS digest FROM rendered
+           UNION ALL SELECT 'dataset', sample_id, md5(text) FROM asked""",
+    ),
+    "saved_count": "SELECT count(*) AS n_saved, count(*) AS n_read FROM documents",
+    "stored_epochs": _with(
+        {**PACKED, **_views_of(1)},
+        "SELECT CAST(0 AS INTEGER) AS epoch, * FROM views UNION ALL SELECT CAST(1 AS INTEGER), * FROM views_1",
+    ),
+    "stamp_check": f"""
+        SELECT CAST(4 * ((count(DISTINCT conv_id) + {CFG.micro_batch - 1}) // {CFG.micro_batch}) AS BIGINT) AS n_views, settings, fits
+        FROM conversations, (VALUES ('same', true), ('other mask', false), ('other block', false),
+                                    ('other base', false), ('no stamp', false)) c(settings, fits)
+        GROUP BY settings, fits""",
+    "supplied_ids": _with(
+        CONVERSATIONS, "SELECT '3 4 ' || (max(token_id) + 1) || ' ' || (max(token_id) + 2) || ' ' || (max(token_id) + 3) AS ids FROM vocab"
+    ),
+    "supplied_token_ids": _with(
+        CONVERSATIONS,
+        f"""SELECT sample_id, {_DIGEST_IDS} AS digest FROM (
+              SELECT sample_id, pos, CASE WHEN token_id = 0 THEN (SELECT max(token_id) + 3 FROM vocab) ELSE token_id END AS token_id FROM ids)
+            GROUP BY sample_id""",
+    ),
+    "guard_pad": _with(
+        FILLING,
+        """SELECT settings, pad_id, seq_id, pos, CAST(CASE WHEN token_id = 0 THEN spare ELSE token_id END AS INTEGER) AS token_id
+           FROM filled CROSS JOIN (VALUES ('default', 1, 1), ('pad', 7, 7), ('pad beside end', 7, 1)) c(settings, pad_id, spare)""",
+    ),
+    "append_block": _with(
+        {**CONVERSATIONS, **ASKED},
+        f"""SELECT sample_id AS seq_id, CAST(pos AS INTEGER) AS pos, 0 AS token_id, false AS finished, CAST(n AS INTEGER) AS n_seen
+            FROM (SELECT sample_id, count(*) AS n FROM asked_numbered GROUP BY sample_id), range({SPAN}, {NEW}) r(pos)""",
+    ),
+    "fill_log": _with(_fill(3, False), "SELECT seq_id, step, pos, token_id FROM done WHERE step IS NOT NULL"),
+    "fill_states": _with(
+        _fill(3, False),
+        """SELECT CAST(s AS INTEGER) AS after, seq_id, pos, CAST(CASE WHEN step <= s THEN token_id ELSE 0 END AS INTEGER) AS token_id
+           FROM done CROSS JOIN (VALUES (0), (1), (3)) q(s)""",
+    ),
+    "tailed_log": _with(_fill(1, False), "SELECT seq_id, step, pos, token_id FROM done WHERE step IS NOT NULL"),
+    "stream_rejects": "SELECT '{broken ' || source AS line, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY source",
+    "stream_packed": _with(
+        {
+            **INSTRUCTION_TOKENS,
+            "own": f"""
+              SELECT sample_id, pos, token_id FROM ids WHERE pos < {L}
+              UNION ALL SELECT sample_id, unnest(range(n, (n + {BLOCK - 1}) // {BLOCK} * {BLOCK})), 0
+              FROM (SELECT sample_id, count(*) AS n FROM ids WHERE pos < {L} GROUP BY sample_id)""",
+            "grouped": f"""
+              SELECT doc_id AS sample_id, ({PACK_START} + 60 * doc_id) // 7200 * 7200 AS start,
+                     ('0x' || substr(md5('{SEED}:group:' || doc_id), 1, 8))::BIGINT % {PACK_GROUPS} AS part FROM documents""",
+            "placed": f"""
+              SELECT *, (row_number() OVER (PARTITION BY start, part ORDER BY md5('{SEED}:pack:' || sample_id), sample_id) - 1) AS place
+              FROM grouped""",
+            "joined": f"""
+              SELECT start || '-' || part || '-' || place // {CFG.micro_batch} AS batch_id, token_id,
+                     row_number() OVER (PARTITION BY start, part, place // {CFG.micro_batch} ORDER BY place, pos) - 1 AS k
+              FROM placed JOIN own USING (sample_id)""",
+            "filled": f"""
+              SELECT batch_id, k, token_id FROM joined WHERE k < {L}
+              UNION ALL SELECT batch_id, unnest(range(n, {L})), 0 FROM (SELECT batch_id, count(*) AS n FROM joined GROUP BY batch_id) WHERE n < {L}""",
+        },
+        """SELECT batch_id, CAST(count(*) AS INTEGER) AS n_ids, md5(string_agg(token_id::VARCHAR, ' ' ORDER BY k)) AS digest
+           FROM filled GROUP BY batch_id""",
+    ),
+    "hooked_ids": f"""
+        SELECT doc_id AS sample_id, CAST(len(ids) AS INTEGER) AS n_ids, md5(array_to_string(ids, ' ')) AS digest
+        FROM (SELECT doc_id, list_append(list_transform(range(least(strlen(text), {L})),
+                lambda k: 5 + ('0x' || substr(hex(encode(text)), CAST(2 * k + 1 AS BIGINT), 2))::BIGINT), 1) AS ids FROM documents)""",
+    "heavy_lookup": _with(
+        CONVERSATIONS,
+        f"""SELECT doc_id, count(*) AS n_tokens, count(token_id) AS n_known, CAST(sum(token_id) AS BIGINT) AS id_sum
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{PATTERN}', 1)) AS token FROM documents)
+            LEFT JOIN vocab USING (token) GROUP BY doc_id""",
+    ),
+    "large_vocab": f"""
+        SELECT token, CAST(4 + row_number() OVER (ORDER BY n DESC, token) AS INTEGER) AS token_id, false AS is_special
+        FROM (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{PATTERN}', 1)) AS token FROM documents)
+              WHERE token NOT IN ({RESERVED}) GROUP BY token)
+        UNION ALL SELECT * FROM (VALUES {RESERVED_ROWS}) AS s(token, token_id, is_special)""",
     "instructions_round_trip": _with(INSTRUCTIONS, "SELECT sample_id, ord, role, content FROM msgs"),
     "rows_without_ids": _with(
         INSTRUCTIONS,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockprep.config import PrepConfig
 from blockprep.operators.messages import sample_keys
@@ -11,7 +12,7 @@ from blockprep.operators.scores import context_counts, context_scores, overall_s
 from blockprep.operators.tokens import tokenize
 from blockprep.operators.views import complementary_views, training_pairs
 from blockprep.operators.vocabulary import build_vocab, count_tokens
-from blockprep.sources.prepared import read_vocab, write_views
+from blockprep.sources.prepared import read_ids, read_vocab, write_ids, write_views
 from blockprep.sources.storage import cut_lineage
 
 
@@ -80,7 +81,28 @@ def fit_scores(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFr
     return context_scores(counts).unionByName(overall_scores(counts))
 
 
-def prepare(messages: DataFrame, cfg: PrepConfig, path: str, epoch: int = 0) -> None:
-    """Build and store vocabulary and views under ``path``, with the stamp."""
+def store_ids(messages: DataFrame, cfg: PrepConfig, path: str) -> None:
+    """Freeze the vocabulary and store every sample's ids once, in buckets of the sample."""
     vocab = freeze_vocab(messages, cfg, f"{path}/vocab")
-    write_views(views(messages, vocab, cfg, epoch), f"{path}/views", cfg)
+    buckets = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    write_ids(tokenize(messages, vocab, cfg), f"{path}/ids", buckets)
+
+
+def stored_batches(spark: SparkSession, cfg: PrepConfig, path: str, epoch: int) -> DataFrame:
+    """The micro-batches of an epoch over stored ids: only sample ids are ordered and moved."""
+    samples = read_ids(spark, f"{path}/ids")
+    return assign_batches(samples, cfg, epoch, samples.select("sample_id"))
+
+
+def prepare(messages: DataFrame, cfg: PrepConfig, path: str, epoch: int = 0) -> None:
+    """Store the views of one epoch under ``path``, one folder per epoch, with the stamp.
+
+    Epoch 0 builds and stores the vocabulary and the samples' ids anew.  Later epochs order the
+    stored ids in their own way and leave the other epochs' folders alone.
+    """
+    spark = messages.sparkSession
+    if epoch == 0:
+        store_ids(messages, cfg, path)
+    packed = pack(stored_batches(spark, cfg, path, epoch), cfg)
+    made = complementary_views(packed, cfg, epoch).withColumn("epoch", F.lit(epoch))
+    write_views(made, f"{path}/views", cfg)

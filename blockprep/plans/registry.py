@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,14 +13,15 @@ from pyspark.sql import types as T
 from blockprep.config import PrepConfig
 from blockprep.functions.arrays import block_of, pad_block, prefix_visible_upto, truncate
 from blockprep.functions.text import norm_role, render_chat, split_tokens, strip
-from blockprep.operators import alias, backoff, filling, history, messages, packing, scores, tokens, views, vocabulary
+from blockprep.operators import alias, backoff, filling, heavy, history, messages, packing, scores, tokens, views, vocabulary
 from blockprep.operators.backoff import Backoff
 from blockprep.plans import prepare
 from blockprep.plans.answer import answers
-from blockprep.sources.instructions import read_dataset, read_instructions, write_jsonl
-from blockprep.sources.prepared import write_views
-from blockprep.sources.storage import new_path, spread
+from blockprep.sources.instructions import load_instructions, read_dataset, read_instructions, write_jsonl
+from blockprep.sources.prepared import check_manifest, write_views
+from blockprep.sources.storage import cut_lineage, new_path, spread
 from blockprep.streaming import ingest
+from blockprep.streaming import packing as stream_packing
 
 CFG = PrepConfig(context_length=512, micro_batch=2, vocab_size=20_000)
 STEPS, ACCUMULATION = 1500, 4
@@ -734,6 +736,211 @@ def stream_views(spark, folder):
     )
 
 
+# --- the same steps where files, hooks and settings come in ---------------------
+
+
+def files_win(spark, folder):
+    """Given both, data files are read and the dataset is not; without files, the split is."""
+    dataset, files = new_path(spark, "dataset"), new_path(spark, "files")
+    prompts = table(spark, folder, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("prompt"))
+    write_jsonl(prompts.withColumn("split", F.lit("train")), dataset, ["split"])
+    write_jsonl(instruction_rows(spark, folder), files)
+    both = load_instructions(spark, dataset, "train", files, [KEY])
+    alone = load_instructions(spark, dataset, "train", None, [KEY])
+
+    def digests(rows, name):
+        return messages.to_messages(rows).select(
+            F.lit(name).alias("source"), "sample_id", F.md5(render_chat("messages")).alias("digest")
+        )
+
+    return digests(both, "files").unionByName(digests(alone, "dataset"))
+
+
+def saved_count(spark, folder):
+    """What writing reports, and what is there to read."""
+    path = new_path(spark, "rows")
+    saved = write_jsonl(instruction_rows(spark, folder), path)
+    read = read_instructions(spark, path, keys=[KEY]).agg(F.count(F.lit(1)).alias("n_read"))
+    return read.select(F.lit(saved).cast("long").alias("n_saved"), "n_read")
+
+
+def prepared_epochs(spark: SparkSession, folder: str) -> str:
+    path = new_path(spark, "prepared")
+    rows = conversation_messages(spark, folder)
+    for epoch in (0, 1):
+        prepare.prepare(rows, CFG, path, epoch)
+    return path
+
+
+def stored_epochs(spark, folder):
+    """Two epochs prepared after each other, read back from one store."""
+    stored = spark.read.parquet(f"{prepared_epochs(spark, folder)}/views")
+    return views.view_positions(stored, ("epoch", "batch_id", "view"))
+
+
+def stamp_check(spark, folder):
+    """Which settings a stored preparation fits, with the views found in it."""
+    path = f"{prepared_epochs(spark, folder)}/views"
+    cases = {
+        "same": CFG,
+        "other mask": replace(CFG, mask_id=9),
+        "other block": replace(CFG, block_size=16),
+        "other base": replace(CFG, base_name="else"),
+    }
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        fits = {name: check_manifest(spark, path, cfg) for name, cfg in cases.items()}
+        fits["no stamp"] = check_manifest(spark, new_path(spark, "nothing"), CFG)
+    known = F.explode(F.array(*[F.struct(F.lit(k).alias("settings"), F.lit(v).alias("fits")) for k, v in fits.items()]))
+    found = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_views"))
+    return found.select("n_views", known.alias("c")).select("n_views", "c.settings", "c.fits")
+
+
+def supplied_vocab(spark: SparkSession, folder: str) -> tuple[DataFrame, PrepConfig]:
+    """A vocabulary from elsewhere, with pad and begin tokens of its own and no mask."""
+    own = vocab(spark, folder).where(F.col("token") != CFG.mask_token)
+    own = vocabulary.ensure_token(vocabulary.ensure_token(own, "<pad>"), "<s>")
+    known, cfg = vocabulary.bind_vocab(cut_lineage(own), CFG)
+    ids = dict(known.where(F.col("token").isin("<pad>", "<s>")).select("token", "token_id").collect())
+    return known, replace(cfg, pad_id=ids["<pad>"], bos_id=ids["<s>"])
+
+
+def supplied_ids(spark, folder):
+    """The suppressed ids of a supplied vocabulary, as the one list a sampler takes."""
+    known, cfg = supplied_vocab(spark, folder)
+    listed = vocabulary.id_list(vocabulary.suppressed_ids(known, cfg))
+    return listed.select(F.array_join(F.transform("token_ids", lambda t: t.cast("string")), " ").alias("ids"))
+
+
+def supplied_token_ids(spark, folder):
+    """Conversations in the ids of a supplied vocabulary."""
+    known, cfg = supplied_vocab(spark, folder)
+    coded = tokens.tokenize(conversation_messages(spark, folder), known, cfg)
+    return coded.select("sample_id", F.md5(F.array_join(F.transform("input_ids", lambda t: t.cast("string")), " ")).alias("digest"))
+
+
+def guard_pad(spark, folder):
+    """The guard's spare id: end-of-sequence, which is also the pad id unless one is named."""
+    slots = filled_slots(spark, folder).withColumn("finished", F.lit(False))
+    cases = {"default": CFG, "pad": replace(CFG, eos_id=None, pad_id=7), "pad beside end": replace(CFG, pad_id=7)}
+    out = None
+    for name, cfg in cases.items():
+        part = filling.fill_leftovers(slots, cfg).select(
+            F.lit(name).alias("settings"), F.lit(cfg.padding_id).alias("pad_id"), "seq_id", "pos", "token_id"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def append_block(spark, folder):
+    """A block of open slots behind each prompt."""
+    known = prepare.freeze_vocab(conversation_messages(spark, folder), CFG, new_path(spark, "vocab"))
+    heads = benchmark_heads(spark, folder, known).select("seq_id", F.col("input_ids").alias("seen"))
+    made = filling.append_block(heads, FILL_CFG.block_size, FILL_CFG.max_new_tokens - FILL_CFG.block_size, FILL_CFG)
+    return made.select("seq_id", "pos", "token_id", "finished", F.size("seen").alias("n_seen"))
+
+
+def fill_log(spark, folder):
+    """Which step filled which slot."""
+    return filling.state_log(fill_sequence(spark, folder))
+
+
+def fill_states(spark, folder):
+    """The slots as they stood after some steps."""
+    filled, out = cut_lineage(fill_sequence(spark, folder)), None
+    for step in (0, 1, 3):
+        part = filling.state_at(filled, step, FILL_CFG).select(F.lit(step).alias("after"), "seq_id", "pos", "token_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def tailed_log(spark, folder):
+    """The log of a run, followed as a stream."""
+    known, table_of_scores = fitted(spark, folder, CFG)
+    log, sink, state = (new_path(spark, n) for n in ("log", "tailed", "state"))
+    heads = benchmark_heads(spark, folder, known)
+    filling.fill(heads, table_of_scores, vocabulary.suppressed_ids(known, CFG), FILL_CFG, log=log)
+    followed = ingest.tail_state_log(spark, log).writeStream.format("parquet").option("path", sink)
+    followed.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).select("seq_id", "step", "pos", "token_id")
+
+
+PACK_WIDTH, PACK_GROUPS, PACK_DELAY, PACK_START = "2 hours", 4, "30 days", 1_700_000_000
+
+
+def stream_packed(spark, folder):
+    """Samples packed two by two out of a stream of files that is stopped and started again."""
+    names = ("rows", "samples", "contexts", "state", "state", "vocab")
+    source, samples, sink, state, packing_state, words = (new_path(spark, n) for n in names)
+    prepare.freeze_vocab(to_messages(spark, folder), CFG, words)
+    at = F.timestamp_seconds(F.lit(PACK_START) + F.col("sample_id") * 60)
+    timed = instruction_rows(spark, folder).withColumn("at", at)
+    # The row that ends the stream is later than all others by more than the delay.
+    last = timed.agg(F.max("sample_id").alias("sample_id"), F.max("at").alias("at")).select(
+        (F.col("sample_id") + 1).alias("sample_id"), (F.col("at") + F.expr("INTERVAL 60 DAYS")).alias("at"), F.lit("end").alias("prompt")
+    )
+    for rows in (timed, last):
+        rows.write.mode("append").option("ignoreNullFields", "false").json(source)
+        timed_keys = [KEY, T.StructField("at", T.TimestampType())]
+        arriving = ingest.stream_instructions(spark, source, timed_keys, files_per_trigger=3)
+        stream_packing.ingest_samples(arriving, words, CFG, samples, state).awaitTermination()
+        stream_packing.pack_stream(
+            spark, samples, CFG, sink, packing_state, PACK_WIDTH, PACK_GROUPS, PACK_DELAY
+        ).awaitTermination()
+    digest = F.md5(F.array_join(F.transform("input_ids", lambda t: t.cast("string")), " "))
+    return spark.read.parquet(sink).select("batch_id", F.size("input_ids").alias("n_ids"), digest.alias("digest"))
+
+
+def stream_rejects(spark, folder):
+    """Lines without a message form, set aside by a stream."""
+    source, sink, state, bad = new_path(spark, "lines"), new_path(spark, "rejects"), new_path(spark, "state"), F.col("source")
+    good = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("lang").alias("answer")))
+    line = F.when(F.col("lang") == "en", good).otherwise(F.concat(F.lit("{broken "), bad))
+    table(spark, folder, "documents").select(line.alias("value")).write.text(source)
+    rows = ingest.stream_instructions(spark, source, [], files_per_trigger=1)
+    ingest.ingest_rejects(rows, sink, state).awaitTermination()
+    refused = spark.read.schema("_corrupt_record string").option("columnNameOfCorruptRecord", "_bad").json(sink)
+    return refused.groupBy(F.col("_corrupt_record").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def byte_encoder(texts: list[str]) -> list[list[int]]:
+    """A caller's tokenizer: bytes, behind the reserved ids."""
+    return [[5 + b for b in text.encode()] for text in texts]
+
+
+def hooked_ids(spark, folder):
+    """Documents through a caller's tokenizer, cut and ended like others."""
+    docs = spread(table(spark, folder, "documents")).select(F.col("doc_id").alias("sample_id"), "text")
+    coded = tokens.tokenize_with(docs, byte_encoder, CFG)
+    return coded.select(
+        "sample_id",
+        F.size("input_ids").alias("n_ids"),
+        F.md5(F.array_join(F.transform("input_ids", lambda t: t.cast("string")), " ")).alias("digest"),
+    )
+
+
+#: Few frequent tokens are broadcast here, so that most are joined by shuffle.
+HEAVY = 50
+
+
+def heavy_lookup(spark, folder):
+    """Every token of the documents against the conversations' vocabulary, frequent ones apart."""
+    docs = spread(table(spark, folder, "documents"))
+    rows = docs.select("doc_id", F.explode(split_tokens("text", CFG)).alias("token"))
+    known = cut_lineage(vocab(spark, folder).select("token", "token_id"))
+    met = heavy.heavy_join(rows, known, "token", HEAVY)
+    return met.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.count("token_id").alias("n_known"), F.sum(F.col("token_id").cast("long")).alias("id_sum")
+    )
+
+
+def large_vocab(spark, folder):
+    """The vocabulary of the documents, numbered by ranges as one beyond the broadcast limit is."""
+    docs = spread(table(spark, folder, "documents"))
+    counted = docs.select(F.explode(split_tokens("text", CFG)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return vocabulary.build_vocab(counted, replace(CFG, vocab_size=5_000_000, byte_fallback=False))
+
+
 QUERIES: dict[str, Query] = {
     "to_messages": to_messages,
     "render_chat": render,
@@ -796,6 +1003,22 @@ QUERIES: dict[str, Query] = {
     "alias_tables": alias_tables,
     "order_alias": order_alias,
     "answer_texts": answer_texts,
+    "files_win": files_win,
+    "saved_count": saved_count,
+    "stored_epochs": stored_epochs,
+    "stamp_check": stamp_check,
+    "supplied_ids": supplied_ids,
+    "supplied_token_ids": supplied_token_ids,
+    "guard_pad": guard_pad,
+    "append_block": append_block,
+    "fill_log": fill_log,
+    "fill_states": fill_states,
+    "tailed_log": tailed_log,
+    "stream_rejects": stream_rejects,
+    "stream_packed": stream_packed,
+    "hooked_ids": hooked_ids,
+    "heavy_lookup": heavy_lookup,
+    "large_vocab": large_vocab,
     "instructions_round_trip": instructions_round_trip,
     "select_split": select_split,
     "rows_without_ids": rows_without_ids,

@@ -16,7 +16,7 @@ from blockprep.operators.tokens import tokenize
 from blockprep.operators.packing import pack
 from blockprep.operators.views import complementary_views
 from blockprep.sources.instructions import INSTRUCTION_SCHEMA
-from blockprep.sources.prepared import read_vocab, write_manifest
+from blockprep.sources.prepared import commit_trigger, committed_triggers, read_vocab, write_manifest
 
 
 def stream_instructions(
@@ -71,7 +71,8 @@ def ingest_views(
     Every sample is its own context, keyed by its id: the result does not
     depend on which trigger a sample arrived in, and equals the batch result.
     Each trigger owns one output folder and overwrites it, so a replayed
-    trigger leaves no duplicates.  Rows without a message form go to ``rejects``.
+    trigger leaves no duplicates; it is committed after all its folders are
+    written, and readers take committed triggers only.  Rows without a message form go to ``rejects``.
     """
     if cfg.micro_batch != 1:
         raise ValueError("incremental views pack one sample per context")
@@ -83,6 +84,7 @@ def ingest_views(
         views.write.mode("overwrite").parquet(f"{path}/trigger={trigger}")
         if rejects is not None:
             rejected_rows(batch).write.mode("overwrite").json(f"{rejects}/trigger={trigger}")
+        commit_trigger(batch.sparkSession, path, trigger)
 
     return (
         rows.writeStream.foreachBatch(write)
@@ -99,8 +101,8 @@ def sample_views(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> Data
 
 
 def read_ingested_views(spark: SparkSession, path: str) -> DataFrame:
-    """All views written so far."""
-    return spark.read.parquet(path).drop("trigger")
+    """All views of committed triggers."""
+    return committed_triggers(spark.read.parquet(path), path).drop("trigger")
 
 
 def tail_state_log(spark: SparkSession, log: str, key_type: str = "bigint") -> DataFrame:
