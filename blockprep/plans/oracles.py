@@ -688,6 +688,7 @@ ORACLES: dict[str, str] = {
         """SELECT 'files' AS source, sample_id, md5(text) AS digest FROM rendered
            UNION ALL SELECT 'dataset', sample_id, md5(text) FROM asked""",
     ),
+    "large_array": _with(INSTRUCTIONS, "SELECT sample_id, md5(text) AS digest FROM rendered"),
     "saved_count": "SELECT count(*) AS n_saved, count(*) AS n_read FROM documents",
     "stored_epochs": _with(
         {**PACKED, **_views_of(1)},

@@ -17,6 +17,7 @@ from blockprep.operators import alias, backoff, filling, heavy, history, message
 from blockprep.operators.backoff import Backoff
 from blockprep.plans import prepare
 from blockprep.plans.answer import answers
+from blockprep.sources.arrays import read_json_array
 from blockprep.sources.instructions import load_instructions, read_dataset, read_instructions, write_jsonl
 from blockprep.sources.prepared import check_manifest, write_views
 from blockprep.sources.storage import cut_lineage, new_path, spread
@@ -756,6 +757,19 @@ def files_win(spark, folder):
     return digests(both, "files").unionByName(digests(alone, "dataset"))
 
 
+def large_array(spark, folder):
+    """Documents as one pretty-printed array in one file, read by byte ranges."""
+    path = new_path(spark, "array")
+    rows = instruction_rows(spark, folder)
+    body = F.to_json(F.struct(*rows.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    head = '[{"sample_id": -1, "prompt": "{[\\\\\\"}]"}'
+    ends = spark.createDataFrame([(0, head), (2, "]")], "part int, value string")
+    lines = rows.select(F.lit(1).alias("part"), F.concat(F.lit(","), body).alias("value")).unionByName(ends)
+    lines.coalesce(1).sortWithinPartitions("part").select("value").write.text(path)
+    read = read_json_array(spark, path, [KEY]).where("sample_id >= 0")
+    return messages.to_messages(read).select("sample_id", F.md5(render_chat("messages")).alias("digest"))
+
+
 def saved_count(spark, folder):
     """What writing reports, and what is there to read."""
     path = new_path(spark, "rows")
@@ -1004,6 +1018,7 @@ QUERIES: dict[str, Query] = {
     "order_alias": order_alias,
     "answer_texts": answer_texts,
     "files_win": files_win,
+    "large_array": large_array,
     "saved_count": saved_count,
     "stored_epochs": stored_epochs,
     "stamp_check": stamp_check,
