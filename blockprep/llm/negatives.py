@@ -12,7 +12,9 @@ written to the shared folder; equal vectors are spread over tiles.  In a tile, b
 rows keep the range of each angle and of the norms.  A row stays in its tile: anchors go to the
 tiles that may matter to them, chosen by the tiles' own ranges, and are streamed past the rows
 that a task holds.  So vectors are shuffled once per search whatever the number of anchors, and a
-task holds one tile and one batch of anchors.
+task holds one tile and one batch of anchors.  Negatives are searched in two rounds: the first
+goes to about the square root of an anchor's tiles, those of the highest bounds, and where it
+fills a window, its last score is the least that the second round has to look for.
 
 Rows without an id or label, with a NULL or empty vector, or with a NULL or non-finite component
 take no part; nor do those with a component beyond 32 bits (after scaling) or whose squared norm
@@ -308,22 +310,32 @@ def _may_hold_positives(anchor: dict, ranges: tuple) -> np.ndarray:
     return fits if anchor["floor"] is None else fits & (_range_bounds(anchor, ranges)[1] >= anchor["floor"])
 
 
-def _may_hold_negatives(anchor: dict, ranges: tuple, windows: Callable) -> np.ndarray:
+def _meeting(anchor: dict, ranges: tuple, windows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which tiles may hold rows of other labels with a score in a window, and their upper bounds."""
     lower, upper = _range_bounds(anchor, ranges)
     meets = np.zeros(len(lower), bool)
-    for low, high in windows(anchor["scores"]):
+    for low, high in windows:
         meets |= (upper >= low) & (lower <= high)
-    return meets & ~((ranges[5] == anchor["label"]) & (ranges[6] == anchor["label"]))
+    return meets & ~((ranges[5] == anchor["label"]) & (ranges[6] == anchor["label"])), upper
+
+
+def _first_tiles(anchor: dict, ranges: tuple, windows: list[tuple[int, int]]) -> np.ndarray:
+    """The tiles of the first round: of those that may matter, a square root's number, highest first."""
+    meets, upper = _meeting(anchor, ranges, windows)
+    order = np.argsort(np.where(meets, -upper, np.inf), kind="stable")
+    chosen = np.zeros(len(meets), bool)
+    chosen[order[: int(np.ceil(np.sqrt(meets.sum())))]] = True
+    return chosen & meets
 
 
 _TILE_ROW = ["tile", "row", "id", "label", "d", "v", "angles", "norm"]
 
 
-def _search(tiles: DataFrame, asked: DataFrame, name: str, find: Callable, schema: str, parts: int) -> DataFrame:
-    """Stream the anchors sent to each tile past its rows; ``name`` is what they bring along."""
-    kind = asked.schema[name].dataType
-    rows = tiles.select(F.lit(0).alias("asks"), *_TILE_ROW, F.lit(None).cast(kind).alias(name))
-    both = rows.unionByName(asked.select(F.lit(1).alias("asks"), *_TILE_ROW, name))
+def _search(tiles: DataFrame, asked: DataFrame, more: list[str], find: Callable, schema: str, parts: int) -> DataFrame:
+    """Stream the anchors sent to each tile past its rows; ``more`` is what they bring along."""
+    none = [F.lit(None).cast(asked.schema[name].dataType).alias(name) for name in more]
+    rows = tiles.select(F.lit(0).alias("asks"), *_TILE_ROW, *none)
+    both = rows.unionByName(asked.select(F.lit(1).alias("asks"), *_TILE_ROW, *more))
     # Rows of a tile come before its anchors.
     placed = both.repartition(parts, "tile").sortWithinPartitions("tile", "asks", "row")
     out_names = [f.split()[0] for f in schema.split(", ")]
@@ -367,7 +379,7 @@ def _floors(tiles: DataFrame, positives: int, parts: int) -> DataFrame:
         _, scores = rows.positives(a["id"], a["label"], *_vector(a), positives, None)
         return [(a["row"], int(scores[-1]))] if len(scores) == positives else []
 
-    return _search(tiles, anchors, "floor", find, "row long, floor long", parts)
+    return _search(tiles, anchors, ["floor"], find, "row long, floor long", parts)
 
 
 def hard_negatives(
@@ -410,7 +422,7 @@ def hard_negatives(
         places, scores = rows.positives(a["id"], a["label"], *_vector(a), positives, a["floor"])
         return [(a["row"], int(rows.row[p]), int(rows.ids[p]), int(s)) for p, s in zip(places, scores)]
 
-    found = _search(tiles, asked, "floor", find_positives, "row long, p_row long, p_id long, p_score long", parts)
+    found = _search(tiles, asked, ["floor"], find_positives, "row long, p_row long, p_id long, p_score long", parts)
     best = Window.partitionBy("row").orderBy(F.desc("p_score"), "p_id", "p_row")
     chosen = found.withColumn("p", F.row_number().over(best) - 1).where(F.col("p") < positives)
     path = new_path(spark, "positives")
@@ -419,24 +431,41 @@ def hard_negatives(
 
     scored = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("p", "p_score"))).alias("s"))
     scored = scored.select("row", F.transform("s", lambda s: s["p_score"]).alias("scores"))
-    asked = _sent(
-        tiles.where("anchor").join(scored, "row").select(*_TILE_ROW, "scores"),
-        ranges,
-        tiles,
-        lambda a, r: _may_hold_negatives(a, r, windows),
-    )
+    asking = tiles.where("anchor").join(scored, "row").select(*_TILE_ROW, "scores")
 
     def find_negatives(rows: Rows, a: dict) -> list:
-        hits = rows.negatives(a["id"], a["label"], *_vector(a), negatives, windows(a["scores"]))
+        asked = [(max(low, least), high) for (low, high), least in zip(windows(a["scores"]), a["least"])]
+        hits = rows.negatives(a["id"], a["label"], *_vector(a), negatives, asked)
         return [
             (a["row"], p, int(rows.row[i]), int(rows.ids[i]), int(s))
             for p, (places, scores) in enumerate(hits)
             for i, s in zip(places, scores)
         ]
 
-    hits = _search(tiles, asked, "scores", find_negatives, "row long, p long, n_row long, n_id long, n_score long", parts)
     first = Window.partitionBy("row", "p").orderBy(F.desc("n_score"), "n_id", "n_row")
-    ranked = hits.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= negatives)
+
+    def search_negatives(asked: DataFrame) -> DataFrame:
+        hits = _search(tiles, asked, ["scores", "least"], find_negatives, "row long, p long, n_row long, n_id long, n_score long", parts)
+        return hits.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= negatives)
+
+    def unvisited(a: dict, r: tuple) -> np.ndarray:
+        raised = [(max(low, least), high) for (low, high), least in zip(windows(a["scores"]), a["least"])]
+        return _meeting(a, r, raised)[0] & ~_first_tiles(a, r, windows(a["scores"]))
+
+    nothing = F.transform("scores", lambda _: F.lit(-(2**63)))
+    begun = asking.withColumn("least", nothing)
+    if ranges is None:
+        ranked = search_negatives(_sent(begun, None, tiles, None))
+    else:
+        path = new_path(spark, "negatives")
+        search_negatives(_sent(begun, ranges, tiles, lambda a, r: _first_tiles(a, r, windows(a["scores"])))).write.parquet(path)
+        early = spark.read.parquet(path).drop("rank")
+        full = early.groupBy("row", "p").agg(F.count(F.lit(1)).alias("n"), F.min("n_score").alias("last"))
+        full = full.where(F.col("n") == negatives).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("p", "last"))).alias("lasts"))
+        place = F.transform("scores", lambda _, i: F.coalesce(F.try_element_at("lasts", i.cast("long")), F.lit(-(2**63))))
+        raised = asking.join(full, "row", "left").withColumn("least", F.coalesce(place, nothing)).drop("lasts")
+        late = search_negatives(_sent(raised, ranges, tiles, unvisited)).drop("rank")
+        ranked = early.unionByName(late).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= negatives)
     names = tiles.where("anchor").select("row", F.col("id").alias("anchor_id"))
     return (
         ranked.join(chosen.withColumn("p", F.col("p").cast("long")), ["row", "p"])
