@@ -207,14 +207,14 @@ class Ranks:
 
 
 class Cache(dict):
-    """Ids of slices met before."""
+    """Ids of slices met before, ``slices`` at most."""
 
-    def __init__(self, ranks: Ranks) -> None:
+    def __init__(self, ranks: Ranks, slices: int = CACHE_SLICES) -> None:
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.slices = ranks, slices
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_SLICES:
+        if len(self) >= self.slices:
             self.clear()
         ids = self.ranks.merge(word)
         if len(word) <= HEAP_FROM:
@@ -226,10 +226,10 @@ def ranks_key(lines: bytes) -> str:
     return hashlib.sha256(lines).hexdigest()
 
 
-def load(lines: bytes) -> tuple[Ranks, Cache]:
+def load(lines: bytes, slices: int = CACHE_SLICES) -> tuple[Ranks, Cache]:
     """A rank file ready for use, with an empty cache."""
     ranks = Ranks(lines)
-    return ranks, Cache(ranks)
+    return ranks, Cache(ranks, slices)
 
 
 def read_ranks(path: str) -> bytes:
@@ -261,17 +261,19 @@ def _shared(spark: SparkSession, path: str) -> Shared:
     return Shared(spark, lines, ranks_key(lines))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids", slices: int | None = None) -> DataFrame:
     """Add the ids of each text as binary: little-endian unsigned 32-bit integers.
 
     ``path`` is a rank file on the driver; it and the code point classes (1.1 MB) are
-    broadcast.
+    broadcast.  A worker keeps its encoder for later tasks; with ``slices``, each task has its
+    own, which remembers so many slices and is let go at the task's end.
     """
     ranks = _shared(df.sparkSession, path)
     classes = df.sparkSession.sparkContext.broadcast(code_classes().tobytes())
 
     def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
-        cache, table = built(ranks, load)[1], np.frombuffer(classes.value, np.uint8)
+        cache = built(ranks, load)[1] if slices is None else load(ranks.value, slices)[1]
+        table = np.frombuffer(classes.value, np.uint8)
 
         def work(piece: pa.RecordBatch) -> list[pa.Array]:
             data, offsets = utf8(piece.column(text))

@@ -64,3 +64,10 @@ def test_boundary_rule():
     starts, ends = np.array([0, 4, 7]), np.array([4, 7, 8])
     assert token_counts.owners(starts, ends, np.array([0, 2, 6]), 8).tolist() == [0, 1, 2]
     assert token_counts.owners(np.array([0]), np.array([9]), np.array([0, 1, 3]), 9).tolist() == [2]
+
+
+def test_encoders_of_a_task_give_the_same_ids(spark):
+    docs = odd_documents(spark).select("doc_id", "text")
+    own, kept = (bpe.encode(docs, PATH, slices=n).select("text", "ids").collect() for n in (7, None))
+    key = lambda r: (r.text or "", r.text is None)
+    assert sorted(own, key=key) == sorted(kept, key=key)

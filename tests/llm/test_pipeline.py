@@ -28,6 +28,20 @@ def test_stages_take_effect(spark, tmp_path):
     assert ids == [1, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14]
 
 
+def test_column_names_are_in_no_stages_way(spark, tmp_path):
+    names = "_doc _runs _text_hash text_hash n_lines n_removed score predicted n_hit x0 id hash n_chars a.b kept".split()
+    docs = odd_documents(spark, ", ".join(f"`{n}` string" for n in names).replace("`", "").replace("a.b", "a_b"))
+    docs = docs.toDF("doc_id", "text", *names)
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = str(tmp_path / name)
+        stage(spark, before, FOLDER).write.parquet(path)
+        before = spark.read.parquet(path)
+        assert before.columns == docs.columns
+    rows = before.collect()
+    assert rows and all(r[i] == "x" for r in rows for i, n in enumerate(docs.columns) if n not in ("doc_id", "text", "n_chars"))
+
+
 def test_stages_on_an_empty_table(spark):
     docs = empty(odd_documents(spark))
     for _, stage in corpus_pipeline.STAGES:
