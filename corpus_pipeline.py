@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockprep.llm import bpe, decontaminate, linededup, minhash, toxicity
 from blockprep.sources.storage import new_path
@@ -12,51 +15,72 @@ from blockprep.sources.storage import new_path
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def _aside(docs: DataFrame) -> DataFrame:
-    """The text, and the other columns as one, so that no name is in an operator's way."""
-    return docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest"))
+#: Rows of an Arrow batch: whole texts, held by the JVM and by a worker at once.
+BATCH_ROWS = "500"
+#: Slices that an encoder remembers; workers live on from stage to stage, so tasks let theirs go.
+SLICES = 40_000
+
+
+def _stage(work: Callable) -> Callable:
+    """A stage on columns ``doc_id``, ``text`` and x0, x1, ..., which get their names back.
 
+    So no name of a document column is in an operator's way, whatever it is.
+    """
 
-def _restored(marked: DataFrame, columns: list[str]) -> DataFrame:
-    return marked.select("text", "_rest.*").select(*columns)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        names = docs.columns
+        plain = docs.toDF(*[n if n in ("doc_id", "text") else f"x{i}" for i, n in enumerate(names)])
+        return work(spark, plain, sf_dir, names).select(*plain.columns).toDF(*names)
 
+    run.__name__, run.__doc__ = work.__name__, work.__doc__
+    return run
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+@_stage
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, names: list[str]) -> DataFrame:
     """Documents that are not predicted toxic; the model learns from the labels of these documents."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _restored(toxicity.score(_aside(docs), model).where("predicted = 0"), docs.columns)
+    return toxicity.score(docs, model).where("predicted = 0")
+
 
+@_stage
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, names: list[str]) -> DataFrame:
+    """Texts without runs of lines that stand earlier; a document that is nothing else goes.
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without runs of lines that stand earlier; a document that is nothing else goes."""
+    ``n_chars``, where there is such a number, follows the text.
+    """
     left = linededup.dedup_lines(docs).where(
         "NOT coalesce(n_removed > 0 AND trim(translate(text, '\n\r\t', '')) = '', false)"
     )
-    if "n_chars" in docs.columns:
-        chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        left = left.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    for i, name in enumerate(names):
+        if name == "n_chars" and isinstance(docs.schema[f"x{i}"].dataType, T.NumericType):
+            chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(f"x{i}"))
+            left = left.withColumn(f"x{i}", chars.cast(docs.schema[f"x{i}"].dataType))
+    return left
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, names: list[str]) -> DataFrame:
     """One document of each near-duplicate group; of rows that share id and text, one."""
-    named = docs.where("doc_id IS NOT NULL").withColumn("_text_hash", F.xxhash64("text"))
-    key = ["doc_id", "_text_hash"]
-    found = minhash.marked_texts(named).where("kept").withColumnRenamed("text_hash", "_text_hash").select(*key).distinct()
-    kept = named.join(found, key, "left_semi").dropDuplicates(key).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    named = docs.where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
+    key = ["doc_id", "text_hash"]
+    found = minhash.marked_texts(named).where("kept").select(*key).distinct()
+    kept = named.join(found, key, "left_semi").dropDuplicates(key).drop("text_hash")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str, names: list[str]) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    marked = decontaminate.mark_contamination(_aside(docs), items)
-    return _restored(marked.where("n_hit = 0"), docs.columns)
+    return decontaminate.mark_contamination(docs, items).where("n_hit = 0")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and digests of them and of the bytes they decode to."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), BPE_RANKS).drop("text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    encoded = bpe.encode(docs.select("doc_id", "text"), BPE_RANKS, slices=SLICES).drop("text")
     return bpe.decode(encoded, BPE_RANKS).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
