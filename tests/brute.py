@@ -51,6 +51,15 @@ def alias_cells(probs):
 
 
 def draw(probs, u):
+    used = 0.0
+    for token, p in by_share(probs):
+        used += p
+        if u < round(used, 12):
+            return token, p
+    raise AssertionError("shares do not reach 1")
+
+
+def alias_draw(probs, u):
     cells = alias_cells(probs)
     place = u * len(cells)
     token, accept, alias = cells[int(place)]
@@ -66,7 +75,7 @@ def candidate(table, ctx, cfg, u):
         token = min(logits, key=lambda t: (-logits[t], t))
         return token, probs[token]
     probs = softmax({t: x / cfg.temperature for t, x in logits.items()})
-    return draw(nucleus(probs, cfg.top_p), u)
+    return alias_draw(nucleus(probs, cfg.top_p), u)
 
 
 def complete_eos(slots, cfg):
