@@ -132,3 +132,26 @@ def fill(last_tokens, scores, suppressed, cfg):
         end = len(x) if end is None else end + 1
         out[s] = (x[:end], when[s][:end])
     return out
+
+
+def permuted(x, n, *parts):
+    """The seeded bijection of 0 .. n - 1: rounds on a grid, until the number is below n again."""
+    a = 1
+    while a < 4096 and a * a < n:
+        a *= 2
+    b = -(-n // a)
+
+    def shift(k, half, size):
+        key = ":".join(str(p) for p in (*parts, k, half))
+        return int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % size
+
+    while True:
+        r, c = x % a, x // a
+        for k in range(6):
+            if k % 2 == 0:
+                c = (c + shift(k, r, b)) % b
+            else:
+                r = (r + shift(k, c, a)) % a
+        x = c * a + r
+        if x < n:
+            return x

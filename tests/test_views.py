@@ -15,6 +15,7 @@ from blockprep.operators.views import (
     training_pairs,
     view_positions,
 )
+from tests import brute
 
 CFG = PrepConfig(block_size=4, context_length=8, micro_batch=1)
 IDS = "sample_id long, input_ids array<int>, batch_id long, slot int"
@@ -150,8 +151,9 @@ def test_step_plan(spark):
     df = spark.range(7).select(F.col("id").alias("sample_id"))
     expected = []
     micro = 0
+    numbers = {s: i for i, s in enumerate(sorted(range(7), key=lambda s: order_key(cfg, "index", s)))}
     for epoch in range(3):
-        order = sorted(range(7), key=lambda s: order_key(cfg, epoch, s))
+        order = sorted(range(7), key=lambda s: brute.permuted(numbers[s], 7, cfg.seed, epoch))
         for start in range(0, 7, 2):
             for slot, s in enumerate(order[start : start + 2]):
                 expected.append((micro // 3, micro, epoch, slot, s))
