@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -195,3 +196,49 @@ def test_near_copies_are_one_page_and_articles_stay_whole(spark):
         assert got[20 + i] == f"{prose(50 + i, 40)}\nunchanged figures\nfrom our sponsors"
     assert all(got[100 + i] == prose(100 + i, 40) for i in range(30))
     assert all(got[200 + i] == f"{story}\n{prose(200 + i, 300)}" for i in range(6))
+
+
+def test_names_do_not_take_the_story():
+    """Layout names, negations, subjects and page-wide forms leave the text; names of furniture still go."""
+    story = prose(9, 30)
+    cases = {
+        f'<div class="content-sidebar-wrap"><main><article>{story}</article></main></div>': story,
+        f'<article class="post no-sidebar">{story}</article>': story,
+        f"<form><nav>menu</nav><article>{story}</article></form>": story,
+        f'<article>{story}<section id="discussion"><h2 id="search">Discussion</h2>found</section></article>': f"{story}\nDiscussion\nfound",
+        f'<p title="the hidden cost">{story}</p><p hidden>z</p>': story,
+        f"<main>{story}</main><main>more</main>": f"{story}\nmore",
+        f'<div class="ad-300x250">buy</div><div id="site-footer">f</div><div>{story}</div>': story,
+        f'<div>few words</div><div class="comments-area"><article>{story}</article></div>': "few words",
+        f'<body><form class="newsletter">{story}</form>k</body>': "k",
+        f'<p>cut</p><div class="a" <p>{story}</p><a href="http://x': f"cut\n{story}",
+    }
+    for source, text in cases.items():
+        assert pages.main_text(source, set()) == text, source
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<a " + '"' * 10_000,
+        "<p>x" + '<a x="' * 10_001,
+        "<a x='\"'" * 10_000,
+        "<a " + "a" * 100_000 + ">",
+        "<div>" * 30_000 + "t" + "</div></p>" * 30_000,
+        "<p><table><td>" + "<div>" * 30_000,
+        "<header><h1>" * 15_000,
+        "<" * 100_000,
+    ],
+)
+def test_broken_pages_are_read_in_proportion(source):
+    start = time.process_time()
+    page = pages.Page(source)
+    pages.main_text(page, {1})
+    pages.block_hashes(page)
+    assert time.process_time() - start < 5
+
+
+def test_paragraphs_of_a_site_go_where_names_say_nothing(spark):
+    """Blocks of any kind are counted, not only containers."""
+    rows = [(i, "http://a.example/", f"<body><h5>Our site</h5><p>{prose(i, 60)}</p><p>All rights kept</p></body>") for i in range(9)]
+    assert extracted(spark, rows) == {i: prose(i, 60) for i in range(9)}
