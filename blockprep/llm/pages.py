@@ -51,6 +51,9 @@ PAGES, SHARE = 5, 0.25
 #: Articles of less than this part of the main elements' text are not the page's main text, and names
 #: that leave less than this part of a page's text are not believed.
 LITTLE = 0.25
+#: Templates of all hosts go to every task up to this size; beyond it each page is joined with its own.
+#: A host has at most 1 / ``SHARE`` times as many as its pages have blocks on average.
+BROADCAST_BYTES = 32 << 20
 #: Bins in a band of a page's text: texts of similarity 0.5 share one in 16 cases, of 0.85 in 99 of 100.
 BAND = 8
 
@@ -362,11 +365,12 @@ def _templates(seen: DataFrame, least: int, share: float) -> DataFrame:
     inside = seen.select(F.col("_content").alias("u"), F.explode("_bands").alias("band")).distinct()
     shared = inside.groupBy("band").agg(F.min("u").alias("v"), F.max("u").alias("most")).where("v < most")
     roots = stars(inside.join(shared, "band").select("u", "v").distinct())
-    # A page without blocks has a NULL hash and counts for its host.
-    found = seen.select("_host", F.col("_content").alias("u"), F.explode_outer("_hashes").alias("hash")).distinct()
-    found = found.join(roots, "u", "left").select("_host", "hash", F.coalesce("v", "u").alias("page")).distinct()
+    # Equal pages are one row before they meet their component and before their blocks are rows.
+    found = seen.select("_host", F.col("_content").alias("u"), "_hashes").distinct().join(roots, "u", "left")
+    found = found.select("_host", "_hashes", F.coalesce("v", "u").alias("page"))
     pages = found.select("_host", "page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
-    counted = found.where("hash IS NOT NULL").groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    blocks = found.select("_host", "page", F.explode("_hashes").alias("hash")).distinct()
+    counted = blocks.groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("n"))
     enough = counted.where(F.col("n") >= least).join(pages, "_host").where(F.col("n") >= F.col("pages") * share)
     return enough.select("_host", "hash")
 
@@ -402,11 +406,19 @@ def extract_text(
     path = new_path(pages.sparkSession, "page-hashes")
     with_columns(pages.select("_page", "_host", html), html, fields, make_hashes, without=(html,)).write.parquet(path)
     seen = pages.sparkSession.read.parquet(path)
-    recurring = _templates(seen, least, share)
-    own = seen.select("_page", "_host", F.explode("_hashes").alias("hash")).join(recurring, ["_host", "hash"])
-    own = own.groupBy("_page").agg(F.collect_set("hash").alias("_templates"))
-    # A page's identity may hold a NULL id, which equals itself here.
-    joined = pages.join(own.withColumnRenamed("_page", "_own"), F.col("_page").eqNullSafe(F.col("_own")), "left")
+    templates = new_path(pages.sparkSession, "page-templates")
+    by_host = _templates(seen, least, share).groupBy("_host").agg(F.collect_list("hash").alias("_templates"))
+    by_host.write.parquet(templates)
+    by_host = pages.sparkSession.read.parquet(templates)
+    size = by_host.agg(F.sum(F.size("_templates") * 8 + F.octet_length("_host"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = pages.join(F.broadcast(by_host), "_host", "left")
+    else:
+        recurring = by_host.select("_host", F.explode("_templates").alias("hash"))
+        own = seen.select("_page", "_host", F.explode("_hashes").alias("hash")).join(recurring, ["_host", "hash"])
+        own = own.groupBy("_page").agg(F.collect_set("hash").alias("_templates"))
+        # A page's identity may hold a NULL id, which equals itself here.
+        joined = pages.join(own.withColumnRenamed("_page", "_own"), F.col("_page").eqNullSafe(F.col("_own")), "left")
     joined = joined.select(*[F.col(f"`{c}`") for c in names], "_templates")
 
     def make_text() -> Callable[[pa.RecordBatch], list[pa.Array]]:

@@ -140,7 +140,9 @@ def test_main_text():
         assert pages.main_text(source, set()) == text, source
 
 
-def test_templates_of_a_host_go_and_copied_articles_stay(spark):
+@pytest.mark.parametrize("broadcast", [pages.BROADCAST_BYTES, -1])
+def test_templates_of_a_host_go_and_copied_articles_stay(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pages, "BROADCAST_BYTES", broadcast)
     box, shell = "<div><span>read our other stories</span></div>", "<body>{}<div><p>{}</p></div></body>"
     rows = [(i, "http://A.example/x?y", shell.format(box, f"story {i}")) for i in range(8)]
     rows += [(100 + i, "https://b.example:80/", "<body><div><div><p>copied story</p></div></div></body>") for i in range(20)]
