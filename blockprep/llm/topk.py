@@ -11,8 +11,10 @@ join on their numbers; each pair gives at most k rows a query, and these are mer
 Vectors that are NULL or hold NULL or non-finite components take no part, nor do empty ones,
 nor vectors without an id; vectors of another length than the query's are not its candidates.
 Ties go to the smaller id; rows that share an id are candidates each for itself, but no
-query finds rows of its own id.  A query with no candidates gives no rows.  An empty table
-gives no rows.
+query finds rows of its own id; query rows that share an id give one list, where a row may
+stand once for each of them.  Scores beyond 64 bits are the nearest long, components beyond
+them too, and tie with others so cut.  A query with no candidates gives no rows.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 #: Vectors in a tile, queries in a chunk, vectors in a block.
 TILE, CHUNK, BLOCK = 8192, 1024, 64
 _EXACT = 2.0**53
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def quantised(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -59,8 +62,13 @@ def curve_order(rows: np.ndarray) -> np.ndarray:
     return np.lexsort((weight.argmax(axis=1), sign, lead))
 
 
-def search_tile(ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, queries: np.ndarray, k: int, block: int = BLOCK):
-    """(query, id, score) of each query's k best rows in a tile, and the number of rows scored."""
+def search_tile(
+    ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, queries: np.ndarray, k: int, block: int = BLOCK, longs: bool = False
+):
+    """(query, id, score) of each query's k best rows in a tile, and the number of rows scored.
+
+    With ``longs``, scores beyond 64 bits are cut to them before they are compared.
+    """
     order = curve_order(rows)
     ids, rows = ids[order], rows[order]
     queries, rows = _numbers(queries, rows)
@@ -77,6 +85,8 @@ def search_tile(ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, queries: n
                 break  # an equal bound may still hold a smaller id
             part = slice(b * block, (b + 1) * block)
             scores = rows[part] @ queries[q]
+            if longs and scores.dtype == object:
+                scores = np.clip(scores, _LEAST, _MOST)
             scored += len(scores)
             near = ids[part] != number
             if len(best) == k:
@@ -100,7 +110,7 @@ def _search(k: int):
             return _FOUND.empty_table()
         width = key[2].as_py()
         ids, asked = rows.column("id").to_numpy(), queries.column("id").to_numpy()
-        found, _ = search_tile(ids, _matrix(rows.column("v"), width), asked, _matrix(queries.column("v"), width), k)
+        found, _ = search_tile(ids, _matrix(rows.column("v"), width), asked, _matrix(queries.column("v"), width), k, longs=True)
         return pa.Table.from_pylist([dict(zip(_FOUND.names, row)) for row in found], _FOUND)
 
     return run

@@ -126,6 +126,20 @@ def test_top_k_prunes_blocks_and_stays_exact_beyond_floats():
     assert [(q, i, s << 50) for q, i, s in small] == big
 
 
+def test_scores_beyond_64_bits_are_the_nearest_long(spark):
+    rows = [(0, [1e10, 1.0]), (1, [1e10, 0.0]), (2, [-1e10, 0.0]), (3, [3e10, 5.0]), (4, [1e300, 0.0]), (5, [0.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    low, high = -(2**63), 2**63 - 1
+    cut = lambda x: max(low, min(high, x))
+    whole = {i: [cut(math.floor(1024 * x)) for x in v] for i, v in rows}
+    score = {i: cut(sum(a * b for a, b in zip(whole[0], whole[i]))) for i in range(1, 6)}
+    expected = [(0, k + 1, i, score[i]) for k, i in enumerate(sorted(score, key=lambda i: (-score[i], i)))]
+    assert score[1] == score[3] == high and score[2] == low
+    for tile in (2, 8192):
+        got = topk.top_k(table, table.where("vec_id = 0"), tile=tile).orderBy("rank")
+        assert [tuple(r) for r in got.collect()] == expected
+
+
 PAGE = """<html><head><title>x</title></head><body><div class="cookie-notice">We use cookies</div>
 <header><h1>Site</h1></header><nav>m</nav><article class="post"><header><h1>T &amp; U</h1></header>
 <div class="share-buttons">Share</div><p>One&nbsp;two<br>three <i>f</i>our<p>Five<ul><li>a<li>b</ul><form>q<input></form>
