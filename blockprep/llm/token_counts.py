@@ -9,8 +9,8 @@ first.  A character that is several tokens counts for the token that begins it;
 without a beginning character go where that character goes.
 
 Sections are the lines of a text, newlines belonging to the line that they end.  NULL and
-empty texts have no tokens and no sections.  Equal rows give equal rows.  Columns named like
-a new one are replaced.
+empty texts have no tokens and no sections, and stay as rows.  Equal rows give equal rows, an
+empty table gives none.  Columns named like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -102,6 +102,20 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def section_rows(counted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One row per section: id, number from 0, span, tokens."""
-    rows = counted.select(F.col(f"`{doc_id}`"), F.posexplode("sections").alias("section", "s"))
-    return rows.select(f"`{doc_id}`", F.col("section").cast("long").alias("section"), "s.*")
+    """One row per section: id, number from 0, span, tokens, and the tokens of the document.
+
+    A document without sections is one row with no number and no span, and no tokens.
+    """
+    rows = counted.select(
+        F.col(f"`{doc_id}`"), F.col("n_tokens").alias("doc_tokens"), F.posexplode_outer("sections").alias("section", "s")
+    )
+    none = F.lit(0).cast("long")
+    return rows.select(
+        f"`{doc_id}`",
+        F.col("section").cast("long").alias("section"),
+        "s.start",
+        "s.end",
+        F.coalesce("s.n_tokens", none).alias("n_tokens"),
+        F.coalesce("s.n_crossing", none).alias("n_crossing"),
+        "doc_tokens",
+    )

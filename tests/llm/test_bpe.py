@@ -57,6 +57,12 @@ def test_section_counts_add_up(spark):
         assert row["n_tokens"] == len(LIBRARY.encode_ordinary(text)) == sum(s["n_tokens"] for s in row["sections"])
         assert "".join(text[s["start"] : s["end"]] for s in row["sections"]) == text
     assert token_counts.section_rows(token_counts.count_tokens(empty(docs), PATH)).count() == 0
+    rows = token_counts.section_rows(token_counts.count_tokens(docs, PATH)).collect()
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+    blank = [r for r in rows if r["section"] is None]
+    assert sorted(r["doc_id"] or -1 for r in blank) == [-1, 7, 8]
+    assert all((r["start"], r["end"], r["n_tokens"], r["n_crossing"], r["doc_tokens"]) == (None, None, 0, 0, 0) for r in blank)
+    assert sum(r["n_tokens"] for r in rows if r["doc_id"] == 12) == next(r["doc_tokens"] for r in rows if r["doc_id"] == 12)
 
 
 def test_boundary_rule():
