@@ -1,20 +1,27 @@
 """Line dedup: later copies of repeated runs of lines are deleted.
 
-For every line, the shortest run of lines from it on that has at least ``min_words`` words is
-a window.  A window's fingerprint is its least line hash, kept together with a hash of the
-window as a whole, so that equal fingerprints mean equal windows and any repeated run of
-``min_words`` words or more is sure to hold a fingerprint.  The first place of each
-fingerprint is its source; windows elsewhere are matches.  Matches of neighbouring lines are
-one run, which is extended both ways while lines go on being equal to those around its
-source, and deleted.
+A line goes if it stands in a run of lines of at least ``min_words`` words that also stands in
+an earlier place.  Such a run is found by winnowing: a window is a shortest run of
+``min_words`` words or more from a line on, or up to a line, and of each window the last line
+with the least hash is its fingerprint.  Equal windows have equal fingerprints, and
+neighbouring windows mostly share one.  Places of fingerprints are counted; only windows
+around those in more than one place are met with each other, by a hash of the window as a
+whole, and those equal to an earlier window are matches.  The windows around a fingerprint
+reach as far to both sides as lines go on being equal to those of *any* earlier place, and
+windows up to a line catch the end of a run that is too short for a window of its own, so
+that no part of a repeated run stays.  Overlapping matches are joined and deleted.
 
 Order is that of (doc_id, text hash, line); documents without an id come last.  Lines are cut
 at newlines and compared without blanks at their ends; a line counts as one word at least.
 NULL and empty texts, and those with too few words, lose nothing.  Rows equal in id and text
 are one document: they lose the same lines.  A line repeated within a document is treated
-like one repeated elsewhere.  Columns named like a new one are replaced.
+like one repeated elsewhere, also if the two runs overlap.  An empty table stays empty.  A
+text of any length is worked on as rows of lines; only hashes and word counts of its lines
+are held together.  Columns named like a new one are replaced.
 
-Everything is DataFrame code; a frequent window is one row per task before it is shuffled.
+Everything is DataFrame code.  Fingerprints and windows that stand for many rows (the 1,024
+most frequent of each, so that any other has at most a 1,024th of all rows) are met by a
+broadcast of their keys, and their rows are dealt over all tasks.
 """
 
 from __future__ import annotations
@@ -22,8 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockprep.sources.storage import cut_lineage
+
 #: A repeated run of so many words is found for certain.
 MIN_WORDS = 50
+#: Keys that may be broadcast.
+HOT = 1024
 
 
 def _identity(doc_id: str, text: str) -> Column:
@@ -53,102 +64,82 @@ def document_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Windows (doc, i, last) with their fingerprint: least line hash and hash of the whole."""
+    """Windows (doc, low, high) with their fingerprint (least, at line ``pos``) and the hash of the whole."""
     rows = lines.select("doc", F.posexplode(F.arrays_zip("h", "w"))).select(
         "doc", F.col("pos").alias("i"), F.col("col.h").alias("h"), F.col("col.w").cast("long").alias("w")
     )
-    before = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("at", F.coalesce(F.sum("w").over(before), F.lit(0)))
-    # Lines that begin before min_words words have passed.
-    run = Window.partitionBy("doc").orderBy("at").rangeBetween(Window.currentRow, min_words - 1)
-    return (
-        rows.select(
-            "doc",
-            "i",
-            F.max("i").over(run).alias("last"),
+    upto = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum("w").over(upto)).withColumn("start", F.col("end") - F.col("w"))
+    # From a line on: lines that begin before min_words words have passed; up to a line: the reverse.
+    frames = {
+        "onward": Window.partitionBy("doc").orderBy("start").rangeBetween(0, min_words - 1),
+        "upward": Window.partitionBy("doc").orderBy("end").rangeBetween(1 - min_words, 0),
+    }
+    found = [
+        F.struct(
+            F.min("i").over(run).alias("low"),
+            F.max("i").over(run).alias("high"),
             F.sum("w").over(run).alias("words"),
-            F.min("h").over(run).alias("least"),
+            F.min(F.struct(F.col("h"), (-F.col("i")).alias("i"))).over(run).alias("least"),
             F.xxhash64(F.collect_list("h").over(run)).alias("whole"),
+        ).alias(name)
+        for name, run in frames.items()
+    ]
+    # A window up to a line that is too short without it is a window from a line on, too.
+    known = (F.col("onward.words") >= min_words, F.col("upward.words") - F.col("w") >= min_words)
+    return (
+        rows.select("doc", "w", *found)
+        .select(
+            "doc",
+            F.explode(F.filter(F.array(F.when(known[0], F.col("onward")), F.when(known[1], F.col("upward"))), F.isnotnull)).alias("x"),
+        )
+        .select(
+            "doc",
+            "x.low",
+            "x.high",
+            (-F.col("x.least.i")).alias("pos"),
+            F.col("x.least.h").alias("least"),
+            "x.whole",
         )
-        .where(F.col("words") >= min_words)
-        .drop("words")
     )
 
 
+def _met(rows: DataFrame, found: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with the ``value`` that ``found`` (one row per key, ``n`` rows strong) has for their keys.
+
+    Rows of the ``HOT`` keys with the largest ``n`` meet them by broadcast; in the shuffle of
+    the rest they are dealt by document and meet nothing.
+    """
+    hot = found.orderBy(F.desc("n"), *keys).limit(HOT).select(*keys, F.col(value).alias("hot"))
+    salt = F.expr("CASE WHEN hot IS NULL THEN 0L ELSE xxhash64(doc, low) | 1L END")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", salt)
+    rest = found.select(*keys, F.col(value).alias("rest"), F.lit(0).cast("long").alias("salt"))
+    joined = dealt.join(rest, [*keys, "salt"], "left").withColumn(value, F.coalesce("hot", "rest"))
+    return joined.where(F.col(value).isNotNull()).select(*rows.columns, value)
+
+
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Runs (doc, low, high) of lines that also stand in an earlier place."""
     found = windows(lines, min_words)
-    sources = (
-        found.groupBy("least", "whole")
-        .agg(F.min(F.struct("doc", "i")).alias("source"), F.count(F.lit(1)).alias("n"))
+    places = found.groupBy("doc", "pos", "least").agg(F.lit(1).alias("one"))
+    prints = places.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = cut_lineage(_met(found, prints.withColumn("places", F.col("n")), ["least"], "places").drop("places"))
+    firsts = (
+        near.groupBy("least", "whole")
+        .agg(F.min(F.struct("doc", "low")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .drop("n")
-    )
-    matches = found.join(sources, ["least", "whole"]).where("NOT (source.doc = doc AND source.i = i)")
-    matches = matches.select("doc", "i", "last", "source")
-    own = Window.partitionBy("doc").orderBy("i")
-    islands = (
-        matches.withColumn("new", F.coalesce((F.col("i") > F.lag("i").over(own) + 1).cast("int"), F.lit(1)))
-        .withColumn("run", F.sum("new").over(own))
-        .groupBy("doc", "run")
-        .agg(
-            F.min(F.struct("i", "source")).alias("head"),
-            F.max(F.struct("i", "last", "source")).alias("tail"),
-        )
-    )
-    order = Window.partitionBy("doc").orderBy("run")
-    islands = islands.select(
-        "doc",
-        F.col("head.i").alias("low"),
-        F.col("tail.last").alias("high"),
-        # Extension stops where the run before ends and the next one begins.
-        F.coalesce(F.lag("tail.last").over(order), F.lit(-1)).alias("floor"),
-        F.lead("head.i").over(order).alias("ceiling"),
-        "head",
-        "tail",
     )
-    ends = islands.select(
-        "doc",
-        "low",
-        "high",
-        F.explode(
-            F.array(
-                F.struct(
-                    F.lit(-1).alias("step"),
-                    F.col("low").alias("at"),
-                    F.col("head.source.doc").alias("source"),
-                    F.col("head.source.i").alias("origin"),
-                    F.greatest(F.col("low") - F.col("floor") - 1, F.lit(0)).alias("room"),
-                ),
-                F.struct(
-                    F.lit(1).alias("step"),
-                    F.col("high").alias("at"),
-                    F.col("tail.source.doc").alias("source"),
-                    (F.col("tail.source.i") + F.col("high") - F.col("tail.i")).alias("origin"),
-                    F.greatest(F.coalesce(F.col("ceiling"), F.lit(2**31 - 1)) - F.col("high") - 1, F.lit(0)).alias("room"),
-                ),
-            )
-        ).alias("end"),
-    ).select("doc", "low", "high", "end.*")
-    hashes = lines.select("doc", "h")
-    both = ends.join(hashes, "doc").join(
-        hashes.select(F.col("doc").alias("source"), F.col("h").alias("g")), "source"
-    )
-    room = F.when(F.col("step") < 0, F.least("room", "at", "origin")).otherwise(
-        F.least("room", F.size("h") - 1 - F.col("at"), F.size("g") - 1 - F.col("origin"))
-    )
-    grown = (
-        "coalesce(get(filter(sequence(1, room), t -> h[at + step * t] <> g[origin + step * t]), 0) - 1, room)"
-    )
-    both = both.withColumn("room", room)
-    both = both.withColumn("grown", F.when(F.col("room") > 0, F.expr(grown)).otherwise(0))
+    matches = _met(near, firsts, ["least", "whole"], "first")
+    matches = matches.where(F.struct("doc", "low") > F.col("first")).select("doc", "low", "high")
+    before = Window.partitionBy("doc").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("doc").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, 0)
+    fresh = F.coalesce((F.col("low") > F.max("high").over(before) + 1).cast("int"), F.lit(1))
     return (
-        both.groupBy("doc", "low", "high")
-        .agg(
-            F.sum(F.when(F.col("step") < 0, F.col("grown"))).alias("back"),
-            F.sum(F.when(F.col("step") > 0, F.col("grown"))).alias("forth"),
-        )
-        .select("doc", (F.col("low") - F.col("back")).alias("low"), (F.col("high") + F.col("forth")).alias("high"))
+        matches.withColumn("fresh", fresh)
+        .withColumn("run", F.sum("fresh").over(so_far))
+        .groupBy("doc", "run")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .drop("run")
     )
 
 

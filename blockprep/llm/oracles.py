@@ -71,45 +71,21 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 OP9 = r"""
 WITH texts AS (
-    SELECT doc_id, text, string_split(text, chr(10)) AS x,
+    SELECT doc_id, string_split(text, chr(10)) AS x, text,
         list_transform(string_split(text, chr(10)), lambda t: trim(regexp_replace(t, '\r$', ''))) AS h
     FROM documents
 ), rows AS (
     SELECT doc_id, i, h, greatest(len(regexp_extract_all(h, '[^ \t\n\x0B\f\r]+')), 1) AS w
     FROM (SELECT doc_id, unnest(h) AS h, unnest(range(len(h))) AS i FROM texts)
-), placed AS (
-    SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM rows
-), windows AS (
-    SELECT doc_id, i, max(i) OVER run AS last, sum(w) OVER run AS words, list(h) OVER run AS body
-    FROM placed WINDOW run AS (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
-), found AS (
-    SELECT * FROM windows WHERE words >= 50
-), sources AS (
-    SELECT body, min((doc_id, i)) AS source FROM found GROUP BY body HAVING count(*) > 1
-), matches AS (
-    SELECT doc_id, i, last, source[1] AS s, source[2] AS q
-    FROM found JOIN sources USING (body) WHERE NOT (source[1] = doc_id AND source[2] = i)
+), pairs AS (
+    SELECT b.doc_id, b.i, b.w, a.doc_id AS s, b.i - a.i AS shift
+    FROM rows a JOIN rows b ON a.h = b.h AND (a.doc_id, a.i) < (b.doc_id, b.i)
 ), numbered AS (
-    SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM matches
-), islands AS (
-    SELECT doc_id, min(i) AS low, max(last) AS high, max(i) AS tail, arg_min(s, i) AS s1, arg_min(q, i) AS q1,
-        arg_max(s, i) AS s2, arg_max(q, i) AS q2
-    FROM numbered GROUP BY doc_id, run
-), bounded AS (
-    SELECT *, coalesce(lag(high) OVER o, -1) AS floor, coalesce(lead(low) OVER o, 1000000000) AS ceiling
-    FROM islands WINDOW o AS (PARTITION BY doc_id ORDER BY low)
-), roomy AS (
-    SELECT b.*, t.h AS h, a.h AS g1, z.h AS g2, q2 + high - tail AS q3,
-        greatest(least(low - floor - 1, low, q1), 0) AS back,
-        greatest(least(ceiling - high - 1, len(t.h) - 1 - high, len(z.h) - 1 - (q2 + high - tail)), 0) AS forth
-    FROM bounded b JOIN texts t USING (doc_id) JOIN texts a ON a.doc_id = s1 JOIN texts z ON z.doc_id = s2
-), grown AS (
-    SELECT doc_id,
-        low - coalesce(list_filter(range(1, back + 1), lambda t: h[low - t + 1] <> g1[q1 - t + 1])[1] - 1, back) AS low,
-        high + coalesce(list_filter(range(1, forth + 1), lambda t: h[high + t + 1] <> g2[q3 + t + 1])[1] - 1, forth) AS high
-    FROM roomy
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, s, shift ORDER BY i) AS run FROM pairs
+), runs AS (
+    SELECT doc_id, min(i) AS low, max(i) AS high FROM numbered GROUP BY doc_id, s, shift, run HAVING sum(w) >= 50
 ), gone AS (
-    SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(low, high + 1)) AS k FROM grown) GROUP BY doc_id
+    SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(low, high + 1)) AS k FROM runs) GROUP BY doc_id
 )
 SELECT doc_id,
     CASE WHEN gone IS NULL THEN text

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -77,38 +78,22 @@ def test_contamination_equals_brute_force(spark, part_bytes):
 
 
 def line_dedup(rows, least=50):
-    """The operator's rule in plain Python; documents in order."""
-    first, matched, clean = {}, {}, {}
-    for doc, text in rows:
-        lines = [re.sub("\r$", "", x).strip(" ") for x in text.split("\n")]
-        clean[doc], matched[doc] = lines, {}
-        size = [max(1, len(re.findall(r"[^ \t\n\x0b\f\r]+", x))) for x in lines]
-        for i in range(len(lines)):
-            j, words = i, 0
-            while j < len(lines) and words < least:
-                words, j = words + size[j], j + 1
-            if words >= least:
-                if (key := tuple(lines[i:j])) in first:
-                    matched[doc][i] = (j - 1, first[key])
-                else:
-                    first[key] = doc, i
+    """The operator's rule by brute force: every line against every earlier one; documents in order."""
+    lines = [[re.sub("\r$", "", x).strip(" ") for x in text.split("\n")] for _, text in rows]
+    size = [[max(1, len(re.findall(r"[^ \t\n\x0b\f\r]+", x))) for x in own] for own in lines]
     out = {}
-    for doc, text in rows:
-        found, gone = matched[doc], set()
-        for i, (last, _) in found.items():
-            gone |= set(range(i, last + 1))
-        direct = set(gone)
-        for i, (last, (source, q)) in found.items():
-            if i - 1 not in found:
-                a, b = i - 1, q - 1
-                while a >= 0 and b >= 0 and a not in direct and clean[doc][a] == clean[source][b]:
-                    gone.add(a)
-                    a, b = a - 1, b - 1
-            if i + 1 not in found:
-                a, b = last + 1, q + last - i + 1
-                while a < len(clean[doc]) and b < len(clean[source]) and a not in direct and clean[doc][a] == clean[source][b]:
-                    gone.add(a)
-                    a, b = a + 1, b + 1
+    for d, (doc, text) in enumerate(rows):
+        gone = set()
+        for s in range(d + 1):
+            for i in range(len(lines[d])):
+                for q in range(len(lines[s]) if s < d else i):
+                    if i and q and lines[d][i - 1] == lines[s][q - 1]:
+                        continue
+                    n = 0
+                    while i + n < len(lines[d]) and q + n < len(lines[s]) and lines[d][i + n] == lines[s][q + n]:
+                        n += 1
+                    if sum(size[d][i : i + n]) >= least:
+                        gone |= set(range(i, i + n))
         out[doc] = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone), len(gone)
     return out
 
@@ -138,6 +123,34 @@ def test_line_dedup_extends_both_ways(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_line_dedup_takes_runs_from_several_places(spark):
+    word = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    r, s, u = word("r", 60), word("s", 40), word("u", 9)
+    rows = [(1, f"{r}\nfirst"), (2, f"{r}\n{s}\nsecond"), (3, f"{r}\n{s}\nthird"), (4, f"{s}\n{u}\nfourth"), (5, f"{u}\n{s}\n{u}\nfifth")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"{s}\nsecond", 3: "third", 4: rows[3][1], 5: rows[4][1]}
+
+
+def test_line_dedup_of_random_lines_with_few_broadcast_keys(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", 2)
+    rng = random.Random(3)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 5, 9]))) for _ in range(12)]
+    rows = [(d, "\n".join(rng.choice(pool[: rng.choice([2, 4, 12])]) for _ in range(rng.randrange(60)))) for d in range(60)]
+    for k in range(3, 40, 4):
+        rows[k] = (k, rows[k][1] + "\n" + rows[k - 2][1] + "\nnew " + str(k))
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()
+    expected = line_dedup(rows, 20)
+    assert sum(n > 0 for _, n in expected.values()) > 20
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got} == expected
+
+
+def test_line_dedup_of_a_text_longer_than_a_piece(spark):
+    own = "\n".join(f"line {i} " + "x" * 60 for i in range(45_000))
+    rows = [(1, own), (2, "before\n" + own[: 1 << 21])]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"].count("\n") <= 1 and got[2]["n_removed"] > 25_000
+
+
 def language_model(rows, share=lm.SHARE):
     tokens = [(d, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]) for d, t in rows]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
