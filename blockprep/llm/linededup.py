@@ -108,13 +108,14 @@ def _met(rows: DataFrame, found: DataFrame, keys: list[str], value: str) -> Data
     """``rows`` with the ``value`` that ``found`` (one row per key, ``n`` rows strong) has for their keys.
 
     Rows of the ``HOT`` keys with the largest ``n`` meet them by broadcast; in the shuffle of
-    the rest they are dealt by document and meet nothing.
+    the rest they are dealt by document, and what they might meet there is not used.
     """
     hot = found.orderBy(F.desc("n"), *keys).limit(HOT).select(*keys, F.col(value).alias("hot"))
-    salt = F.expr("CASE WHEN hot IS NULL THEN 0L ELSE xxhash64(doc, low) | 1L END")
-    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", salt)
-    rest = found.select(*keys, F.col(value).alias("rest"), F.lit(0).cast("long").alias("salt"))
-    joined = dealt.join(rest, [*keys, "salt"], "left").withColumn(value, F.coalesce("hot", "rest"))
+    first, *others = keys
+    at = F.when(F.col("hot").isNull(), F.col(first)).otherwise(F.xxhash64("doc", "low"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("at", at)
+    rest = found.select(F.col(first).alias("at"), *others, F.col(value).alias("rest"))
+    joined = dealt.join(rest, ["at", *others], "left").withColumn(value, F.coalesce("hot", "rest"))
     return joined.where(F.col(value).isNotNull()).select(*rows.columns, value)
 
 
