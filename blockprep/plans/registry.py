@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -757,15 +758,20 @@ def files_win(spark, folder):
     return digests(both, "files").unionByName(digests(alone, "dataset"))
 
 
+def as_arrays(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a file that is one array of these objects, behind one of its own."""
+    yield pa.RecordBatch.from_pydict({"value": ['[{"sample_id": -1, "prompt": "{[\\\\\\"}]"}']})
+    yield from texts
+    yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+
 def large_array(spark, folder):
-    """Documents as one pretty-printed array in one file, read by byte ranges."""
+    """Documents as pretty-printed arrays, one array a file and a task, read by byte ranges."""
     path = new_path(spark, "array")
     rows = instruction_rows(spark, folder)
     body = F.to_json(F.struct(*rows.columns), {"pretty": "true", "ignoreNullFields": "false"})
-    head = '[{"sample_id": -1, "prompt": "{[\\\\\\"}]"}'
-    ends = spark.createDataFrame([(0, head), (2, "]")], "part int, value string")
-    lines = rows.select(F.lit(1).alias("part"), F.concat(F.lit(","), body).alias("value")).unionByName(ends)
-    lines.coalesce(1).sortWithinPartitions("part").select("value").write.text(path)
+    lines = rows.select(F.concat(F.lit(","), body).alias("value"))
+    lines.mapInArrow(as_arrays, "value string").write.text(path)
     read = read_json_array(spark, path, [KEY]).where("sample_id >= 0")
     return messages.to_messages(read).select("sample_id", F.md5(render_chat("messages")).alias("digest"))
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+from blockprep.plans import registry
 from blockprep.sources.arrays import json_records, read_json_array
 from blockprep.sources.instructions import read_instructions
 
@@ -83,3 +84,15 @@ def test_cut_and_odd_files(spark, tmp_path):
     assert got["cut"] == [("", '{"prompt": "'), ("a", "")]
     assert got["bad"] == [("", '{"prompt": }'), ("a", ""), ("c", "")]
     assert got["values"] == [("", '1, {"prompt"')]
+
+
+def test_large_array_is_written_by_many_tasks_each_a_whole_array(spark, tmp_path, monkeypatch):
+    docs = [(i, f"a {{]\\\" {i}\nb", "en", f"src{i % 2}") for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(registry, "new_path", lambda _spark, name: f"{tmp_path}/{name}")
+    got = registry.large_array(spark, str(tmp_path))
+    files = [f.read_text() for f in (tmp_path / "array").glob("part-*")]
+    held = [[o["sample_id"] for o in json.loads(text) if o["sample_id"] >= 0] for text in files]
+    assert sorted(i for ids in held for i in ids) == list(range(200))
+    assert max(map(len, held)) <= 50
+    assert sorted(got.collect()) == sorted(registry.render(spark, str(tmp_path)).select("sample_id", "digest").collect())
