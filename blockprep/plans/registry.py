@@ -21,7 +21,7 @@ from blockprep.plans.answer import answers
 from blockprep.sources.arrays import read_json_array
 from blockprep.sources.instructions import load_instructions, read_dataset, read_instructions, write_jsonl
 from blockprep.sources.prepared import check_manifest, write_views
-from blockprep.sources.storage import cut_lineage, new_path, spread
+from blockprep.sources.storage import cut_lineage, deal, new_path, spread
 from blockprep.streaming import ingest
 from blockprep.streaming import packing as stream_packing
 
@@ -30,6 +30,8 @@ STEPS, ACCUMULATION = 1500, 4
 TOP_P, TEMPERATURE = 0.8, 0.7
 STEP_THRESHOLD = 0.2
 FOLD_PIECE = 4
+#: Views whose slots one task sorts: some 500 bytes a slot.
+TASK_VIEWS = 1024
 EXTRA_TOKEN = "<|tool|>"
 KEY = T.StructField("sample_id", T.LongType())
 
@@ -426,11 +428,15 @@ def stored_views(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dealt_views(stored: DataFrame) -> DataFrame:
+    """Each view as a sequence, placed before its slots are rows, and few in a task."""
+    named = stored.select((F.col("batch_id") * 2 + F.col("view")).alias("seq_id"), "input_ids")
+    return deal(named, ["seq_id"], -(-stored.count() // TASK_VIEWS))
+
+
 def view_slots(stored: DataFrame) -> DataFrame:
     """Both views of each context as slots to fill; each view is a sequence."""
-    return stored.select(
-        (F.col("batch_id") * 2 + F.col("view")).alias("seq_id"), F.posexplode("input_ids").alias("pos", "token_id")
-    )
+    return dealt_views(stored).select("seq_id", F.posexplode("input_ids").alias("pos", "token_id"))
 
 
 def scored_slots(stored: DataFrame) -> DataFrame:
@@ -470,8 +476,8 @@ def chosen_slots(stored: DataFrame) -> DataFrame:
 def open_slots(stored: DataFrame) -> DataFrame:
     """The views as a step takes them; the first slot of a context is scored by itself."""
     first = F.element_at("input_ids", 1)
-    return stored.select(
-        (F.col("batch_id") * 2 + F.col("view")).alias("seq_id"),
+    return dealt_views(stored).select(
+        "seq_id",
         F.array(first).alias("seen"),
         F.lit(None).cast("int").alias("step"),
         F.lit(False).alias("finished"),

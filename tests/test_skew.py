@@ -4,6 +4,8 @@ import random
 
 import pytest
 import regex
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from blockprep.config import PrepConfig
 from blockprep.functions.text import token_pattern
@@ -12,6 +14,7 @@ from blockprep.operators.history import history_prompts
 from blockprep.operators.messages import fold_turns, sample_keys, turn_rows
 from blockprep.operators.tokens import token_ids
 from tests.test_tokens import coded
+from blockprep.plans import registry
 from blockprep.plans.prepare import batches, corpus_vocab
 
 CFG = PrepConfig(block_size=4, context_length=64, vocab_size=100, micro_batch=2)
@@ -83,3 +86,14 @@ def test_history_of_a_hot_conversation(turns, monkeypatch, width):
         elif role != "user":
             held += 1
     assert sorted(tuple(r) for r in history_prompts(df).collect()) == sorted(expected)
+
+
+def test_slots_of_views_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "TASK_VIEWS", 16, raising=False)
+    made = spark.range(100).selectExpr("id AS batch_id", "0 AS view", "array_repeat(7, 64) AS input_ids")
+    made.coalesce(1).write.parquet(f"{tmp_path}/views")
+    stored = spark.read.parquet(f"{tmp_path}/views")
+    for slots in (registry.open_slots(stored), registry.view_slots(stored)):
+        ordered = slots.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("seq_id").orderBy("pos")))
+        tasks = ordered.where("n > 0").groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("seq_id").alias("n")).collect()
+        assert sum(t.n for t in tasks) == 100 and max(t.n for t in tasks) <= 40
