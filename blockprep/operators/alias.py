@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockprep.operators.scores import SHARE_DIGITS
+from blockprep.sources.storage import deal, finer_parts
 
 
 def _rounded(value: Column) -> Column:
@@ -31,9 +32,10 @@ def alias_tables(probs: DataFrame, keys: Sequence[str], prob: str = "prob") -> D
     group, by_id = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("token_id")
     upto = by_id.rowsBetween(W.unboundedPreceding, W.currentRow)
     size = F.count(F.lit(1)).over(group)
+    # Each window below sorts what its task has; so tasks get few groups.
+    dealt = deal(probs.select(*keys, "token_id", F.col(prob).alias("prob")), keys, finer_parts(probs.sparkSession))
     laid = (
-        probs.select(*keys, "token_id", F.col(prob).alias("prob"))
-        .withColumn("size", size)
+        dealt.withColumn("size", size)
         .withColumn("cell", F.row_number().over(by_id) - 1)
         .withColumn("_fill", _rounded(F.col("prob") * F.col("size")))
         .withColumn("_heavy", F.col("_fill") > 1)

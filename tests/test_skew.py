@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from blockprep.config import PrepConfig
 from blockprep.functions.text import token_pattern
 from blockprep.operators import running
+from blockprep.operators.alias import alias_tables
 from blockprep.operators.history import history_prompts
 from blockprep.operators.messages import fold_turns, sample_keys, turn_rows
 from blockprep.operators.tokens import token_ids
@@ -97,3 +98,10 @@ def test_slots_of_views_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
         ordered = slots.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("seq_id").orderBy("pos")))
         tasks = ordered.where("n > 0").groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("seq_id").alias("n")).collect()
         assert sum(t.n for t in tasks) == 100 and max(t.n for t in tasks) <= 40
+
+
+def test_groups_of_alias_tables_are_dealt_to_more_tasks_than_a_shuffle_has(spark):
+    probs = spark.range(4000).selectExpr("id div 4 AS g", "CAST(id % 4 AS int) AS token_id", "0.25D AS prob")
+    made = alias_tables(probs, ["g"]).where("accept > 0")
+    tasks = made.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("g").alias("n")).collect()
+    assert sum(t.n for t in tasks) == 1000 and max(t.n for t in tasks) <= 150
