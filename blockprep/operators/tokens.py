@@ -16,6 +16,9 @@ from blockprep.operators.heavy import heavy_join
 # A rendered message is at least this many tokens: both marks and two breaks.
 LEAST_MESSAGE_TOKENS = 4
 
+# Characters of the texts that a caller's tokenizer gets at once, one text at least.
+ENCODE_CHARS = 2**20
+
 # Ids and places below these numbers travel in one long.
 ID_SPAN = 2**24
 PLACE_SPAN = 2**38
@@ -133,21 +136,23 @@ def tokenize_with(
     """Hook for a caller's own tokenizer: (sample_id, text) to (sample_id, input_ids).
 
     ``encode`` maps a batch of texts to lists of ids; batches travel as Arrow
-    and there is one worker per partition.
+    and there is one worker per partition.  It is called with some
+    ``ENCODE_CHARS`` characters at once, and its ids are cut before they travel
+    back, so that a worker holds few ids as Python objects.
     """
-
+    most = cfg.context_length
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = encode(batch["text"].tolist())
-            yield pd.DataFrame({"sample_id": batch["sample_id"], "input_ids": ids})
+            chars = batch["text"].str.len().fillna(0).cumsum()
+            for _, part in batch.groupby(chars // ENCODE_CHARS, sort=False):
+                ids = [None if i is None else i[:most] for i in encode(part["text"].tolist())]
+                yield pd.DataFrame({"sample_id": part["sample_id"].array, "input_ids": ids})
 
     key = samples.schema["sample_id"].dataType.simpleString()
     mapped = samples.select("sample_id", F.col(text).alias("text")).mapInPandas(
         run, f"sample_id {key}, input_ids array<int>"
     )
-    return mapped.withColumn(
-        "input_ids", append_eos(F.slice("input_ids", 1, cfg.context_length), cfg.eos_id)
-    )
+    return mapped.withColumn("input_ids", append_eos("input_ids", cfg.eos_id))
 
 
 def detokenize(

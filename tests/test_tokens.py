@@ -171,6 +171,13 @@ def test_tokenizer_hook(spark):
     assert got == {0: [1], 3: [7, 7, 7, 1], 40: [7] * 16 + [1]}
 
 
+def test_a_callers_tokenizer_gets_few_characters_at_once(spark):
+    df = spark.range(40).selectExpr("id AS sample_id", "repeat('x', 200000) AS text").coalesce(1)
+    coded = tokenize_with(df, lambda texts: [[len(texts)]] * len(texts), CFG).collect()
+    assert sorted(r.sample_id for r in coded) == list(range(40))
+    assert max(r.input_ids[0] for r in coded) <= 6
+
+
 def test_detokenize(spark):
     vocab = special_tokens(spark).unionByName(
         spark.createDataFrame([("a", 5, False), (" b", 6, False)], "token string, token_id int, is_special boolean")
