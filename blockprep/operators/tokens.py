@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ LEAST_MESSAGE_TOKENS = 4
 # Characters of the texts that a caller's tokenizer gets at once, one text at least.
 ENCODE_CHARS = 2**20
 
+# Tokens that are looked up at once, one message at least.
+CODE_TOKENS = 2**20
+
 # Ids and places below these numbers travel in one long.
 ID_SPAN = 2**24
 PLACE_SPAN = 2**38
@@ -85,6 +91,74 @@ def _regroup(tokens: DataFrame, key: str, place: Column, length: int) -> DataFra
     )
 
 
+def _code(tokens: pa.Array, known: pa.Array, ids: np.ndarray, cfg: PrepConfig) -> tuple[pa.Array, pa.Array]:
+    """Token lists to id lists, and where in them each token starts."""
+    flat, ends = tokens.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0))])
+    place = pc.index_in(flat, value_set=known)
+    outside = pc.is_null(place).to_numpy(zero_copy_only=False)
+    others, sizes = flat.filter(pa.array(outside)), np.ones(len(flat), np.int64)
+    if cfg.byte_fallback:
+        sizes[outside] = pc.binary_length(others).to_numpy()
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(starts[-1], np.int32)
+    out[starts[:-1][~outside]] = ids[place.drop_null().to_numpy()]
+    if cfg.byte_fallback:
+        raw = b"".join(others.cast(pa.binary()).to_pylist())
+        out[np.repeat(outside, sizes)] = np.frombuffer(raw, np.uint8) + np.int32(cfg.byte_base)
+    else:
+        out[outside] = cfg.unknown_id
+    own = starts[:-1] - np.repeat(starts[ends[:-1]], np.diff(ends))
+    return (
+        pa.ListArray.from_arrays(pa.array(starts[ends], pa.int32()), pa.array(out)),
+        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own, pa.int32())),
+    )
+
+
+def _coded(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFrame:
+    """(sample_id, ord, tokens) to (sample_id, ord, ids, starts): a message is looked up as one row.
+
+    The vocabulary is broadcast, as in the join; batches go through in stretches of some
+    ``CODE_TOKENS`` tokens.
+    """
+    table = vocab.select("token", "token_id").toArrow()
+    shared = messages.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), table["token_id"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = shared.value
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch["tokens"]), 0).to_numpy()
+            stretch = np.cumsum(sizes) // CODE_TOKENS
+            borders = [0, *(np.flatnonzero(np.diff(stretch)) + 1), len(stretch)]
+            for a, b in zip(borders, borders[1:]):
+                part = batch.slice(a, b - a)
+                coded, starts = _code(part["tokens"], known, ids, cfg)
+                yield pa.RecordBatch.from_arrays([part["sample_id"], part["ord"], coded, starts], ["sample_id", "ord", "ids", "starts"])
+
+    key, place = (messages.schema[c].dataType.simpleString() for c in ("sample_id", "ord"))
+    return messages.mapInArrow(run, f"sample_id {key}, ord {place}, ids array<int>, starts array<int>")
+
+
+def _join_messages(coded: DataFrame, length: int) -> DataFrame:
+    """Ids of the messages of a sample in order, cut to ``length``.
+
+    Messages that share a place, as repeated rows do, alternate token by token.
+    """
+    joined = coded.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("ord", "ids", "starts"))).alias("m"))
+
+    def pieces(m: Column) -> Column:
+        ends = F.concat(F.slice(m["starts"], F.lit(2), F.greatest(F.size(m["starts"]) - 1, F.lit(0))), F.array(F.size(m["ids"])))
+        return F.transform(
+            m["starts"],
+            lambda s, i: F.struct(m["ord"].alias("ord"), i.alias("i"), F.slice(m["ids"], s + 1, F.get(ends, i) - s).alias("ids")),
+        )
+
+    order = F.transform("m", lambda m: m["ord"])
+    plain = F.flatten(F.transform("m", lambda m: m["ids"]))
+    mixed = F.flatten(F.transform(F.array_sort(F.flatten(F.transform("m", pieces))), lambda s: s["ids"]))
+    ids = F.when(F.size(F.array_distinct(order)) == F.size("m"), plain).otherwise(mixed)
+    return joined.select("sample_id", F.slice(ids, 1, length).alias("input_ids"))
+
+
 def token_ids(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFrame:
     """Message rows to (sample_id, input_ids), cut to the context length, without EOS.
 
@@ -95,15 +169,11 @@ def token_ids(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFra
     every group no matter how long one conversation is.
     """
     room = F.lit(cfg.context_length) - F.col("ord") * F.lit(LEAST_MESSAGE_TOKENS)
-    pieces = messages.where(room > 0).select(
-        "sample_id",
-        "ord",
-        F.posexplode_outer(
-            F.slice(
-                split_tokens(render_message("role", "content"), cfg), F.lit(1), room.cast("int")
-            )
-        ).alias("i", "token"),
-    )
+    split = F.slice(split_tokens(render_message("role", "content"), cfg), F.lit(1), room.cast("int"))
+    cut = messages.where(room > 0).select("sample_id", "ord", split.alias("tokens"))
+    if cfg.vocab_size <= BROADCAST_VOCAB:
+        return _join_messages(_coded(cut, vocab, cfg), cfg.context_length)
+    pieces = cut.select("sample_id", "ord", F.posexplode_outer("tokens").alias("i", "token"))
     place = F.col("ord").cast("long") * cfg.context_length + F.col("i")
     return _regroup(_lookup(pieces, vocab, cfg), "sample_id", place, cfg.context_length)
 

@@ -5,10 +5,12 @@ import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from blockprep.config import PrepConfig
 from blockprep.functions.arrays import append_eos, fit_context, pad_block
-from blockprep.functions.text import split_tokens, token_pattern
+from blockprep.functions.text import render_message, split_tokens, token_pattern
+from blockprep.operators import tokens
 from blockprep.operators.messages import message_rows
 from blockprep.operators.tokens import detokenize, prompt_ids, token_ids, tokenize, tokenize_with
 from blockprep.operators.vocabulary import (
@@ -194,3 +196,24 @@ def test_lossless_ids_keeps_documents_beyond_a_million_ids(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = dict(QUERIES["lossless_ids"](spark, str(tmp_path)).collect())
     assert got == {k: hashlib.md5(f"user\n{t}\n".encode()).hexdigest() for k, t in texts.items()}
+
+
+def test_tokens_are_looked_up_without_a_row_each(spark, capsys):
+    vocab = special_tokens(spark)
+    rows = spark.createDataFrame([(1, 0, "user", "a b")], "sample_id long, ord int, role string, content string")
+    coded_rows = token_ids(rows, vocab, CFG)
+    coded_rows.explain()
+    assert "Generate" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_rows_and_joined_tokens_give_the_same_ids_where_places_repeat(spark, fallback):
+    given = [(1, 0, "user", "a é b"), (1, 0, "user", "漢 a"), (1, 1, "tool", ""), (2, 0, None, None), (None, 0, "user", "a"), (None, 0, "user", "b b")]
+    rows = spark.createDataFrame(given, "sample_id long, ord int, role string, content string")
+    vocab = special_tokens(spark).unionByName(spark.createDataFrame([("a", 5, False), (" b", 6, False)], "token string, token_id int, is_special boolean"))
+    cfg = PrepConfig(block_size=4, context_length=40, vocab_size=50, byte_fallback=fallback)
+    got = {r.sample_id: r.input_ids for r in token_ids(rows, vocab, cfg).collect()}
+    pieces = rows.select("sample_id", "ord", F.posexplode_outer(split_tokens(render_message("role", "content"), cfg)).alias("i", "token"))
+    place = F.col("ord").cast("long") * cfg.context_length + F.col("i")
+    plain = tokens._regroup(tokens._lookup(pieces, vocab, cfg), "sample_id", place, cfg.context_length)
+    assert got == {r.sample_id: r.input_ids for r in plain.collect()}
