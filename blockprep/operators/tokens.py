@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockprep.config import BROADCAST_VOCAB, PrepConfig
 from blockprep.functions.arrays import append_eos
@@ -31,6 +33,7 @@ PLACE_SPAN = 2**38
 
 # One character written in hex, byte by byte with a blank behind each.
 _WHOLE = "([0-7]. |(?:C[2-9A-F]|D.) [89AB]. |E. [89AB]. [89AB]. |F[0-4] [89AB]. [89AB]. [89AB]. )"
+_WHOLE_BYTES = re.compile(rb"[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}", re.S)
 
 
 def named_join(df: DataFrame, vocab: DataFrame, key: str, cfg: PrepConfig) -> DataFrame:
@@ -91,6 +94,12 @@ def _regroup(tokens: DataFrame, key: str, place: Column, length: int) -> DataFra
     )
 
 
+def _stretches(sums: np.ndarray) -> list[tuple[int, int]]:
+    """Rows from, to: stretches of some ``CODE_TOKENS`` by running sums over the rows."""
+    borders = [0, *(np.flatnonzero(np.diff(sums // CODE_TOKENS)) + 1).tolist(), len(sums)]
+    return list(zip(borders, borders[1:]))
+
+
 def _code(tokens: pa.Array, known: pa.Array, ids: np.ndarray, cfg: PrepConfig) -> tuple[pa.Array, pa.Array]:
     """Token lists to id lists, and where in them each token starts."""
     flat, ends = tokens.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0))])
@@ -127,9 +136,7 @@ def _coded(messages: DataFrame, vocab: DataFrame, cfg: PrepConfig) -> DataFrame:
         known, ids = shared.value
         for batch in batches:
             sizes = pc.fill_null(pc.list_value_length(batch["tokens"]), 0).to_numpy()
-            stretch = np.cumsum(sizes) // CODE_TOKENS
-            borders = [0, *(np.flatnonzero(np.diff(stretch)) + 1), len(stretch)]
-            for a, b in zip(borders, borders[1:]):
+            for a, b in _stretches(np.cumsum(sizes)):
                 part = batch.slice(a, b - a)
                 coded, starts = _code(part["tokens"], known, ids, cfg)
                 yield pa.RecordBatch.from_arrays([part["sample_id"], part["ord"], coded, starts], ["sample_id", "ord", "ids", "starts"])
@@ -225,6 +232,59 @@ def tokenize_with(
     return mapped.withColumn("input_ids", append_eos("input_ids", cfg.eos_id))
 
 
+def _texts(lists: pa.Array, known: pa.Array, parts: pa.Array, cfg: PrepConfig) -> list[bytes]:
+    """The text of each row's id lists; ids that are not ``known`` are left out."""
+    rows, inner = pc.fill_null(pc.list_value_length(lists), 0).to_pylist(), lists.flatten()
+    sizes = pc.list_value_length(inner).to_numpy()
+    at = pc.index_in(inner.flatten(), value_set=known)
+    places = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    shown = pc.fill_null(parts.take(at), b"")
+    joined = pc.binary_join(pa.ListArray.from_arrays(places, shown), b"")
+    coded, out, n = pc.fill_null(pc.less(at, 256 if cfg.byte_fallback else 0), False).to_numpy(zero_copy_only=False), [], 0
+    for size in rows:
+        a, b = places[n].as_py(), places[n + size].as_py()
+        text = b"" if size != 1 else joined[n].as_py()
+        if size > 1:
+            # Rows that share their keys: their parts alternate, bytes as their names.
+            spots = [i for k in range(n, n + size) for i in range(places[k + 1].as_py() - places[k].as_py())]
+            named = [(i, b"%02X " % p[0] if c else p, c, p) for i, p, c, v in zip(spots, shown[a:b].to_pylist(), coded[a:b], at[a:b].is_valid().to_pylist()) if v]
+            text = b"".join(e[-1] for e in sorted(named))
+        out.append(b"".join(_WHOLE_BYTES.findall(text)) if coded[a:b].any() else text)
+        n += size
+    return out
+
+
+def _detokenize_rows(
+    sequences: DataFrame, vocab: DataFrame, cfg: PrepConfig, keys: Sequence[str], ids: str
+) -> DataFrame:
+    """``detokenize`` with the vocabulary broadcast and a sequence as one row."""
+    hidden = F.coalesce("is_special", F.lit(False)) | (F.col("token_id") == cfg.mask_id)
+    rows = vocab.select("token_id", "token", hidden.alias("hidden")).where("token_id IS NOT NULL").toArrow().to_pydict()
+    names = {i: t for i, t, h in zip(rows["token_id"], rows["token"], rows["hidden"]) if t is not None and not h}
+    without = {i for i, h in zip(rows["token_id"], rows["hidden"]) if h} | {cfg.mask_id}
+    named = [(b + cfg.byte_base, bytes([b])) for b in range(256)] if cfg.byte_fallback else []
+    named = [(-1 - b, p) if i in without else (i, p) for b, (i, p) in enumerate(named)]
+    byte_ids = {i for i, _ in named}
+    named += [(i, t.encode()) for i, t in names.items() if i not in byte_ids]
+    table = pa.array([i for i, _ in named], pa.int32()), pa.array([p for _, p in named], pa.binary())
+    shared = sequences.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts = shared.value
+        for batch in batches:
+            lists = batch[len(keys)]
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            sums = np.concatenate([[0], np.cumsum(pc.list_value_length(lists.flatten()).to_numpy())])
+            for a, b in _stretches(sums[ends]):
+                text = _texts(lists.slice(a, b - a), known, parts, cfg)
+                columns = [batch[k].slice(a, b - a) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(text, pa.binary())], [*keys, "text"])
+
+    schema = T.StructType([*[T.StructField(k, sequences.schema[k].dataType) for k in keys], T.StructField("text", T.BinaryType())])
+    grouped = sequences.groupBy(*keys).agg(F.collect_list(F.col(ids).cast("array<int>")).alias("_lists"))
+    return grouped.mapInArrow(run, schema).withColumn("text", F.col("text").cast("string"))
+
+
 def detokenize(
     sequences: DataFrame, vocab: DataFrame, cfg: PrepConfig, keys: Sequence[str], ids: str = "input_ids"
 ) -> DataFrame:
@@ -233,6 +293,8 @@ def detokenize(
     Byte ids are put together to characters; bytes that make no whole one (the
     list was cut within it) are left out.
     """
+    if cfg.vocab_size <= BROADCAST_VOCAB:
+        return _detokenize_rows(sequences, vocab, cfg, keys, ids)
     slots = sequences.select(*keys, F.posexplode_outer(ids).alias("pos", "token_id"))
     names = vocab.select("token_id", "token", "is_special")
     byte = F.col("token_id") - cfg.byte_base

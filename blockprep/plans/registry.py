@@ -696,7 +696,7 @@ def lossless_ids(spark, folder):
     cfg = replace(CFG, vocab_size=300, context_length=2**31 - 1)
     docs = spread(table(spark, folder, "documents")).select("doc_id", "text")
     counted = docs.select(F.explode(split_tokens("text", cfg)).alias("token")).groupBy("token")
-    known = vocabulary.build_vocab(counted.agg(F.count(F.lit(1)).alias("n")), cfg)
+    known = cut_lineage(vocabulary.build_vocab(counted.agg(F.count(F.lit(1)).alias("n")), cfg))
     rows = docs.select(
         F.col("doc_id").alias("sample_id"), F.lit(0).alias("ord"), F.lit("user").alias("role"), F.col("text").alias("content")
     )

@@ -202,7 +202,7 @@ def test_tokens_are_looked_up_without_a_row_each(spark, capsys):
     vocab = special_tokens(spark)
     rows = spark.createDataFrame([(1, 0, "user", "a b")], "sample_id long, ord int, role string, content string")
     coded_rows = token_ids(rows, vocab, CFG)
-    coded_rows.explain()
+    detokenize(coded_rows, vocab, CFG, ["sample_id"]).explain()
     assert "Generate" not in capsys.readouterr().out
 
 
